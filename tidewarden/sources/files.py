@@ -39,8 +39,8 @@ def topic_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -
 
 def schema_documents(spark: SparkSession, path: str) -> DataFrame:
     """All ``*.json`` files below a folder, or one file, each whole: path and value."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    return reader.option("pathGlobFilter", "*.json").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    found = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    return found.select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def published_schemas(spark: SparkSession, path: str) -> tuple[DataFrame, list[tuple[str, str]]]:
