@@ -61,14 +61,14 @@ def entropy_spans(text: str, window: int, bits: float) -> list[tuple[int, int]]:
     limit = window * (math.log2(window) - bits) + 1e-9
     spans: list[tuple[int, int]] = []
     for i, c in enumerate(text):
-        k = counts.get(c, 0)
-        total += log[k + 1] - log[k]
-        counts[c] = k + 1
         if i >= window:
             out = text[i - window]
             k = counts[out]
             total += log[k - 1] - log[k]
             counts[out] = k - 1
+        k = counts.get(c, 0)
+        total += log[k + 1] - log[k]
+        counts[c] = k + 1
         if i >= window - 1 and total <= limit:
             start = i + 1 - window
             if spans and spans[-1][1] >= start:
