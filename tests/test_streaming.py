@@ -57,3 +57,37 @@ def test_ring_rule_stream(spark, tmp_path):
             want.append((e, i))
             until = ts + 1800
     assert got == sorted(want)
+
+
+def test_rule_stream_fires_rests_and_sees_absence(spark, tmp_path):
+    from tidewarden.model import rules as R
+    from tidewarden.streaming.rules import rule_stream
+
+    start = 1_704_067_200
+    made = [
+        R.Rule("spend", "spend", R.every(R.aggregate("total_amount", "SUM", 3600, "GTE", 100, "ecommerce"), R.none(R.raw("order_status", "EQ", "cancelled"))), cooldown_seconds=600),
+        R.Rule("quiet", "quiet", R.aggregate("event_id", "COUNT", 43200, "EQ", 0, slide=43200)),
+    ]
+    lines = [("a", f"e{i}", start + 120 * i, "ecommerce", 60.0 if i % 2 else None, "cancelled" if i == 3 else "paid") for i in range(12)]
+    later = [("b", "x", start + 10 * 86400, "crm", None, None)]
+    (tmp_path / "in").mkdir()
+    names = ("entity_id", "event_id", "at", "source_system", "total_amount", "order_status")
+    for k, part in enumerate((lines, later, [("b", "y", start + 11 * 86400, "crm", None, None)])):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(names, x, strict=True))) for x in part))
+        import os
+
+        os.utime(tmp_path / "in" / f"{k}.json", (k + 1, k + 1))
+    stream = spark.readStream.schema("entity_id string, event_id string, at long, source_system string, total_amount double, order_status string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    timed = stream.withColumn("ts", F.timestamp_seconds("at")).withWatermark("ts", "1 hour")
+    query = rule_stream(timed, made, absence=True).writeStream.format("memory").queryName("rules_fired").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    assert query.exception() is None
+    got = {(r.rule_id, r.entity_id, r.event_id) for r in spark.table("rules_fired").collect()}
+    want, until = set(), 0
+    for i, (_, event, at, *_rest) in enumerate(lines):
+        total = sum(60 for j in range(i + 1) if j % 2)
+        if total >= 100 and i != 3 and at >= until:
+            want.add(("spend", "a", event))
+            until = at + 600
+    assert {g for g in got if g[0] == "spend"} == want
+    assert ("quiet", "a", None) in got
