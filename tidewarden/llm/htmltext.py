@@ -29,9 +29,11 @@ RAW = frozenset("script style title textarea xmp noembed noframes".split())
 BLOCKS = frozenset("html body address article blockquote center dd details dir div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr legend li main ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Words in class, id and role that mark what is no main text.
-MARKED = frozenset("ad ads adv advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+MARKED = frozenset("ad ads adv advert adverts advertisement advertisements advertising alert alerts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 MARKED_ARTICLE = frozenset("ad ads advert advertisement comment comments disqus promo replies reply sponsored".split())
 
+HEADED = frozenset("article content entry post story".split())  # their headers are part of the text
+
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|title|textarea|xmp|noembed|noframes)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -109,7 +111,8 @@ def blocks(page: str) -> list[tuple[str, bool]]:
             else:
                 left_out = name in DROPPED or (name == "header" and not articles)
                 if not left_out and attributes.strip():
-                    left_out = bool(marks(attributes) & MARKED) or bool(_HIDDEN.search(attributes))
+                    words = marks(attributes)
+                    left_out = bool(words & MARKED) or bool(_HIDDEN.search(attributes)) or ("header" in words and not articles and not words & HEADED)
             if left_out and not block:
                 line.append(" ")
             if left_out or (block and name != "hr"):
