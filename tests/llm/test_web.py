@@ -103,10 +103,10 @@ def test_extract_rows(spark, monkeypatch, rows_a_range):
     rows += [(100, "http://h0.x/a", PAGE), (101, "http://h0.x/a", PAGE), (102, None, PAGE), (103, "http://lone.x/", plain(7)), (104, "http://h0.x/z", None), (None, "nothing", ""), (0, rows[0][1], rows[0][2])]
     out = htmltext.extract(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")).collect()
     assert len(out) == len(rows) and all(r.n_chars == len(r.text) for r in out)
-    order = sorted(rows, key=lambda r: (htmltext._key(r[1]), -1 if r[0] is None else r[0]))
+    order = sorted(rows, key=lambda r: htmltext._key(r[1], r[0]))
     for i, (page, url, text) in enumerate(order):
-        key = htmltext._key(url)
-        near = [(htmltext._nearness(key, htmltext._key(order[j][1])), -j, order[j]) for j in (i - 1, i + 1) if 0 <= j < len(order)]
+        key = htmltext._key(url, page)
+        near = [(htmltext._nearness(key, htmltext._key(order[j][1], order[j][0])), -j, order[j]) for j in (i - 1, i + 1) if 0 <= j < len(order)]
         best = max(near, key=lambda x: x[:2])
         other = [t for t, _ in htmltext.blocks(best[2][2] or "")] if best[0] >= 0 else None
         assert (page, url, htmltext.main_text(htmltext.blocks(text or ""), other)) in {(r.page_id, r.url, r.text) for r in out}

@@ -183,9 +183,10 @@ def split_url(url: str | None) -> tuple[str, str]:
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), path
 
 
-def _key(url: str | None) -> str:
+def _key(url: str | None, page: int | None) -> str:
+    """Place in the order over host, path, URL and page; equal URLs go by page_id, null first."""
     host, path = split_url(url)
-    return f"{host}\x00{path}\x00{url or ''}"
+    return f"{host}\x00{path}\x00{url or ''}\x00{'' if page is None else format(page + 2**63, '020d')}"
 
 
 def _nearness(a: str, b: str) -> int:
@@ -205,32 +206,30 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A null or empty page has the empty text.  Pages without a URL share the empty host.
     Equal URLs are neighbours in the order of page_id.  No host is gathered: the order
-    over (host, path, url) is cut into ranges by bounds from a bounded sample of keys;
+    over (host, path, url, page_id) is cut into ranges by bounds from a bounded sample of keys;
     the pages at both ends of a range also go, as guests, to the ranges beside it, so
     bounds move work between tasks and change no pair.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     ranges = max(1, min(MOST_RANGES, -(-rows.count() // RANGE_ROWS)))
-    bounds = range_bounds([_key(u) for u in bounded_sample(rows, F.col("url"), 16 * ranges)], ranges)
-    # Ends of each range by key and page_id: two rows a range.
+    sample = bounded_sample(rows, F.struct(F.coalesce("url", F.lit("")).alias("url"), "page_id"), 16 * ranges)
+    bounds = range_bounds([_key(r.url, r.page_id) for r in sample], ranges)
+    # Ends of each range: two keys, whatever its size.
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list] = {}
+        found: dict[int, tuple[str, str]] = {}
         for batch in batches:
             for url, page in zip(batch.column("url").to_pylist(), batch.column("page_id").to_pylist(), strict=True):
-                key = (_key(url), -1 if page is None else page)
-                place = bisect_right(bounds, key[0])
-                here = found.setdefault(place, [key, key])
-                here[0], here[1] = min(here[0], key), max(here[1], key)
-        keys = [(place, *low, *high) for place, (low, high) in found.items()]
-        columns = list(zip(*keys, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["range", "k", "p", "k2", "p2"])
-
-    reduced = rows.select("url", "page_id").mapInArrow(ends, "range long, k string, p long, k2 string, p2 long")
-    reduced = reduced.groupBy("range").agg(F.min(F.struct("k", "p")).alias("low"), F.max(F.struct("k2", "p2")).alias("high"))
-    known = sorted((r["range"], tuple(r["low"]), tuple(r["high"])) for r in reduced.collect())
-    guests: dict[tuple[str, int], list[int]] = {}
+                key = _key(url, page)
+                place = bisect_right(bounds, key)
+                low, high = found.get(place, (key, key))
+                found[place] = min(low, key), max(high, key)
+        yield pa.RecordBatch.from_arrays([pa.array([*found], pa.int64()), *(pa.array([x[i] for x in found.values()], pa.string()) for i in (0, 1))], ["range", "low", "high"])
+
+    reduced = rows.select("url", "page_id").mapInArrow(ends, "range long, low string, high string")
+    known = sorted(tuple(r) for r in reduced.groupBy("range").agg(F.min("low"), F.max("high")).collect())
+    guests: dict[str, list[int]] = {}
     for (left, _, high), (right, low, _) in zip(known, known[1:], strict=False):
         guests.setdefault(high, []).append(right)
         guests.setdefault(low, []).append(left)
@@ -241,11 +240,11 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for page, url, text in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-                key = _key(url)
+                key = _key(url, page)
                 found = blocks(text or "")
                 row = (page, url, [t for t, _ in found], [a for _, a in found], key)
                 out.append((*row, bisect_right(bounds, key), False))
-                out += [(*row, place, True) for place in guests.get((key, -1 if page is None else page), ())]
+                out += [(*row, place, True) for place in guests.get(key, ())]
             if out:
                 types = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.string(), pa.int64(), pa.bool_())
                 names = [c.split()[0] for c in CUT.split(", ")]
@@ -271,7 +270,7 @@ def extract(pages: DataFrame) -> DataFrame:
         if row and not row[6]:
             yield _batch([result(before, row, None)])
 
-    dealt = rows.mapInArrow(cut_up, CUT).repartition("range").sortWithinPartitions("range", "k", "page_id", "guest")
+    dealt = rows.mapInArrow(cut_up, CUT).repartition("range").sortWithinPartitions("range", "k", "guest")
     return dealt.mapInArrow(paired, SCHEMA)
 
 
