@@ -107,3 +107,12 @@ def test_valid_and_dirty_make_up_the_input(spark, texts):
             assert row["output"] == text
         else:
             assert json.loads(row["output"])["error_reason"] == row["error_reason"]
+
+
+def test_counters(spark):
+    from pyspark.sql import Observation
+
+    events = spark.createDataFrame([(1, NESTED), (2, "{bad"), (3, "[]")], "id int, value string")
+    counters = Observation("validation")
+    validation.counted(validation.validate(events, spark.createDataFrame(catalog_rows(), "schema_id string, schema_payload string")), counters).collect()
+    assert counters.get == {"events": 3, "valid": 1, "dirty": 2}

@@ -21,7 +21,7 @@ A valid event keeps its text byte by byte.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import jsontext as J
@@ -117,3 +117,11 @@ def with_schema(events: DataFrame, catalog: DataFrame) -> DataFrame:
 def without_schema(events: DataFrame, catalog: DataFrame) -> DataFrame:
     """Events whose route key has none (anti-join)."""
     return events.join(broadcast_if_small(catalog.select("schema_id")), F.col("route_key") == F.col("schema_id"), "left_anti")
+
+
+def counted(validated: DataFrame, counters: Observation | str) -> DataFrame:
+    """The same rows; once they have been written, ``counters`` has how many were valid and dirty.
+
+    A name instead of an Observation serves streams, whose progress reports carry it.
+    """
+    return validated.observe(counters, F.count("*").alias("events"), F.count_if(F.col("status") == "valid").alias("valid"), F.count_if(F.col("status") == "dirty").alias("dirty"))
