@@ -45,7 +45,7 @@ def test_same_ids_as_the_library(lexicon, library, text):
     assert bpe.decode(want, lexicon) == library.decode(want, skip_special_tokens=False)
 
 
-@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|startoftext|>", "<|endoftext|><|endoftext|> x", "don't I'LL we'Ve", "abc" * 300, "é" * 200, "z" * 41, "Σ" * 50, "", " \n"])
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|startoftext|>", "<|endoftext|><|endoftext|> x", "don't I'LL we'Ve", "abc" * 300, "é" * 200, "z" * 41, "Σ" * 50, "", " \n", "<|ENDOFTEXT|>", "a\x1cb", "\x00 \x7f"])
 def test_special_tokens_and_long_words(lexicon, library, text):
     assert bpe.encode(text, lexicon) == library.encode(text, add_special_tokens=False).ids
 
@@ -53,13 +53,20 @@ def test_special_tokens_and_long_words(lexicon, library, text):
 def test_long_and_short_merging_agree(lexicon):
     r = random.Random(1)
     for _ in range(200):
-        word = "".join(r.choice("thearnedio") for _ in range(r.randint(1, 60)))
-        symbols = [lexicon.merger.letters[b] for b in word.encode()]
-        symbols[-1] += bpe.END
-        parts = [lexicon.merger.vocabulary[s] for s in symbols]
+        data = "".join(r.choice("thearnedio") for _ in range(r.randint(1, 60))).encode()
+        parts = [*(lexicon.merger.inner[b] for b in data[:-1]), lexicon.merger.last[data[-1]]]
         assert lexicon.merger._short(list(parts)) == lexicon.merger._long(list(parts))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=ALPHABET, max_size=12), max_size=8))
+def test_memo_gives_the_same(lexicon, library, texts):
+    memo = bpe.Memo(lexicon, lambda ids: " ".join(map(str, ids)).encode(), b" ")
+    for text in texts + ["<|ENDOFTEXT|> <|endoftext|>", *texts]:
+        got = b" ".join(map(memo.__getitem__, lexicon.pieces(text))).decode()
+        assert got == " ".join(map(str, library.encode(text, add_special_tokens=False).ids))
+
+
 ROWS = [(1, "The cat", "x", 0.5), (1, "The cat", "x", 0.5), (None, "a b", "x", None), (2, None, None, None), (3, "", None, None), (4, "word " * 5000, "y", 1.0), (5, "<|endoftext|>", "y", 1.0)]
 
 

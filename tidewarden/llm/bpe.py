@@ -20,7 +20,7 @@ import re
 import struct
 import tempfile
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from itertools import pairwise
 
 import numpy as np
@@ -32,11 +32,14 @@ from pyspark.sql import DataFrame
 from .common import map_batches, strings, text_rows
 
 END = "</w>"
-#: Words a worker remembers before it starts afresh.
-MEMO = 250_000
-
-# Plain characters need neither normalisation nor Unicode classes: ASCII and the Latin-1 letters.
-_NOT_PLAIN = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
+#: Pieces of text in one generation of a worker's memo.
+MEMO = 400_000
+#: Marks a special token among pieces; no text holds a lone surrogate.
+SPECIAL = "\ud800"
+
+# Plain characters need neither normalisation nor Unicode classes: ASCII and the Latin-1 letters,
+# but for four separators on which Python splits and the tokenizer does not.
+_NOT_PLAIN = re.compile("[^\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]")
 _PLAIN_WORD = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \t\n\r\x0b\x0ca-z0-9ß-öø-ÿ]+")
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 _ANY_WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
@@ -56,25 +59,31 @@ class Merger:
     def __init__(self, vocabulary: dict[str, int], merges: Iterable[tuple[str, str]]):
         self.vocabulary = vocabulary
         self.letters = byte_letters()
-        self.pairs = {(vocabulary[a], vocabulary[b]): (rank, vocabulary[a + b]) for rank, (a, b) in enumerate(merges)}
+        self.inner = [vocabulary[c] for c in self.letters]
+        self.last = [vocabulary[c + END] for c in self.letters]
+        # Rank and outcome of a pair in one number, so that the smallest is the next to merge.
+        self.pairs = {(vocabulary[a], vocabulary[b]): rank << 32 | vocabulary[a + b] for rank, (a, b) in enumerate(merges)}
 
     def ids(self, word: str) -> list[int]:
-        symbols = [self.letters[b] for b in word.encode()]
-        symbols[-1] += END
-        parts = [self.vocabulary[s] for s in symbols]
+        data = word.encode()
+        parts = [self.inner[b] for b in data]
+        parts[-1] = self.last[data[-1]]
         return self._short(parts) if len(parts) <= 40 else self._long(parts)
 
     def _short(self, parts: list[int]) -> list[int]:
-        pairs = self.pairs
-        while len(parts) > 1:
-            best, at = None, 0
-            for i, pair in enumerate(pairwise(parts)):
-                found = pairs.get(pair)
-                if found and (best is None or found[0] < best[0]):
-                    best, at = found, i
-            if best is None:
+        find, never = self.pairs.get, 1 << 62
+        ranks = [find(pair, never) for pair in pairwise(parts)]
+        while ranks:
+            best = min(ranks)
+            if best == never:
                 break
-            parts[at : at + 2] = [best[1]]
+            i = ranks.index(best)
+            parts[i] = best & 0xFFFFFFFF
+            del parts[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = find((parts[i - 1], parts[i]), never)
+            if i < len(ranks):
+                ranks[i] = find((parts[i], parts[i + 1]), never)
         return parts
 
     def _long(self, parts: list[int]) -> list[int]:
@@ -86,7 +95,7 @@ class Merger:
         def offer(i: int) -> None:
             j = after[i]
             if j < n and (found := self.pairs.get((parts[i], parts[j]))):
-                heapq.heappush(heap, (found[0], i, parts[i], parts[j]))
+                heapq.heappush(heap, (found >> 32, i, parts[i], parts[j]))
 
         for i in range(n):
             offer(i)
@@ -95,7 +104,7 @@ class Merger:
             j = after[i]
             if parts[i] != left or j >= n or parts[j] != right:
                 continue
-            parts[i], parts[j] = self.pairs[left, right][1], -1
+            parts[i], parts[j] = self.pairs[left, right] & 0xFFFFFFFF, -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
@@ -213,51 +222,82 @@ class Lexicon:
         self.merger = Merger(rest["vocab"], map(tuple, rest["merges"]))
         self.special: dict[str, int] = rest["special"]
         self.token = {i: t for t, i in [*rest["vocab"].items(), *self.special.items()]}
+        self.heads: dict[bytes, tuple[int, int] | None] = {}
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
-    def find(self, word: bytes) -> list[int] | None:
-        """The ids of a word of the automaton, else None."""
-        state = index = 0
+    def _walk(self, word: bytes, state: int, index: int) -> tuple[int, int] | None:
+        """State and word index after the bytes of ``word``, if there is a path."""
+        arc_of, first, base = self.map.find, self.first, self.labels
         for i in range(len(word)):
-            arc = self.map.find(word[i : i + 1], self.labels + self.first[state], self.labels + self.first[state + 1]) - self.labels
+            arc = arc_of(word[i : i + 1], base + first[state], base + first[state + 1]) - base
             if arc < 0:
                 return None
             index += self.count[arc]
             state = self.target[arc]
-        return self.output[self.start[index] : self.start[index + 1]].tolist() if self.final[state] else None
+        return state, index
+
+    def find(self, word: bytes) -> list[int] | None:
+        """The ids of a word of the automaton, else None."""
+        head = word[:4]
+        if head not in self.heads:  # as many as the automaton has, and misses up to a bound
+            if len(self.heads) >= MEMO:
+                self.heads.clear()
+            self.heads[head] = self._walk(head, 0, 0)
+        at = self.heads[head]
+        at = at and self._walk(word[4:], *at)
+        if at is None or not self.final[at[0]]:
+            return None
+        return self.output[self.start[at[1]] : self.start[at[1] + 1]].tolist()
 
     def ids(self, word: str) -> list[int]:
-        if word in self.special:
-            return [self.special[word]]
         found = self.find(word.encode())
         return self.merger.ids(word) if found is None else found
 
-    def words(self, text: str) -> list[str]:
-        """The words of a text; special tokens stand as words of their own."""
+    def pieces(self, text: str) -> list[str]:
+        """The text cut where no word goes on: at white space, or into words, or at special tokens.
+
+        ``words`` takes a piece further.  A special token is a piece behind ``SPECIAL``.
+        """
         if self.split and "<" in text and len(parts := self.split.split(text)) > 1:
-            return [w for part in parts for w in ([part] if part in self.special else self._words(part))]
-        return self._words(text)
+            return [p for part in parts for p in ([SPECIAL + part] if part in self.special else self._pieces(part))]
+        return self._pieces(text)
 
     @staticmethod
-    def _words(text: str) -> list[str]:
+    def _pieces(text: str) -> list[str]:
         if _NOT_PLAIN.search(text) is None:
-            return _PLAIN_WORD.findall(text.lower())
+            return text.lower().split()
         # Lower-casing goes by single characters, so a last sigma is like any other.
         return _ANY_WORD.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
+    @staticmethod
+    def words(piece: str) -> list[str]:
+        return [piece] if _NOT_PLAIN.search(piece) else _PLAIN_WORD.findall(piece)
+
 
 class Memo(dict):
-    """word -> make(word's ids), for a bounded number of words."""
+    """piece -> what ``make`` gives for its words' ids, joined.
 
-    def __init__(self, lexicon: Lexicon, make):
-        self.lexicon, self.make = lexicon, make
+    Remembers a bounded number of pieces in two generations: as one fills up, the one
+    before it is forgotten, so frequent pieces stay.
+    """
 
-    def __missing__(self, word: str):
-        out = self.make(self.lexicon.ids(word))
-        if len(word) <= 64:
+    def __init__(self, lexicon: Lexicon, make: Callable[[list[int]], bytes], mark: bytes):
+        self.lexicon, self.make, self.mark = lexicon, make, mark
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self.before.get(piece)
+        if out is None:
+            if piece[0] == SPECIAL:
+                out = self.make([self.lexicon.special[piece[1:]]])
+            else:
+                words = self.lexicon.words(piece)
+                out = self.make(self.lexicon.ids(piece)) if len(words) == 1 else self.mark.join([self[w] for w in words])
+        if len(piece) <= 64:
             if len(self) >= MEMO:
+                self.before = dict(self)
                 self.clear()
-            self[word] = out
+            self[piece] = out
         return out
 
 
@@ -269,9 +309,9 @@ def loaded(blob: bytes) -> tuple[Lexicon, Memo, Memo, Memo]:
     name = hashlib.sha256(blob).hexdigest()
     if name not in _loaded:
         x = Lexicon(blob)
-        packed = Memo(x, lambda ids: struct.pack(f"<{len(ids)}I", *ids))
-        decimal = Memo(x, lambda ids: " ".join(map(str, ids)).encode())
-        tokens = Memo(x, lambda ids: " ".join(x.token[i] for i in ids).encode())
+        packed = Memo(x, lambda ids: struct.pack(f"<{len(ids)}I", *ids), b"")
+        decimal = Memo(x, lambda ids: " ".join(map(str, ids)).encode(), b" ")
+        tokens = Memo(x, lambda ids: " ".join(x.token[i] for i in ids).encode(), b" ")
         _loaded[name] = x, packed, decimal, tokens
     return _loaded[name]
 
@@ -311,11 +351,11 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
         lexicon, _, decimal, tokens = shared.get()
         counts, ids, decoded = [], [], []
         for text in strings(batch, "text"):
-            words = lexicon.words(text)
-            line = b" ".join(map(decimal.__getitem__, words))
+            pieces = lexicon.pieces(text)
+            line = b" ".join(map(decimal.__getitem__, pieces))
             counts.append(line.count(b" ") + 1 if line else 0)
             ids.append(hashlib.sha256(line).hexdigest())
-            decoded.append(hashlib.sha256(b" ".join(map(tokens.__getitem__, words))).hexdigest())
+            decoded.append(hashlib.sha256(b" ".join(map(tokens.__getitem__, pieces))).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_batches(text_rows(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -323,7 +363,13 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 
 def encode(text: str, lexicon: Lexicon) -> list[int]:
     """The ids of one text."""
-    return [i for word in lexicon.words(text) for i in lexicon.ids(word)]
+    out: list[int] = []
+    for piece in lexicon.pieces(text):
+        if piece[0] == SPECIAL:
+            out.append(lexicon.special[piece[1:]])
+        else:
+            out += [i for word in lexicon.words(piece) for i in lexicon.ids(word)]
+    return out
 
 
 def decode(ids: Iterable[int], lexicon: Lexicon) -> str:

@@ -81,7 +81,7 @@ def pack_documents(docs: DataFrame, path: str, length: int = 2048, end_id: int =
         task = TaskContext.get()
         part = (task.partitionId() if task else 0) << 40
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), strings(batch, "text"), strict=True):
-            data = b"".join([*map(packed.__getitem__, lexicon.words(text)), end])
+            data = b"".join([*map(packed.__getitem__, lexicon.pieces(text)), end])
             total = len(data) // 4
             shared.rows = getattr(shared, "rows", 0) + 1  # repeated or null ids still differ by their place
             for start in range(0, total, length):
