@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a candidate block and of a query block: what one task holds.
 CANDIDATES, QUERIES = 8192, 1024
-#: Shares of the lists' length at which bounds are taken.
-DEPTHS = (0.03, 0.1, 0.25, 0.5, 1.0)
+#: Shares of the lists' length at which bounds are taken, and queries bounded at once.
+DEPTHS, TOGETHER = (0.05, 0.2, 0.5), 128
 
 
 class Lists:
@@ -28,39 +28,67 @@ class Lists:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order])
-        self.order = np.argsort(self.vectors, axis=0, kind="stable")  # of each component, ascending
-        self.values = np.take_along_axis(self.vectors, self.order, axis=0).astype(np.float64)
-        n = len(ids)
-        self.place = np.empty_like(self.order)
-        np.put_along_axis(self.place, self.order, np.arange(n)[:, None], axis=0)
-
-    def top(self, query: np.ndarray, k: int, skip: int | None = None) -> list[tuple[int, int]]:
-        """The k best (score, id) of the block, ties to the smaller id; ``skip`` takes no part."""
-        n, dims = self.vectors.shape
-        k_all = k + 1 if skip is not None else k
-        weight = query.astype(np.float64)
-        down = weight >= 0
-        worst = np.where(down, self.values[0], self.values[-1]) * weight
-        kept = np.arange(n)
-        read = np.zeros(n)
-        for share in DEPTHS if n > 4 * k_all else (1.0,):
-            depth = max(1, int(n * share))
-            if depth >= n:
-                break
-            # What has been read: the first ``depth`` entries of each list.
-            seen = np.where(down, self.place[kept] >= n - depth, self.place[kept] < depth)
-            part = self.vectors[kept] * weight * seen
-            read = part.sum(axis=1)
-            edge = np.where(down, self.values[n - depth], self.values[depth - 1]) * weight
-            low, high = read + (~seen) @ worst, read + (~seen) @ edge
-            bar = np.partition(low, len(low) - k_all)[len(low) - k_all]
-            kept = kept[high >= bar]  # a vector never read has the sum of the edges as its bound, and goes with the others
-            if len(kept) <= 4 * k_all:
-                break
-        scores = self.vectors[kept] @ query
-        best = np.lexsort((self.ids[kept], -scores))[:k_all]
-        found = [(int(scores[i]), int(self.ids[kept[i]])) for i in best]
-        return [x for x in found if x[1] != skip][:k]
+        lists = np.argsort(self.vectors, axis=0, kind="stable")  # of each component, ascending
+        self.values = np.take_along_axis(self.vectors, lists, axis=0).astype(np.float64)
+        self.place = np.empty_like(lists)
+        np.put_along_axis(self.place, lists, np.arange(len(ids))[:, None], axis=0)
+        self.read: dict[int, tuple[np.ndarray, ...]] = {}
+
+    def known(self, depth: int) -> tuple[np.ndarray, ...]:
+        """What the first ``depth`` entries of every list tell of each vector.
+
+        Four tables of component values: what is read, with the rest at the list's far end
+        (for lower bounds) or at the reading place (for upper bounds), for lists read from
+        their upper end and for lists read from their lower end.
+        """
+        if depth not in self.read:
+            n = len(self.ids)
+            from_top, from_bottom = self.place >= n - depth, self.place < depth
+            self.read[depth] = (
+                np.where(from_top, self.vectors, self.values[0]),
+                np.where(from_top, self.vectors, self.values[n - depth]),
+                np.where(from_bottom, self.vectors, self.values[-1]),
+                np.where(from_bottom, self.vectors, self.values[depth - 1]),
+            )
+        return self.read[depth]
+
+    def top(self, queries: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+        """For each query the k best (score, id) of the block, ties to the smaller id.
+
+        A positive weight reads its list from the top, a negative one from the bottom.
+        Queries that still have many candidates read on.
+        """
+        n = len(self.ids)
+        out: list[list[tuple[int, int]]] = [[] for _ in queries]
+        for begin in range(0, len(queries), TOGETHER):
+            waiting = np.arange(begin, min(begin + TOGETHER, len(queries)))
+            kept: list[np.ndarray] = [np.arange(n)] * len(waiting)
+            for depth in (int(n * share) for share in DEPTHS):
+                if n <= 4 * k or not depth or not len(waiting):
+                    break
+                up, down = np.maximum(queries[waiting], 0).astype(np.float64), np.minimum(queries[waiting], 0).astype(np.float64)
+                top_low, top_high, bottom_low, bottom_high = self.known(depth)
+                low = up @ top_low.T + down @ bottom_low.T
+                high = up @ top_high.T + down @ bottom_high.T
+                bar = np.partition(low, n - k, axis=1)[:, n - k]
+                # A vector in no read part has the sum of the reading places as its upper bound and goes like any other.
+                kept = [np.flatnonzero(x) for x in high >= bar[:, None]]
+                few = np.array([len(x) <= max(8 * k, n // 64) for x in kept])
+                for i in np.flatnonzero(few):
+                    out[waiting[i]] = self.resolved(queries[waiting[i]], kept[i], k)
+                waiting, kept = waiting[~few], [x for x, f in zip(kept, few, strict=True) if not f]
+            for i, rows in zip(waiting, kept, strict=True):
+                out[i] = self.resolved(queries[i], rows, k)
+        return out
+
+    def resolved(self, query: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """The k best of the rows by their whole scores; rows are in the order of ids."""
+        scores = self.vectors[rows] @ query
+        if len(rows) > k:
+            fine = scores >= np.partition(scores, len(rows) - k)[len(rows) - k]
+            rows, scores = rows[fine], scores[fine]
+        best = np.argsort(-scores, kind="stable")[:k]
+        return [(int(scores[i]), int(self.ids[rows[i]])) for i in best]
 
 
 def whole_numbers(column: Column) -> Column:
@@ -100,10 +128,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
                 flat = table.column("v").combine_chunks().flatten().to_numpy()
                 return table.column("vec_id").to_numpy(), flat.reshape(table.num_rows, dims)
 
-            ids, found = parts(left)
-            lists, here = Lists(ids, found), set(ids.tolist())
-            for query_id, query in zip(*parts(right), strict=True):
-                out += [(query_id, i, score) for score, i in lists.top(query, k, query_id if query_id in here else None)]
+            names, asked = parts(right)
+            for query_id, best in zip(names.tolist(), Lists(*parts(left)).top(asked, k + 1), strict=True):
+                out += [(query_id, i, score) for score, i in best if i != query_id][:k]
         columns = zip(*out, strict=True) if out else ([], [], [])
         return pa.table([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
