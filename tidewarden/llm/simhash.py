@@ -7,10 +7,9 @@ have a half that differs in at most one bit.  Each fingerprint is indexed under
 candidate is verified.
 
 No step lists all pairs of a group.  Equal fingerprints are one from the start.  A
-bucket of two is its own pair, read from minimum and maximum.  A larger bucket is
-reduced to a spanning star for each of its linked parts; a bucket over ``BUCKET``
-fingerprints is first indexed again under variants of the other half, after which
-at most 18 bits are free, so no task ever holds more than 2^18 fingerprints.
+bucket is reduced to a spanning star for each of its linked parts.  A bucket over
+``BUCKET`` fingerprints is first indexed again under variants of the other half, after
+which at most 18 bits are free, so no comparison ever holds more than 2^18 of them.
 """
 
 from __future__ import annotations
@@ -63,30 +62,35 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_batches(text_rows(docs), run, "doc_id long, fp long")
 
 
-def linked_parts(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprints in order, and for each the smallest that a chain of links within ``fps`` reaches.
+def linked_parts(fps: np.ndarray) -> np.ndarray:
+    """For each of the sorted, distinct fingerprints the smallest one that a chain of links within ``fps`` reaches.
 
-    Few are compared pair by pair in blocks; many are looked up by each of their
-    neighbours within the bits that vary, so the cost stays linear in their number.
+    A fingerprint at a time takes in all that are near; up to ``BUCKET`` of them are compared in blocks.
+    """
+    label = np.arange(len(fps))
+    waiting = np.ones(len(fps), bool)
+    for i in range(len(fps)):
+        if not waiting[i]:
+            continue
+        waiting[i] = False
+        reach = np.array([i])
+        while len(reach) and waiting.any():
+            rest = np.flatnonzero(waiting)
+            near = np.zeros(len(rest), bool)
+            for at in range(0, len(reach), 256):
+                near |= (np.bitwise_count(fps[reach[at : at + 256], None] ^ fps[rest]) <= NEAR).any(axis=0)
+            reach = rest[near]
+            label[reach] = i
+            waiting[reach] = False
+    return fps[label]
+
+
+def linked_cube(fps: np.ndarray) -> np.ndarray:
+    """The same for many fingerprints that vary in few bits: each looks its neighbours up.
+
+    The cost is linear in their number; the varying bits (18 at most) bound the neighbours.
     """
-    fps = np.sort(fps.view(np.uint64))
     label = np.arange(len(fps))
-    if len(fps) <= BUCKET:
-        waiting = np.ones(len(fps), bool)
-        for i in range(len(fps)):
-            if not waiting[i]:
-                continue
-            waiting[i] = False
-            reach = np.array([i])
-            while len(reach) and waiting.any():
-                rest = np.flatnonzero(waiting)
-                near = np.zeros(len(rest), bool)
-                for at in range(0, len(reach), 256):
-                    near |= (np.bitwise_count(fps[reach[at : at + 256], None] ^ fps[rest]) <= NEAR).any(axis=0)
-                reach = rest[near]
-                label[reach] = i
-                waiting[reach] = False
-        return fps, fps[label]
     varies = int(np.bitwise_or.reduce(fps) ^ np.bitwise_and.reduce(fps))
     bits = [np.uint64(1 << b) for b in range(64) if varies >> b & 1]
     masks = [np.bitwise_or.reduce(np.array(c, np.uint64)) for n in range(1, NEAR + 1) for c in combinations(bits, n)]
@@ -98,71 +102,108 @@ def linked_parts(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             label[hit] = np.minimum(label[hit], label[at[hit]])
         label = label[label]
         if (label == before).all():
-            return fps, fps[label]
+            return fps[label]
 
 
-def stars(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Links (a, b) that join the linked parts of each bucket: each member with the smallest of its part.
+def bucket_links(fps: np.ndarray, high_half: bool | None, out: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Append the links of one bucket: each member with the smallest of its linked part.
 
-    ``rows`` must already be bounded to a few fingerprints a bucket (2^18 at most).
+    ``high_half`` tells which half the bucket is indexed by; null for one that is already
+    indexed by both.  A crowded bucket is indexed by the other half's quarters, one of
+    which differs by a bit at most, one variant at a time.
+    """
+    if len(fps) <= BUCKET or high_half is None:
+        found = linked_parts(fps) if len(fps) <= BUCKET else linked_cube(fps)
+        out.append((fps[fps != found], found[fps != found]))
+        return
+    for quarter in (0, 16) if high_half else (32, 48):
+        part = fps >> np.uint64(quarter) & np.uint64(0xFFFF)
+        for j in range(16):
+            key = part & np.uint64(~(1 << j) & 0xFFFF)
+            order = np.argsort(key, kind="stable")
+            for group in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+                if len(group) > 1:
+                    bucket_links(fps[group], None, out)
+
+
+def stars(rows: DataFrame) -> DataFrame:
+    """Links (a, b) within the buckets of ``rows`` (key, other, fp), read as a stream in their order.
+
+    Links of a bucket join each member with the smallest of its linked part.  The members
+    of a bucket of two are compared directly, all such buckets of a batch at once; other
+    buckets whose members were met just before in the same task are passed over.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_key = kept_fp = None
-
-        def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            edge = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
-            found = [linked_parts(np.unique(part.view(np.uint64))) for part in np.split(fp, edge) if len(part) > 1]
-            a, b = (np.concatenate([x[i] for x in found]).view(np.int64) if found else np.empty(0, np.int64) for i in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
-
+        met: set[bytes] = set()
+
+        def links(key: np.ndarray, other: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            start = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (other[1:] != other[:-1])) + 1, [len(fp)]])
+            size = np.diff(start)
+            two = start[:-1][size == 2]
+            two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= NEAR]
+            out = [(np.maximum(fp[two], fp[two + 1]), np.minimum(fp[two], fp[two + 1]))]
+            for i in np.flatnonzero(size > 2):
+                members = np.sort(fp[start[i] : start[i + 1]])
+                name = members.tobytes() if len(members) <= 64 else b""
+                if name in met:
+                    continue
+                if name:
+                    if len(met) >= 100_000:
+                        met.clear()
+                    met.add(name)
+                bucket_links(members, None if other[start[i]] >= 0 else bool(key[start[i]] >> 32 >= 32), out)
+            pairs = np.unique(np.stack([np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])], axis=1), axis=0).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        kept: tuple[np.ndarray, ...] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
-            fp = batch.column("fp").to_numpy()
-            if kept_key is not None:
-                key, fp = np.concatenate([kept_key, key]), np.concatenate([kept_fp, fp])
-            change = np.flatnonzero(np.any(key != key[-1], axis=1))
+            now = tuple(batch.column(c).to_numpy() for c in ("key", "other", "fp"))
+            now = (now[0], now[1], now[2].view(np.uint64))
+            if kept is not None:
+                now = tuple(np.concatenate(x) for x in zip(kept, now, strict=True))
+            change = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
             whole = change[-1] + 1 if len(change) else 0
             if whole:
-                yield links(key[:whole], fp[:whole])
-            kept_key, kept_fp = key[whole:], fp[whole:]
-        if kept_key is not None:
-            yield links(kept_key, kept_fp)
+                yield links(*(x[:whole] for x in now))
+            kept = tuple(x[whole:] for x in now)
+        if kept is not None:
+            yield links(*kept)
 
-    dealt = rows.repartition(*map(F.col, keys)).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "a long, b long")
+    return rows.repartition("key", "other").sortWithinPartitions("key", "other").mapInArrow(run, "a long, b long")
 
 
 def _variants(fp: str, low: int, width: int) -> str:
     """SQL: an array of keys, one for each bit of the ``width`` bits from ``low`` wiped out.
 
-    A key packs which part it is and the wiped position above the remaining bits.
+    A key holds the wiped position above the remaining bits.
     """
-    mask = (1 << width) - 1
-    part = f"(shiftrightunsigned({fp}, {low}) & {mask}L)"
+    part = f"(shiftrightunsigned({fp}, {low}) & {(1 << width) - 1}L)"
     return f"transform(sequence(0, {width - 1}), j -> ({part} & ~shiftleft(1L, j)) | shiftleft(cast({low} + j AS BIGINT), {width}))"
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) whose connected parts are those of all pairs within ``NEAR`` bits.
 
-    ``distinct``: a column ``fp`` without repeats.
+    ``distinct``: a column ``fp`` without repeats.  All variants go through one shuffle.
+    Halves that more than 1/1500 of the fingerprints share (3000 of them at most, so they
+    are broadcast) are found first, and their buckets are dealt by the other half as well.
     """
-    keyed = distinct.selectExpr("fp", f"explode(concat({_variants('fp', 0, 32)}, {_variants('fp', 32, 32)})) AS key")
-    # One row for each bucket of two or more; buckets of the same members, told by count,
-    # ends and two independent 64-bit sums, give the same links and are kept once.
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"), F.expr("bit_xor(fp)").alias("x"), F.expr("bit_xor(xxhash64(fp))").alias("y"))
-    buckets = cut(buckets.where("n > 1").groupBy("n", "low", "high", "x", "y").agg(F.min("key").alias("key")))
-    pairs = buckets.where(f"n = 2 AND bit_count(low ^ high) <= {NEAR}").selectExpr("high AS a", "low AS b")
-    members = keyed.join(buckets.where("n > 2").select("key", "n"), "key")
-    small = stars(members.where(F.col("n") <= BUCKET).select("key", "fp"), ["key"])
-    # The other half of a crowded bucket: its two 16-bit quarters, one of which differs by a bit at most.
-    low_other = _variants("fp", 0, 16), _variants("fp", 16, 16)
-    high_other = _variants("fp", 32, 16), _variants("fp", 48, 16)
-    finer = members.where(F.col("n") > BUCKET).selectExpr("key", "fp", f"explode(CASE WHEN shiftrightunsigned(key, 32) < 32 THEN concat({high_other[0]}, {high_other[1]}) ELSE concat({low_other[0]}, {low_other[1]}) END) AS other")
-    return pairs.unionByName(small).unionByName(stars(finer, ["key", "other"])).distinct()
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = distinct.select("fp").repartition(parts, "fp")
+    crowded = max(BUCKET, distinct.count() // 1500)
+    halves = spread.selectExpr(f"explode(array(fp & {2**32 - 1}L, shiftrightunsigned(fp, 32) | {2**32}L)) AS half")
+    hot = cut(halves.groupBy("half").count().where(F.col("count") > crowded).select("half"))
+    keyed = spread.selectExpr("fp", f"explode(concat({_variants('fp', 0, 32)}, {_variants('fp', 32, 32)})) AS key")
+    if hot.isEmpty():
+        return stars(keyed.select("key", F.lit(-1).cast("long").alias("other"), "fp")).distinct()
+    wiped = f"explode(transform(sequence(0, 31), j -> (half & {2**32 - 1}L & ~shiftleft(1L, j)) | shiftleft(shiftrightunsigned(half, 32) * 32L + j, 32))) AS key"
+    marked = keyed.join(F.broadcast(hot.selectExpr(wiped).distinct().withColumn("hot", F.lit(True))), "key", "left")
+    low, high = (f"concat({_variants('fp', at, 16)}, {_variants('fp', at + 16, 16)})" for at in (0, 32))
+    other = f"explode(CASE WHEN hot IS NULL THEN array(-1L) WHEN shiftrightunsigned(key, 32) < 32 THEN {high} ELSE {low} END) AS other"
+    return stars(marked.selectExpr("key", other, "fp")).distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
