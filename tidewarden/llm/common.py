@@ -53,13 +53,15 @@ def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
-def bounded_sample(df: DataFrame, key: Column, rows: int) -> list:
-    """``rows`` keys at most, those of smallest hash: the same ones on every run.
+def bounded_sample(df: DataFrame, key: Column, rows: int, total: int) -> list:
+    """About ``rows`` distinct keys of ``total`` rows: those whose hash falls under a bound, the same on every run.
 
-    It only places partition bounds; no result depends on which keys it has.
+    It only places partition bounds; no result depends on which keys it has.  A key that
+    many rows share counts once, so no more than its share of the distinct keys arrives.
     """
     keys = df.select(key.alias("k")).where("k is not null")
-    return [r.k for r in keys.orderBy(F.xxhash64("k"), "k").limit(rows).collect()]
+    bound = min(2**31, -(-(2**31) * rows // max(1, total)))
+    return [r.k for r in keys.where(F.pmod(F.xxhash64("k"), F.lit(2**31)) < bound).distinct().collect()]
 
 
 def range_bounds(sample: list, parts: int) -> list:

@@ -125,8 +125,10 @@ def neighbour_ranges(rows: DataFrame) -> DataFrame:
     ids; they move work between tasks and change no result.
     """
     keyed = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.xxhash64("text", F.col("text").isNull()).alias("h"))
-    ranges = max(1, min(MOST_RANGES, -(-rows.count() // RANGE_ROWS)))
-    bounds = np.array(range_bounds(bounded_sample(keyed, F.col("k"), 16 * ranges), ranges), np.int64)
+    total = rows.count()
+    ranges = max(1, min(MOST_RANGES, -(-total // RANGE_ROWS)))
+    sample = bounded_sample(keyed, F.col("k"), 16 * ranges, total) if ranges > 1 else []
+    bounds = np.array(range_bounds(sample, ranges), np.int64)
 
     def ranged(batch: pa.RecordBatch) -> pa.RecordBatch:
         places = np.searchsorted(bounds, batch.column("k").to_numpy(), side="right")

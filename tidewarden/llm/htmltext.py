@@ -212,8 +212,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    ranges = max(1, min(MOST_RANGES, -(-rows.count() // RANGE_ROWS)))
-    sample = bounded_sample(rows, F.struct(F.coalesce("url", F.lit("")).alias("url"), "page_id"), 16 * ranges)
+    total = rows.count()
+    ranges = max(1, min(MOST_RANGES, -(-total // RANGE_ROWS)))
+    sample = bounded_sample(rows, F.struct(F.coalesce("url", F.lit("")).alias("url"), "page_id"), 16 * ranges, total) if ranges > 1 else []
     bounds = range_bounds([_key(r.url, r.page_id) for r in sample], ranges)
     # Ends of each range: two keys, whatever its size.
 
