@@ -192,7 +192,8 @@ def links(distinct: DataFrame) -> DataFrame:
     are broadcast) are found first, and their buckets are dealt by the other half as well.
     """
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = distinct.select("fp").repartition(parts, "fp")
+    # A row becomes 64, so rows are dealt anew: left where they are, few tasks would hold them all.
+    spread = distinct.select("fp").repartition(parts, F.expr("shiftrightunsigned(fp, 1)"))
     crowded = max(BUCKET, distinct.count() // 1500)
     halves = spread.selectExpr(f"explode(array(fp & {2**32 - 1}L, shiftrightunsigned(fp, 32) | {2**32}L)) AS half")
     hot = cut(halves.groupBy("half").count().where(F.col("count") > crowded).select("half"))
