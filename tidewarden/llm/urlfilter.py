@@ -17,25 +17,32 @@ from pyspark.sql import DataFrame
 # Fixed values: (host, path, verdict) of the site rules.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
-# Words from which the labelled URLs are composed.
-BLOCKED_NAMES = ("cheap-pills", "casino-win", "free-bets", "spam-farm", "ads-track", "win-cash-now", "best-loans-4u", "hot-deals-77", "click-bait", "xxx-cams", "slots-99-bonus", "buy-followers")
-ALLOWED_NAMES = ("news", "wikipedia", "museum", "therin", "library", "tionsh", "university", "ththre", "weather", "ththon", "gazette", "science", "health", "archive", "theren", "docs")
+# Words from which the labelled URLs are composed.  Both lists have hosts with and without hyphens and digits.
+BLOCKED_NAMES = ("cheappills", "casino-win", "freebets24", "spamfarm", "ads-track", "wincash", "best-loans-4u", "hotdeals", "click-bait", "pokerstream", "slots-99-bonus", "buyfollowers", "replicawatch", "miracle-diet", "cryptodouble", "instantcredit", "sweepstake7", "dating-tonight")
+ALLOWED_NAMES = ("news", "open-library", "museum", "saint-james-school", "gazette", "city-hospital", "university", "weather", "new-town-council", "science", "radio4", "archive", "choir-of-the-valley", "handbook", "observatory", "rail-timetable", "gardening", "channel9")
+BLOCKED_SUFFIXES, ALLOWED_SUFFIXES = ("top", "info", "com", "biz", "net"), ("org", "com", "edu", "net", "info")
+TOPICS = ("history", "opening-hours", "annual-report", "weather-in-the-north", "contact", "how-to-read-a-map", "minutes")
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The default labelled URLs: (url, 1 to block or 0 to allow), composed from the words above."""
-    out = []
-    for label, names in ((1, BLOCKED_NAMES), (0, ALLOWED_NAMES)):
-        for i, name in enumerate(names):
-            for j, suffix in enumerate(("com", "net", "org")):
-                prefix = ("", "www.", "blog.", "m.")[(i + j) % 4]
-                tail = ("", "?utm_source=feed", "#top", "?page=2&ref=x", ".html", "/")[(2 * i + 3 * j) % 6]
-                out.append((f"http{'s' * ((i + j) % 2)}://{prefix}{name}.example.{suffix}/{('en', 'de', 'fr', 'es')[(i + 2 * j) % 4]}/{(37 * i + 101 * j) % 990}{tail}", label))
-                if label:
-                    out.append((f"http://{name}{i}.{suffix}/go/{i}{j}/{'9' * (j + 2)}?id={i * 7919}&aff={j}&sid={i + j}&u=x", 1))
-                else:
-                    out.append((f"https://{prefix}{name}.{suffix}/{('about', 'story', 'guide')[j]}/{name}-{i}", 0))
-    return out
+    """The default labelled URLs: (url, 1 to block or 0 to allow), composed from the words above.
+
+    No single feature separates the classes: each has long and short URLs, deep and flat
+    paths, parameters, digits, hyphens and the suffixes com, net and info.
+    """
+    blocked, allowed = [], []
+    for i, (bad, good) in enumerate(zip(BLOCKED_NAMES, ALLOWED_NAMES, strict=True)):
+        for j in range(6):
+            n = 7919 * (i + 1) + 104729 * (j + 1)
+            code = "".join("abcdefghijklmnopqrstuvwxyz0123456789"[n * (k + 3) ** 3 % 36] for k in range(8 + n % 9))
+            topic, other = TOPICS[(i + j) % 7], TOPICS[(i + 3 * j + 2) % 7]
+            host = f"{('', 'www.', 'm.', 'secure.login.', '')[(i + j) % 5]}{bad}{('', n % 90, '')[(i + 2 * j) % 3]}.{BLOCKED_SUFFIXES[(2 * i + j) % 5]}"
+            tail = (f"go/{code}?id={n}&aff={j}&u={code}", "order/now?ref=mail&aff=partner&sid=summer", f"?ref={code}", f"a/b/c/{code}.php?x={n}", "win", f"{topic}?from=mail&to=offer&step=one")[(i + j) % 6]
+            blocked.append((f"http{'s' * ((i + j) % 2)}://{host}/{tail}", 1))
+            host = f"{('www.', '', 'blog.', 'www.', 'data.archive.')[(i + j) % 5]}{good}.{ALLOWED_SUFFIXES[(2 * i + j) % 5]}"
+            tail = (topic, f"{2001 + n % 20}/{n % 12 + 1:02d}/{n % 28 + 1:02d}/{n}.html", f"{topic}/{other}", f"search?q={topic}&page={j + 1}", f"records/{n * 31}/{n % 1000}", f"{topic}/{n % 100}/{other}.html#top")[(i + j) % 6]
+            allowed.append((f"http{'s' * ((i + j) % 3 > 0)}://{host}/{tail}", 0))
+    return blocked + allowed
 
 
 def host_path_sql(url: str = "url", dialect: str = "spark") -> tuple[str, str]:
