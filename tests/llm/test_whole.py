@@ -1,6 +1,10 @@
 """Cases in which an operator once did less than its whole job."""
 
-from tidewarden.llm import urlfilter
+import random
+
+import numpy as np
+
+from tidewarden.llm import fingerprints, urlfilter
 
 
 def test_trees_use_the_dealt_features():
@@ -18,3 +22,16 @@ def test_trees_use_the_dealt_features():
     assert {"length", "digits", "entropy", "parameters", "suffix"} <= set().union(*map(used, trees.trees))
     assert len({trees.score(u) for u, _ in labelled}) > 20
     assert trees.score("https://www.saint-mary-hospital.org/opening-hours") < 0 < trees.score("http://luckyprize.top/go/x81kd0?id=58113&aff=2&u=x81kd0")
+
+
+def test_repeated_lines_keep_their_weight():
+    errors = []
+    for seed in range(30):
+        r = random.Random(seed)
+        line = " ".join(f"l{seed}x{i}" for i in range(5)) + " "
+        texts = [line * n + " ".join(r.choice("abcdefghij") + str(r.randrange(900)) for _ in range(150)) for n in (60, 40 + seed)]
+        x, y = (dict(zip(*(v.tolist() for v in fingerprints.terms(t)), strict=True)) for t in texts)
+        keys = set(x) | set(y)
+        exact = sum(min(x.get(k, 0), y.get(k, 0)) for k in keys) / sum(max(x.get(k, 0), y.get(k, 0)) for k in keys)
+        errors.append(fingerprints.likeness(*map(fingerprints.signature, texts)) - exact)
+    assert abs(np.mean(errors)) < 0.02 and np.abs(errors).max() < 0.18

@@ -1,14 +1,16 @@
 """Document fingerprints by consistent weighted sampling.
 
-The terms of a text are its runs of five words, weighted by their counts.  Each term
-and weight draws, from the term's hash alone, gamma variables r and c and a uniform
-shift b.  With t = floor(ln w / r + b) the sample is a = ln c - r (t - b) - r, and the
-smallest a wins, leaving (term, t).  Two texts leave the same sample with a probability
-equal to their generalised Jaccard similarity.
-
-The term's hash also picks one of ``BINS`` bins, each of which keeps its own smallest
-sample.  So every term is drawn once, not once for each place of the signature, and
-the likeness of two texts is the share of equal samples among bins that either fills.
+The terms of a text are its runs of five words, weighted by their counts.  For each of
+``PLACES`` places every term and weight draws, from the hash of term and place alone,
+gamma variables r and c and a uniform shift b.  With t = floor(ln w / r + b) the sample
+is a = ln c - r (t - b) - r, and the smallest a over all terms wins, leaving (term, t).
+Two texts leave the same sample with a probability equal to their generalised Jaccard
+similarity; their likeness is the share of places with equal samples.
+
+The variables come from three exponentials: c = e1 + e2, s = ln(c / e1), r = s + e3 and
+b = 1 - s / r.  Then r and c are independent gamma(2) variables, b is uniform and
+independent of both, and for weight 1 the sample is ln e1 with t = 0.  So among terms of
+weight 1, the bulk of any text, the smallest hash wins and no logarithm is taken.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, map_batches, range_bounds, text_rows
 
-BINS = 128
+PLACES = 128
 SHINGLE = 5
+#: Terms drawn at once, for all places.
+BLOCK = 64
 #: Word hashes a worker remembers before it starts afresh.
 MEMO = 500_000
 #: Documents in a range of neighbours, and the most ranges.
@@ -78,37 +82,61 @@ def terms(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def samples(hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest sample a of each term, and t, by consistent weighted sampling."""
-    u1, u2 = _uniforms(hashes, 1)
-    u3, u4 = _uniforms(hashes, 2)
-    shift, _ = _uniforms(hashes, 3)
-    r, c = -np.log(u1 * u2), -np.log(u3 * u4)
+    """Sample a of each term at a place, and t, by consistent weighted sampling.
+
+    A hash is one of term and place; for weight 1 the order of a is that of the hashes.
+    """
+    e1 = -np.log1p(-(hashes.astype(np.float64) + 0.5) * 2.0**-64)
+    u2, u3 = _uniforms(hashes, 1)
+    c = e1 - np.log(u2)
+    s = np.log(c / e1)
+    r = s - np.log(u3)
+    shift = np.minimum(1 - s / r, 1 - 2.0**-53)
     t = np.floor(np.log(weights) / r + shift)
     return np.log(c) - r * (t - shift) - r, t
 
 
-def signature(text: str, bins: int = BINS) -> np.ndarray:
-    """A 64-bit sample for each bin, zero where no term falls.  Equal texts have equal signatures."""
-    out = np.zeros(bins, np.uint64)
+def _at_places(hashes: np.ndarray, salts: np.ndarray, out: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """Hashes of each term at each place, a row for each term; for one place no two terms' are equal."""
+    out, spare = out[: len(hashes)], spare[: len(hashes)]
+    np.bitwise_xor(hashes[:, None], salts[None], out=out)
+    np.multiply(out, _MIX[1], out=out)
+    np.right_shift(out, np.uint64(32), out=spare)
+    np.bitwise_xor(out, spare, out=out)
+    return np.multiply(out, _MIX[2], out=out)
+
+
+def signature(text: str, places: int = PLACES) -> np.ndarray:
+    """A 64-bit sample for each place, zero if the text has no word.  Equal texts have equal signatures."""
     hashes, weights = terms(text)
     if not len(hashes):
-        return out
-    a, t = samples(hashes, weights)
-    place = (_mixed(hashes, 4) % np.uint64(bins)).astype(np.int64)
-    order = np.lexsort((hashes, a, place))
-    first = order[np.flatnonzero(np.diff(place[order], prepend=-1))]
-    out[place[first]] = _mixed(hashes[first] ^ _mixed(t[first].astype(np.int64).view(np.uint64), 5), 6) | np.uint64(1)
-    return out
+        return np.zeros(places, np.uint64)
+    salts = _mixed(np.arange(places, dtype=np.uint64), 4)
+    out, spare = np.empty((2, min(BLOCK, len(hashes)), places), np.uint64)
+    won = np.full(places, np.uint64(2**64 - 1))  # smallest hash among the terms of weight 1
+    light = hashes[weights == 1]
+    for i in range(0, len(light), BLOCK):
+        np.minimum(won, _at_places(light[i : i + BLOCK], salts, out, spare).min(axis=0), out=won)
+    best, steps = samples(won, np.ones(places))[0] if len(light) else np.full(places, np.inf), np.zeros(places)
+    heavy = np.flatnonzero(weights != 1)
+    for i in range(0, len(heavy), BLOCK):
+        some = heavy[i : i + BLOCK]
+        found = _at_places(hashes[some], salts, out, spare)
+        a, t = samples(found, weights[some, None])
+        row, column = a.argmin(axis=0), np.arange(places)
+        a, t, found = a[row, column], t[row, column], found[row, column]
+        better = a < best
+        best, steps, won = np.where(better, a, best), np.where(better, t, steps), np.where(better, found, won)
+    return _mixed(won ^ _mixed(steps.astype(np.int64).view(np.uint64), 5), 6) | np.uint64(1)
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> float:
-    """Share of equal samples among the bins that either text fills; 1 if neither has a word."""
-    filled = (x != 0) | (y != 0)
-    return float(((x == y) & filled).sum() / filled.sum()) if filled.any() else 1.0
+    """Share of places with equal samples; 1 if neither text has a word."""
+    return float((x == y).mean())
 
 
 def written(x: np.ndarray) -> str:
-    """Signature as text: eight hex digits for each bin."""
+    """Signature as text: eight hex digits for each place."""
     return (x >> np.uint64(32)).astype(">u4").tobytes().hex()
 
 
