@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tidewarden.llm import fingerprints, urlfilter
+from tidewarden.llm import fingerprints, htmltext, urlfilter
 
 
 def test_trees_use_the_dealt_features():
@@ -35,3 +35,13 @@ def test_repeated_lines_keep_their_weight():
         exact = sum(min(x.get(k, 0), y.get(k, 0)) for k in keys) / sum(max(x.get(k, 0), y.get(k, 0)) for k in keys)
         errors.append(fingerprints.likeness(*map(fingerprints.signature, texts)) - exact)
     assert abs(np.mean(errors)) < 0.02 and np.abs(errors).max() < 0.18
+
+
+def test_markup_keeps_the_article():
+    def lines(page):
+        return [t for t, _ in htmltext.blocks(page)]
+
+    for wrapper in ("class='content has-sidebar'", "class=no-sidebar", "id='with-comments'", "title='hidden gems'", "data-x=hidden", "class='widget'", "hidden"):
+        assert lines(f"<div {wrapper}><p>a</p><article><p>b</p></article></div>") == ["a", "b"], wrapper
+    assert lines("<form><main>x</main></form><div class='cookie-notice'>y</div><div hidden>z</div><template><article>t</article></template>") == ["x"]
+    assert lines("<p title='class=ad'>a<span class=ad>b</span> c<p class='not-hidden'>d") == ["a c", "d"]

@@ -41,47 +41,64 @@ _PIECE = re.compile(
     r"|<[a-zA-Z/][^>]*+(?:>|\Z)|<[!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-_NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
+HEADER = frozenset("header page site".split())  # a token of these words with "header" is a page header
+INERT = frozenset("head template noscript iframe object svg canvas audio video select button datalist".split())  # left out even around an article
 
 
-def marks(attributes: str) -> set[str]:
-    """Lower-case words of class, id and role."""
-    return {w for found in _NAMES.findall(attributes) for w in _SPLIT.split(" ".join(found).lower())}
+def read_attributes(attributes: str) -> tuple[list[set[str]], bool]:
+    """Words of each token of class, id and role, and whether the element is hidden."""
+    tokens, hidden = [], False
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name in ("class", "id", "role"):
+            tokens += [{w for w in _SPLIT.split(t) if w} for t in value.lower().split()]
+        elif name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _UNSEEN.search(value)):
+            hidden = True
+    return [t for t in tokens if t], hidden
+
+
+def marked(tokens: list[set[str]], words: frozenset[str]) -> bool:
+    """Whether a whole token consists of the words: ``cookie-notice`` does, ``has-sidebar`` does not."""
+    return any(t <= words for t in tokens)
 
 
 def blocks(page: str) -> list[tuple[str, bool]]:
-    """Blocks of a page in order, outside of what the markup rules out; whether each is in an article or main element."""
-    out: list[tuple[str, bool]] = []
-    line: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open elements that matter, and whether they are left out
-    out_of = articles = 0
+    """Blocks of a page in order, outside of what the markup rules out; whether each is in an article or main element.
+
+    An element that turns out to hold an article or main element of its own is not left out.
+    """
+    out: list[tuple[list, bool]] = []
+    line: list[tuple[str, tuple]] = []  # pieces of text, and the left-out elements around each
+    stack: list[tuple[str, list | None]] = []  # open elements that matter; of one left out [whether it still is, its name]
+    around: tuple = ()
+    articles = 0
 
     def close_block() -> None:
         if line:
-            text = " ".join("".join(line).split())
-            if text and not out_of:
-                out.append((text, articles > 0))
+            out.append((line.copy(), articles > 0))
             line.clear()
 
     def pop(to: int) -> None:
-        nonlocal out_of, articles
+        nonlocal around, articles
         while len(stack) > to:
-            name, left_out = stack.pop()
-            out_of -= left_out
+            name, mark = stack.pop()
+            if mark:
+                around = around[:-1]
             articles -= name in ("article", "main")
 
     last = 0
     for piece in _PIECE.finditer(page):
-        if piece.start() > last and not out_of:
-            line.append(html.unescape(page[last : piece.start()]))
+        if piece.start() > last:
+            line.append((page[last : piece.start()], around))
         last = piece.end()
         name = (piece["name"] or "").lower()
         if not name:
             continue
         if name == "br":
-            line.append(" ")
+            line.append((" ", ()))
         elif piece["end"]:
             if name in BLOCKS or name in DROPPED:
                 close_block()
@@ -106,23 +123,29 @@ def blocks(page: str) -> list[tuple[str, bool]]:
                 if name == "body":
                     pop(0)
             attributes = piece["attributes"] or ""
+            tokens, hidden = read_attributes(attributes) if attributes.strip() else ([], False)
             if name in ("article", "main", "body", "html"):
-                left_out = name == "article" and bool(marks(attributes) & MARKED_ARTICLE)
+                left_out = name == "article" and marked(tokens, MARKED_ARTICLE)
+                if name in ("article", "main") and not left_out:
+                    for mark in around:
+                        mark[0] = mark[1] in INERT or mark[1] == "article"
             else:
-                left_out = name in DROPPED or (name == "header" and not articles)
-                if not left_out and attributes.strip():
-                    words = marks(attributes)
-                    left_out = bool(words & MARKED) or bool(_HIDDEN.search(attributes)) or ("header" in words and not articles and not words & HEADED)
+                left_out = name in DROPPED or (name == "header" and not articles) or hidden or marked(tokens, MARKED)
+                if not left_out and not articles and not any(t & HEADED for t in tokens):
+                    left_out = any("header" in t and t <= HEADER for t in tokens)
             if left_out and not block:
-                line.append(" ")
+                line.append((" ", ()))
             if left_out or (block and name != "hr"):
-                stack.append((name, left_out))
-                out_of += left_out
+                mark = [True, name] if left_out else None
+                stack.append((name, mark))
+                if mark:
+                    around += (mark,)
                 articles += name in ("article", "main")
-    if last < len(page) and not out_of:
-        line.append(html.unescape(page[last:]))
+    if last < len(page):
+        line.append((page[last:], around))
     close_block()
-    return out
+    found = ((" ".join("".join(html.unescape(t) for t, o in pieces if not any(m[0] for m in o)).split()), article) for pieces, article in out)
+    return [x for x in found if x[0]]
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
