@@ -45,3 +45,12 @@ def test_markup_keeps_the_article():
         assert lines(f"<div {wrapper}><p>a</p><article><p>b</p></article></div>") == ["a", "b"], wrapper
     assert lines("<form><main>x</main></form><div class='cookie-notice'>y</div><div hidden>z</div><template><article>t</article></template>") == ["x"]
     assert lines("<p title='class=ad'>a<span class=ad>b</span> c<p class='not-hidden'>d") == ["a c", "d"]
+
+
+def test_differencing_decides_inside_the_article(spark):
+    def page(i):
+        return f"<body><div><p>Before the story {i}</div><main><p>Share this page<article><h1>Head {i}</h1><p>Body {i}</article><p>Write to us</main>"
+
+    rows = [(i, f"http://a.x/{i}", page(i)) for i in (1, 2, 3)] + [(4, "http://a.x/3b", page(3))]
+    out = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"Before the story {j}\nHead {j}\nBody {j}" for i, j in ((1, 1), (2, 2), (3, 3))} | {4: htmltext.main_text(htmltext.blocks(page(3)), None)}

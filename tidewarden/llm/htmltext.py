@@ -4,8 +4,8 @@ A page is cut into blocks of text; markup that never holds main text (menus, foo
 forms, scripts, adverts by class name and so on) is left out.  Pages of a host are put
 in the order of their URL paths, each is paired with the nearer of its two neighbours,
 the lines of both are aligned by their longest common subsequence, and shared lines are
-deleted as the site's own.  Lines that the markup itself declares to be the article are
-kept: two copies of an article share them without making them boilerplate.
+deleted as the site's own, inside an article or main element as well.  A copy of the
+page says nothing about the site: then the other neighbour is taken, if it is no copy.
 """
 
 from __future__ import annotations
@@ -183,16 +183,28 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return kept
 
 
-def main_text(own: list[tuple[str, bool]], other: list[str] | None) -> str:
-    """The main text of a page's blocks, given the lines of the page it is paired with."""
-    if any(article for _, article in own):
-        own = [x for x in own if x[1]]
+def shared_lines(own: list[tuple[str, bool]], other: list[str]) -> set[int]:
+    """Places of the lines shared with ``other``; of two longest alignments the one with less of the article."""
     lines = [text for text, _ in own]
-    shared = common_lines(lines, other) if other else set()
-    # An alignment that takes nearly all of a page found a copy of it, not the site's frame.
-    if sum(len(lines[i]) for i in shared) > 0.9 * sum(map(len, lines)):
-        shared = set()
-    return "\n".join(text for i, (text, article) in enumerate(own) if article or i not in shared)
+    found = common_lines(lines, other)
+    if any(own[i][1] for i in found) and not all(article for _, article in own):
+        turned = {len(lines) - 1 - i for i in common_lines(lines[::-1], other[::-1])}
+        found = min(found, turned, key=lambda x: sum(own[i][1] for i in x))
+    return found
+
+
+def main_text(own: list[tuple[str, bool]], *others: list[str] | None) -> str:
+    """The main text of a page's blocks, given the lines of the pages it may be paired with, nearest first.
+
+    It is paired with the first that is no copy: an alignment that takes nearly all of a
+    page found a copy of it, not the site's frame.
+    """
+    size = sum(len(text) for text, _ in own)
+    for other in others:
+        shared = shared_lines(own, other) if other else set()
+        if sum(len(own[i][0]) for i in shared) <= 0.9 * size:
+            return "\n".join(text for i, (text, _) in enumerate(own) if i not in shared)
+    return "\n".join(text for text, _ in own)
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -277,8 +289,8 @@ def extract(pages: DataFrame) -> DataFrame:
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(before: tuple | None, row: tuple, after: tuple | None) -> tuple:
             near = [(_nearness(row[4], x[4]), i, x) for i, x in ((1, before), (0, after)) if x and x[5] == row[5]]
-            best = max(near, key=lambda x: x[:2], default=(-1, 0, None))
-            text = main_text(list(zip(row[2], row[3], strict=True)), best[2][2] if best[0] >= 0 else None)
+            near.sort(key=lambda x: x[:2], reverse=True)
+            text = main_text(list(zip(row[2], row[3], strict=True)), *(x[2] for n, _, x in near if n >= 0))
             return row[0], row[1], text, len(text)
 
         before = row = None
