@@ -1,10 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
 import random
+import string
 
 import numpy as np
 
-from tidewarden.llm import fingerprints, htmltext, urlfilter
+from tidewarden.llm import fingerprints, htmltext, secret_scan, urlfilter
 
 
 def test_trees_use_the_dealt_features():
@@ -54,3 +55,14 @@ def test_differencing_decides_inside_the_article(spark):
     rows = [(i, f"http://a.x/{i}", page(i)) for i in (1, 2, 3)] + [(4, "http://a.x/3b", page(3))]
     out = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out == {i: f"Before the story {j}\nHead {j}\nBody {j}" for i, j in ((1, 1), (2, 2), (3, 3))} | {4: htmltext.main_text(htmltext.blocks(page(3)), None)}
+
+
+def test_random_keys_are_found():
+    r = random.Random(5)
+    for n, least in ((20, 0.8), (22, 0.85), (24, 0.9), (40, 0.98)):
+        keys = ["".join(r.choices(string.ascii_letters + string.digits, k=n)) for _ in range(500)]
+        for before in ("", "/services/T0/B0/", "https://h.io/hooks/www/"):
+            hit = np.mean([any(b > len(before) for _, b, _ in secret_scan.method_spans(f"{before}{k} end")) for k in keys])
+            assert hit > least, (n, before, hit)
+    for fine in ("/usr/share/documents/of/many/words", "ALongCamelCaseIdentifierName", "internationalisierungsmassnahmen", "state_of_the_art_in_deep_water"):
+        assert secret_scan.method_spans(fine) == []

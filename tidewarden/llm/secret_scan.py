@@ -41,13 +41,15 @@ class CharacterClass:
 HEX_CLASS = CharacterClass("entropy_hex", 24, 3.2)
 KEY_CLASS = CharacterClass("entropy_key", 24, 3.9)
 
-# Wording and shapes that are never secrets.
+# Wording and sequences that suppress a span, and shapes that are cut out of a candidate.
 ALLOWED = (
     re.compile(r"example|sample|dummy|placeholder|changeme|your[_-]?(?:key|token|secret)", re.I),
     re.compile(r"abcdefgh|01234567|12345678|qwertyui", re.I),
-    re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I),
-    re.compile(r"https?|www|/[a-z]+/", re.I),
 )
+CUT = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|^/*(?:https?|www)(?=/|$)|(?:^|(?<=/))/?[a-z]+/", re.I | re.A)
+_WORDS = re.compile(r"[A-Za-z]{0,2}(?:[A-Z]{0,2}+[a-z]{3,}+|[A-Z]{3,}+|(?<![A-Za-z0-9])[A-Za-z]{1,2}+(?![A-Za-z0-9])|[0-9]++|[+/_=-]++)++[A-Za-z]{0,2}")
+#: The shortest candidate, and how far around a span wording is looked for.
+SHORTEST, AROUND = 20, 8
 
 
 def entropy_spans(text: str, window: int, bits: float) -> list[tuple[int, int]]:
@@ -78,11 +80,20 @@ def entropy_spans(text: str, window: int, bits: float) -> list[tuple[int, int]]:
     return spans
 
 
-def allowed(candidate: str) -> bool:
-    """Whether the allow-list suppresses a candidate: known shapes, or a text of words without digits."""
-    if sum(c.isdigit() for c in candidate) < 3 or not any(c.isalpha() for c in candidate):
+def allowed(span: str, around: str | None = None) -> bool:
+    """Whether the allow-list suppresses a span: no letter, words with under 3 digits, or known wording in or around it."""
+    if not any(c.isalpha() for c in span) or (sum(c.isdigit() for c in span) < 3 and _WORDS.fullmatch(span)):
         return True
-    return any(p.search(candidate) for p in ALLOWED)
+    return any(p.search(around or span) for p in ALLOWED)
+
+
+def pieces(candidate: str) -> list[tuple[int, int]]:
+    """What is left of a candidate, as places, without the shapes that are no secrets."""
+    out, last = [], 0
+    for m in CUT.finditer(candidate):
+        out.append((last, m.start()))
+        last = m.end()
+    return [(a, b) for a, b in (*out, (last, len(candidate))) if b - a >= SHORTEST]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -100,11 +111,13 @@ def method_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans of high entropy as (start, end, kind)."""
     found = []
     for m in _CANDIDATE.finditer(text):
-        candidate = m.group()
-        if allowed(candidate):
-            continue
-        kind = HEX_CLASS if _HEX_RUN.fullmatch(candidate) else KEY_CLASS
-        found += [(m.start() + a, m.start() + b, kind.kind) for a, b in entropy_spans(candidate, kind.window, kind.bits) if not allowed(candidate[a:b])]
+        for begin, end in pieces(m.group()):
+            part, start = m.group()[begin:end], m.start() + begin
+            kind = HEX_CLASS if _HEX_RUN.fullmatch(part) else KEY_CLASS
+            window = min(kind.window, len(part))  # a shorter part is one window, its threshold scaled to its length
+            for a, b in entropy_spans(part, window, kind.bits * math.log2(window) / math.log2(kind.window)):
+                if not allowed(part[a:b], part[max(0, a - AROUND) : b + AROUND]):
+                    found.append((start + a, start + b, kind.kind))
     return found
 
 
