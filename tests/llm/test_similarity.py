@@ -116,9 +116,11 @@ def signed(x):
     return x - 2**64 if x >= 2**63 else x
 
 
-@pytest.mark.parametrize(("crowd", "bucket"), [(150, 2048), (150, 8), (400, 20)])
-def test_links_lose_none(spark, monkeypatch, crowd, bucket):
+@pytest.mark.parametrize(("crowd", "bucket", "rows"), [(150, 2048, 100), (150, 8, 100), (400, 20, 100), (400, 20, 0)])
+def test_links_lose_none(spark, monkeypatch, crowd, bucket, rows):
     monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(simhash, "CROWDED", bucket)
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", rows)
     r = random.Random(crowd + bucket)
     bases = [r.getrandbits(64) for _ in range(30)]
     fps = [b ^ sum({1 << r.randrange(64) for _ in range(r.randint(0, 5))}) for b in bases for _ in range(4)]
@@ -174,7 +176,27 @@ def test_near_duplicate_rows(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
     kept = simhash.one_of_each(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "fingerprint", "fp"]
-    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([(str(d), dict((a, b) for a, b, *_ in rows)[d]) for d in set(least.values())] + [("None", base)])
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted((str(d), dict((a, b) for a, b, *_ in rows)[d]) for d in set(least.values()))
+
+
+@pytest.mark.parametrize("swap", [False, True])
+def test_one_of_each_keeps_every_text(spark, monkeypatch, swap):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0 if swap else 100)
+    a, b, c = (" ".join(random.Random(i).choices(WORDS, k=300)) for i in (1, 2, 3))
+    a, b = (b, a) if swap else (a, b)
+    schema = "doc_id int, id string, h1 string, text string, n string, H2 string"
+
+    def kept(*rows):
+        out = simhash.one_of_each(spark.createDataFrame([(i, "x", "y", t, "n", "z") for i, t in rows], schema))
+        assert out.columns == [x.split()[0] for x in schema.split(", ")]
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+    assert kept((3, a), (5, a), (5, b)) == [(3, a), (5, b)]
+    assert kept((5, a), (5, b), (9, b), (9, b)) == sorted([(5, a), (5, b)])
+    assert kept((7, b), (7, b), (7, b), (9, c)) == [(7, b), (9, c)]
+    assert kept((None, a), (None, a + " w1"), (None, c), (8, c)) in ([(8, c), (None, a)], [(8, c), (None, a + " w1")])
+    assert kept((4, None), (2, ""), (None, " "), (3, a)) == [(2, ""), (3, a)]
+    assert kept() == []
 
 
 def plain_top(rows, queries, k):

@@ -9,7 +9,9 @@ candidate is verified.
 No step lists all pairs of a group.  Equal fingerprints are one from the start.  A
 bucket is reduced to a spanning star for each of its linked parts.  A bucket over
 ``BUCKET`` fingerprints is first indexed again under variants of the other half, after
-which at most 18 bits are free, so no comparison ever holds more than 2^18 of them.
+which at most 18 bits are free.  Buckets of a half that over ``CROWDED`` fingerprints
+share are dealt by such variants before they are gathered, so a task never holds more
+than the larger of 2 * ``CROWDED`` and 2^18 fingerprints of a bucket, at any size of the table.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_batches, strings, text_rows
@@ -29,6 +31,10 @@ SEED = 42
 NEAR = 3
 #: Fingerprints of a bucket that are compared directly.
 BUCKET = 2048
+#: Fingerprints that share a half before its buckets are dealt by the other half as well.
+CROWDED = 2048
+#: Rows of a table of keys that are broadcast at most; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def shingle_hashes(text: str, size: int = 3) -> np.ndarray:
@@ -52,14 +58,16 @@ def fingerprint(text: str) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and ``fp``, the fingerprint as a signed long, of each row."""
+def fingerprints(docs: DataFrame, *kept: str) -> DataFrame:
+    """doc_id, ``fp`` (the fingerprint as a signed long) and the ``kept`` long expressions over text of each row."""
+    names = [f"k{i}" for i in range(len(kept))]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = np.array([fingerprint(t) for t in strings(batch, "text")], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found), *map(batch.column, names)], ["doc_id", "fp", *names])
 
-    return map_batches(text_rows(docs), run, "doc_id long, fp long")
+    rows = text_rows(docs).selectExpr("*", *(f"{x} AS {n}" for x, n in zip(kept, names, strict=True)))
+    return map_batches(rows, run, ", ".join(f"{n} long" for n in ("doc_id", "fp", *names)))
 
 
 def linked_parts(fps: np.ndarray) -> np.ndarray:
@@ -156,21 +164,23 @@ def stars(rows: DataFrame) -> DataFrame:
             pairs = np.unique(np.stack([np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])], axis=1), axis=0).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-        kept: tuple[np.ndarray, ...] | None = None
+        open_bucket: list[tuple[np.ndarray, ...]] = []  # what has come of the last bucket, joined once it is whole
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = tuple(batch.column(c).to_numpy() for c in ("key", "other", "fp"))
-            now = (now[0], now[1], now[2].view(np.uint64))
-            if kept is not None:
-                now = tuple(np.concatenate(x) for x in zip(kept, now, strict=True))
-            change = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
-            whole = change[-1] + 1 if len(change) else 0
-            if whole:
-                yield links(*(x[:whole] for x in now))
-            kept = tuple(x[whole:] for x in now)
-        if kept is not None:
-            yield links(*kept)
+            key, other, fp = (batch.column(c).to_numpy() for c in ("key", "other", "fp"))
+            now = (key, other, fp.view(np.uint64))
+            if open_bucket and (open_bucket[0][0][0], open_bucket[0][1][0]) == (key[-1], other[-1]):
+                open_bucket.append(now)
+                continue
+            before = np.flatnonzero((key != key[-1]) | (other != other[-1]))
+            begin = before[-1] + 1 if len(before) else 0  # of the last bucket in this batch
+            open_bucket.append(tuple(x[:begin] for x in now))
+            if any(len(x[0]) for x in open_bucket):
+                yield links(*(np.concatenate(x) for x in zip(*open_bucket, strict=True)))
+            open_bucket = [tuple(x[begin:] for x in now)]
+        if open_bucket:
+            yield links(*(np.concatenate(x) for x in zip(*open_bucket, strict=True)))
 
     return rows.repartition("key", "other").sortWithinPartitions("key", "other").mapInArrow(run, "a long, b long")
 
@@ -184,24 +194,29 @@ def _variants(fp: str, low: int, width: int) -> str:
     return f"transform(sequence(0, {width - 1}), j -> ({part} & ~shiftleft(1L, j)) | shiftleft(cast({low} + j AS BIGINT), {width}))"
 
 
+def few(df: DataFrame) -> bool:
+    """Whether ``df`` may be broadcast; reads no more rows than that."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) whose connected parts are those of all pairs within ``NEAR`` bits.
 
     ``distinct``: a column ``fp`` without repeats.  All variants go through one shuffle.
-    Halves that more than 1/1500 of the fingerprints share (3000 of them at most, so they
-    are broadcast) are found first, and their buckets are dealt by the other half as well.
+    Halves that more than ``CROWDED`` fingerprints share are found first, and their buckets
+    are dealt by the other half as well.  Their keys are broadcast only if they are few.
     """
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # A row becomes 64, so rows are dealt anew: left where they are, few tasks would hold them all.
     spread = distinct.select("fp").repartition(parts, F.expr("shiftrightunsigned(fp, 1)"))
-    crowded = max(BUCKET, distinct.count() // 1500)
     halves = spread.selectExpr(f"explode(array(fp & {2**32 - 1}L, shiftrightunsigned(fp, 32) | {2**32}L)) AS half")
-    hot = cut(halves.groupBy("half").count().where(F.col("count") > crowded).select("half"))
+    hot = cut(halves.groupBy("half").count().where(F.col("count") > CROWDED).select("half"))
     keyed = spread.selectExpr("fp", f"explode(concat({_variants('fp', 0, 32)}, {_variants('fp', 32, 32)})) AS key")
     if hot.isEmpty():
         return stars(keyed.select("key", F.lit(-1).cast("long").alias("other"), "fp")).distinct()
     wiped = f"explode(transform(sequence(0, 31), j -> (half & {2**32 - 1}L & ~shiftleft(1L, j)) | shiftleft(shiftrightunsigned(half, 32) * 32L + j, 32))) AS key"
-    marked = keyed.join(F.broadcast(hot.selectExpr(wiped).distinct().withColumn("hot", F.lit(True))), "key", "left")
+    crowded = cut(hot.selectExpr(wiped).distinct().withColumn("hot", F.lit(True)))
+    marked = keyed.join(F.broadcast(crowded) if few(crowded) else crowded, "key", "left")
     low, high = (f"concat({_variants('fp', at, 16)}, {_variants('fp', at + 16, 16)})" for at in (0, 32))
     other = f"explode(CASE WHEN hot IS NULL THEN array(-1L) WHEN shiftrightunsigned(key, 32) < 32 THEN {high} ELSE {low} END) AS other"
     return stars(marked.selectExpr("key", other, "fp")).distinct()
@@ -235,32 +250,61 @@ def connected(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def parts(fps: DataFrame) -> DataFrame:
+    """(fp, root) for distinct fingerprints: the name of the connected part of each."""
+    roots = connected(links(fps.select("fp")))
+    return fps.join(roots, fps.fp == roots.node, "left").select(*fps.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Connected parts of documents whose fingerprints differ in at most ``NEAR`` bits.
 
     Returns doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id
     reachable, a row for each row of ``docs``.  Null and blank texts have fingerprint
     zero and link like any other.  A null doc_id belongs to its part but never names it
-    unless the part has no other.  Repeated rows come back repeated.
+    unless the part has no other.  Repeated rows come back repeated, rows of one doc_id
+    with different texts are judged each by its text, extra columns are ignored, a very
+    long text is read whole and an empty table gives no rows.
     """
     found = cut(fingerprints(docs))
-    distinct = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected(links(distinct.select("fp")))
-    of = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    of = parts(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
     names = of.groupBy("root").agg(F.min("least").alias("component_id"))
     named = of.join(names, "root").select("fp", "component_id")
     return found.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without near-duplicates: of each connected part the row of smallest doc_id.
+    """The documents without near-duplicates: of each connected part one row stays, all columns as they are.
 
-    All columns are kept as they are.  Rows of one doc_id count as one document and one
-    of them stays.  Rows without a doc_id name no part: of those one stays for each text.
+    It is the row of smallest doc_id, nulls last, then of smallest text hash.  So two
+    unrelated texts of one doc_id both stay, near copies without a doc_id are one, and of
+    repeated rows one is left.  What is decided carries ids and two 64-bit hashes of the
+    texts; the texts themselves go through one shuffle, when the rows to keep are met.
     """
     columns = docs.columns
-    keep = near_duplicates(docs).select(F.col("component_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi")
-    place = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = kept.withColumn("__place", F.row_number().over(place)).where("__place = 1").select(*columns)
-    return named.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
+    taken = {c.lower() for c in columns}
+    marks = []
+    for name in ("id", "h1", "h2"):
+        while name in taken:
+            name += "_"
+        marks.append(name)
+    hashes = ("xxhash64(text, text IS NULL)", "xxhash64(1, text)")
+    found = cut(fingerprints(docs, *hashes)).withColumnsRenamed({"k0": "h1", "k1": "h2"})
+    rows = found.groupBy("fp", "doc_id", "h1", "h2").agg(F.count("*").alias("n"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2", "n")
+    least = rows.groupBy("fp").agg(F.min(first).alias("row"))
+    chosen = parts(cut(least)).groupBy("root").agg(F.min("row").alias("row")).select("row.*")
+    keep = cut(chosen.select(*(F.col(c).alias(m) for c, m in zip(("doc_id", "h1", "h2"), marks, strict=True)), "n"))
+    own = docs.select("*", F.col("doc_id").cast("long").alias(marks[0]), *(F.expr(x.replace("text", "CAST(text AS STRING)")).alias(m) for x, m in zip(hashes, marks[1:], strict=True)))
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        same = [left[marks[0]].eqNullSafe(right[marks[0]]), *(left[m] == right[m] for m in marks[1:])]
+        return left.join(right, same, "left_semi")
+
+    # The side that is built from holds 40 bytes a document, a few hundredths of its texts; sorting texts is saved.
+    once = met(own, keep.where("n = 1").hint("shuffle_hash")).select(*columns)
+    again = keep.where("n > 1")
+    if again.isEmpty():
+        return once
+    repeated = met(own, F.broadcast(again) if few(again) else again)
+    return once.unionByName(repeated.dropDuplicates(marks).select(*columns))
