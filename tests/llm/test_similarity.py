@@ -1,9 +1,11 @@
 """Fingerprints, near-duplicates and top-k against brute force."""
 
 import hashlib
+import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -11,7 +13,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewarden.llm import fingerprints, simhash, topk
+from tidewarden.llm import fingerprints, queries, simhash, topk
 
 SCHEMA = "doc_id long, text string, fingerprint string, fp int"
 WORDS = [f"w{i}" for i in range(400)]
@@ -199,25 +201,74 @@ def test_one_of_each_keeps_every_text(spark, monkeypatch, swap):
     assert kept() == []
 
 
-def plain_top(rows, queries, k):
-    vectors = {i: np.floor(np.array(v, float) * 1024).astype(int).tolist() for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+def plain_top(rows, asked, k):
+    """Every row but the query's own, by plain whole numbers."""
+    fine = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in queries:
-        if q in vectors:
-            scores = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=True)), i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q]))
+    for at, (q, own) in enumerate(fine):
+        if asked(q):
+            scores = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), i) for n, (i, v) in enumerate(fine) if n != at and len(v) == len(own))
             out += [(q, n, i, -s) for n, (s, i) in enumerate(scores[:k], 1)]
     return sorted(out)
 
 
+def odd_rows(n, dims, levels):
+    r = np.random.default_rng(n + dims)
+    rows = [(i, (r.integers(-levels, levels + 1, dims) / levels).tolist()) for i in range(n)]
+    rows += [(n, None), (n + 1, [None] * dims), (n + 2, [float("nan")] * dims), (n + 3, [float("inf")] * dims), (None, [0.5] * dims), (n + 4, [0.5]), (40, []), (41, [])]
+    # Repeated ids: the same vector, another one, and as queries.
+    return rows + [rows[0], rows[0], (0, rows[1][1]), (1, rows[2][1]), rows[2], *[(7, [1.0] * dims)] * 30]
+
+
 @pytest.mark.parametrize(("n", "dims", "levels"), [(3, 4, 3), (60, 5, 2), (300, 16, 1000), (300, 3, 4)])
 def test_top_k(spark, monkeypatch, n, dims, levels):
     monkeypatch.setattr(topk, "CANDIDATES", 70)
     monkeypatch.setattr(topk, "QUERIES", 4)
-    r = np.random.default_rng(n + dims)
-    rows = [(i, (r.integers(-levels, levels + 1, dims) / levels).tolist()) for i in range(n)]
-    rows += [(n, None), (n + 1, [None] * dims), (n + 2, [float("nan")] * dims), (n + 3, [float("inf")] * dims), (None, [0.5] * dims), (n + 4, [0.5]), rows[0]]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
+    rows = odd_rows(n, dims, levels)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).withColumn("h", F.lit(1))
     got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in topk.top_k(df, F.col("vec_id") % 20 == 0, 10).collect())
     single = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
-    assert got == plain_top(single, range(0, n + 5, 20), 10)
-    assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+    assert got == plain_top(single, lambda q: q % 20 == 0, 10)
+    assert topk.top_k(df.where("false"), F.col("vec_id") % 20 == 0, 10).collect() == []
+
+
+def test_top_k_is_its_sql(spark, tmp_path):
+    rows = [(i, v) for i, v in odd_rows(250, 6, 3) if v != []]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(map(tuple, queries.op5_top_k(spark, str(tmp_path)).collect()))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+        assert got == sorted(db.execute(queries.oracle_sql()["op5_top_k"]).fetchall()) and len(got) > 40
+
+
+def test_huge_components(spark):
+    rows = [(0, [1e15, 3.0]), (1, [1e15, 2.0]), (2, [1e15, 1.0]), (3, [-1e15, 5.0]), (4, [2e17, 0.0])]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 10).orderBy("rank").collect()
+    assert [r.vec_id for r in out] == [1, 2, 4, 3] and out[0].score == 2**63 - 1 and out[3].score == -(2**63)
+
+
+@pytest.mark.parametrize("shape", ["even", "sparse", "one list", "ties"])
+def test_reading_stops_before_the_end(shape):
+    """No vector is scored that bounds rule out, and the answer is that of scoring all."""
+    r = np.random.default_rng(3)
+    v = np.floor(r.normal(size=(4000, 16)) * 1024).astype(np.int64)
+    if shape == "sparse":
+        v[r.random(v.shape) < 0.9] = 0
+    elif shape == "one list":
+        v[:, 1:] //= 500
+    elif shape == "ties":
+        v = np.sign(v)
+    asked = v[::40]
+    lists = topk.Lists(np.arange(4000), v)
+    scored = []
+    plain = lists.resolved
+    lists.resolved = lambda q, rows, k: scored.append(len(rows)) or plain(q, rows, k)
+    for q, best in zip(asked, lists.top(asked, 10), strict=True):
+        scores = v @ q
+        order = np.lexsort((np.arange(4000), -scores))[:10]
+        assert [(int(scores[i]), int(i)) for i in order] == best
+    assert len(lists.depths) == len(asked)
+    if shape != "ties":
+        assert np.median(scored) <= 80  # a query of zeros alone has all vectors tied
+        assert np.mean(lists.depths) < {"even": 1, "sparse": 1, "one list": 0.6}[shape]
