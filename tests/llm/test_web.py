@@ -1,7 +1,11 @@
 """Language ID, HTML text and URL filters."""
 
+import os
 import re
+import time
+import tracemalloc
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -75,46 +79,180 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <div class="sidebar">Side</div><footer>&copy; x</footer></body></html>"""
 
 
+def texts(page):
+    return [t for t, kind in htmltext.blocks(page) if kind != htmltext.RULED_OUT]
+
+
 def test_blocks():
-    assert [t for t, _ in htmltext.blocks(PAGE)] == ["Head & line", "One bold two three", "Open <tag> é next", "i1", "i2"]
-    assert all(a for _, a in htmltext.blocks(PAGE))
+    assert texts(PAGE) == ["Head & line", "One bold two three", "Open <tag> é next", "i1", "i2"]
+    assert [t for t, kind in htmltext.blocks(PAGE) if kind == htmltext.RULED_OUT] == ["Site", "Home", "We use cookies", "Buy", "Side", "Mail", "gone", "first!", "Side", "© x"]
     for text in ("", "<", "<p", "a<b", '<p class="x', "<!-- x", "<script>x", "</p></p>", "<p>a &am"):
         htmltext.blocks(text)
-    assert htmltext.blocks("<p>a &am") == [("a &am", False)] and htmltext.blocks("1 < 2 <p>b") == [("1 < 2", False), ("b", False)]
-    assert [t for t, _ in htmltext.blocks("<nav>x<p>y</nav><p>z<p class=ad>q<p>w")] == ["z", "w"]
+    assert htmltext.blocks("<p>a &am") == [("a &am", 0)] and htmltext.blocks("1 < 2 <p>b") == [("1 < 2", 0), ("b", 0)]
+    assert texts("<nav>x<p>y</nav><p>z<p class=ad>q<p>w") == ["z", "w"]
+    assert texts("<ul><li class=ad>a<div><div><div>b<li>c<ul><li>d</ul>e<li class=ad>f</ul>g") == ["c", "d", "e", "g"]
+    assert texts("<table><tr><td class=ad>a<table><tr><td>b</table>c<td>d<tr><td>e</table>") == ["d", "e"]
+    assert htmltext.blocks("<template><p>x</template><select><option>y</select>z<span class=ad>q</span>w") == [("z w", 0), ("q", 2)]
+
+
+@pytest.mark.parametrize("page", [lambda n: "<div>" * n + "</p>" * n, lambda n: "<nav>" * n + "x<article>y" * n, lambda n: "<ul><li><div>" * n + "<li>" * n, lambda n: "<ul><li>" + "<div>" * n + "<li></li>" * n, lambda n: "<div hidden>a<b>" * n + "</div>" * n, lambda n: '<a "' * n])
+def test_time_in_proportion(page):
+    def took(n):
+        start = time.process_time()
+        htmltext.blocks(page(n))
+        return time.process_time() - start
+
+    took(1000)
+    assert min(took(32_000) for _ in range(2)) < 40 * max(0.02, min(took(2_000) for _ in range(3)))  # 16 times the page
+
+
+def test_long_alignment_in_bounded_memory():
+    own, other = [str(i * 7 % 9001) for i in range(12_000)], [str(i * 5 % 8009) for i in range(12_000)]
+    tracemalloc.start()
+    kept = htmltext.common_lines(own, other)
+    assert tracemalloc.get_traced_memory()[1] < 12_000**2 / 8 / 2  # bits of the whole table
+    tracemalloc.stop()
+    rest = iter(other)
+    assert len(kept) > 100 and all(any(own[i] == y for y in rest) for i in sorted(kept))
 
 
 def test_differencing():
-    lines = [("Site name", False), ("Story one", False), ("More", False), ("Imprint", False)]
+    lines = [("Site name", 0), ("Story one", 0), ("More", 0), ("Imprint", 0)]
     assert htmltext.main_text(lines, ["Site name", "Other", "Imprint"]) == "Story one\nMore"
     assert htmltext.main_text(lines, [t for t, _ in lines]) == "\n".join(t for t, _ in lines)  # a copy says nothing
-    assert htmltext.main_text([("Menu", False), ("A", True), ("B", True)], ["A", "Menu"]) == "A\nB"
-    assert htmltext.main_text([], None) == ""
+    assert htmltext.main_text([("Menu", 0), ("A", 1), ("B", 1)], ["A", "Menu"]) == "A\nB"
+    assert htmltext.main_text([]) == "" and htmltext.main_text([("Menu", 2), ("x", 2)]) == ""
+    # An article is kept whole; what is around it goes if shared, whatever the markup calls it.
+    page = [("Menu", 2), ("Top", 0), ("Often said", 1), ("Two and more", 1), ("Own", 0), ("Ad", 2)]
+    assert htmltext.frame(page, [["Menu", "Top", "Often said", "Three"]]) == {0, 1}
+    assert htmltext.main_text(page, ["Menu", "Top", "Often said", "Three"]) == "Often said\nTwo and more\nOwn"
+    copy = [t for t, _ in page]
+    assert htmltext.frame(page, [copy]) == set() and htmltext.frame(page, [copy, ["Top", "x"]]) == {1}
+
+
+class Plain(HTMLParser):
+    """Lines of a page as (text, kind), for well-formed pages without inline exclusions."""
+
+    LINES = {"p", "div", "article", "main", "nav", "footer", "h1", "h2", "ul", "li", "body", "html", "head", "aside", "section", "header", "form", "br"}
+    OUT = {"nav", "footer", "aside", "form", "head", "script", "style", "title"}
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.open, self.line, self.lines = [], [], []
+        self.feed(page)
+        self.close()
+        self.end_line()
+
+    def end_line(self):
+        text = " ".join("".join(self.line).split())
+        if text and not {"head", "script", "style", "title"} & {t for t, _ in self.open}:
+            ruled_out = any(t in self.OUT or c == "ad" for t, c in self.open)
+            self.lines.append((text, 2 if ruled_out else 1 if any(t in ("article", "main") for t, _ in self.open) else 0))
+        self.line = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.line.append(" ")
+        elif tag in self.LINES:
+            self.end_line()
+            if tag == "p" and "p" in [t for t, _ in self.open]:
+                self.handle_endtag("p")
+        if tag not in ("br", "meta", "b", "a", "link", "img"):
+            self.open.append((tag, dict(attrs).get("class")))
+
+    def handle_endtag(self, tag):
+        if tag in self.LINES:
+            self.end_line()
+        if tag in [t for t, _ in self.open]:
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        self.line.append(data)
+
+
+def plain_alignment(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
+    out, i, j = set(), 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.add(i)
+            i, j = i + 1, j + 1
+        elif table[i + 1][j] >= table[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def plain_extract(rows):
+    """The whole method once more, over all pages at once and with nothing of the module."""
+
+    def order(row):
+        page, url, _ = row
+        host, path = re.match(r"(?:.*?://([^/?#]*)([^?#]*))?", url or "", re.S).groups(default="")
+        return host.lower(), path, url or "", page is not None, page or 0
+
+    def near(x, y):
+        a, b = ("\0".join(map(str, order(r)[:3])) + ("\0" if r[0] is None else f"\0{r[0] + 2**63:020d}") for r in (x, y))
+        return len(os.path.commonprefix([a, b]))
+
+    rows = sorted(rows, key=order)
+    lines = [Plain(html or "").lines for _, _, html in rows]
+    out = []
+    for i, (page, url, _) in enumerate(rows):
+        own = lines[i]
+        beside = [j for j in (i - 1, i + 1) if 0 <= j < len(rows) and order(rows[j])[0] == order(rows[i])[0]]
+        beside.sort(key=lambda j: (-near(rows[i], rows[j]), j))
+        content = 1 if any(k == 1 for _, k in own) else 0
+        shared = [plain_alignment([t for t, _ in own], [t for t, _ in lines[j]]) for j in beside if lines[j]]
+        size = sum(len(t) for t, k in own if k == content)
+        shared = [s for s in shared if sum(len(own[n][0]) for n in s if own[n][1] == content) <= 0.9 * size]
+        gone = {n for n in (shared or [()])[0] if own[n][1] != 1}
+        out.append((page, url, "\n".join(t for n, (t, k) in enumerate(own) if k != 2 and n not in gone)))
+    return sorted(out, key=str)
 
 
 @pytest.mark.parametrize("rows_a_range", [1, 3, 1000])
 def test_extract_rows(spark, monkeypatch, rows_a_range):
     monkeypatch.setattr(htmltext, "RANGE_ROWS", rows_a_range)
 
-    def plain(i):
+    def bare(i):
         return f"<body><p>Top of the site</p><p>Story {i} {'word ' * (i % 5)}</p><p>Imprint and contact</p></body>"
 
-    rows = [(i, f"http://h{i % 3}.x/en/{i:03d}", plain(i)) for i in range(30)]
-    rows += [(100, "http://h0.x/a", PAGE), (101, "http://h0.x/a", PAGE), (102, None, PAGE), (103, "http://lone.x/", plain(7)), (104, "http://h0.x/z", None), (None, "nothing", ""), (0, rows[0][1], rows[0][2])]
-    out = htmltext.extract(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")).collect()
-    assert len(out) == len(rows) and all(r.n_chars == len(r.text) for r in out)
-    order = sorted(rows, key=lambda r: htmltext._key(r[1], r[0]))
-    for i, (page, url, text) in enumerate(order):
-        key = htmltext._key(url, page)
-        near = [(htmltext._nearness(key, htmltext._key(order[j][1], order[j][0])), -j, order[j]) for j in (i - 1, i + 1) if 0 <= j < len(order)]
-        best = max(near, key=lambda x: x[:2])
-        other = [t for t, _ in htmltext.blocks(best[2][2] or "")] if best[0] >= 0 else None
-        assert (page, url, htmltext.main_text(htmltext.blocks(text or ""), other)) in {(r.page_id, r.url, r.text) for r in out}
+    def full(i):
+        return f"<head><title>T{i}</title></head><body><nav><ul><li>Home</li><li>N{i % 4}</li></ul></nav><div class=ad>Buy {i % 3}</div><div>Top of it</div><article><h1>Head {i}</h1><p>Often said</p><p>Body &lt;{i}&gt;<br>end</p><p>Often said</p><p>Close {i}</p><p>Write to us</p></article><footer>Imprint</footer></body>"
+
+    rows = [(i, f"http://h{i % 3}.x/en/{i:03d}", bare(i)) for i in range(30)] + [(200 + i, f"http://full.x/{i * i % 17}/{i}?q#t", full(i)) for i in range(20)]
+    rows += [(100, "http://H0.x/a", full(99)), (101, "http://h0.x/a", full(99)), (102, None, full(3)), (103, "http://lone.x/", bare(7)), (104, "http://h0.x/z", None), (None, "nothing", ""), (0, rows[0][1], rows[0][2]), (105, "http://long.x/", "<p>" + "<p>long line ".join(map(str, range(30_000))))]
+    out = htmltext.extract(spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, range int")).collect()
+    assert all(r.n_chars == len(r.text) for r in out)
+    assert sorted(((r.page_id, r.url, r.text) for r in out), key=str) == plain_extract(rows)
     by = {r.page_id: r.text for r in out}
     assert by[5].startswith("Story 5") and "Imprint" not in by[5] and by[103].startswith("Top") and by[104] == ""
+    assert by[205] == "Head 5\nOften said\nBody <5> end\nOften said\nClose 5\nWrite to us"
     assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_driver_pages(spark):
+    """On the given pages: the brute force, the articles whole, and what the alignment deletes."""
+    place = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(place):
+        pytest.skip("no test data")
+    rows = [tuple(r) for r in spark.read.parquet(place).select("page_id", "url", "html").collect()]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.read.parquet(place)).collect()}
+    assert len(got) == len(rows) and {p: t for p, _, t in plain_extract(rows)} == got
+    for page, _, html in rows:
+        assert got[page] == "\n".join(t for t, k in Plain(html).lines if k == 1)
+    ordered = sorted(rows, key=lambda r: htmltext._key(r[1], r[0]))
+    found = [htmltext.blocks(r[2]) for r in ordered]
+    deleted = [htmltext.frame(a, [[t for t, _ in b]]) for x, y, a, b in zip(ordered, ordered[1:], found, found[1:], strict=False) if htmltext.split_url(x[1])[0] == htmltext.split_url(y[1])[0]]
+    assert sum(map(bool, deleted)) > 0
+
+
 def plain_rule(host, path):
     found = [(len(h + p), h + p, v) for h, p, v in urlfilter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(found)[1:] if found else None

@@ -48,11 +48,48 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return df.mapInArrow(run, schema)
 
 
+#: What is handed on at once: rows, and characters of their texts.
+BATCH_ROWS, BATCH_CHARACTERS = 2048, 8_000_000
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of Arrow batches, a few at a time as Python values, so that long texts are not all held twice."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 64):
+            yield from zip(*(column.to_pylist() for column in batch.slice(start, 64).columns), strict=True)
+
+
+def map_rows(df: DataFrame, function: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """Apply ``function`` to each partition's rows as a stream; batches of the result are bounded in rows and characters."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        size = 0
+        for row in function(rows_of(batches)):
+            out.append(row)
+            size += sum(len(x) if isinstance(x, str) else sum(map(len, x)) for x in row if isinstance(x, str) or (isinstance(x, list) and x and isinstance(x[0], str)))
+            if len(out) >= BATCH_ROWS or size >= BATCH_CHARACTERS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
 def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     """A text column with null as the empty text."""
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+#: The most ranges that an order is cut into.  It bounds what the driver and a broadcast hold; beyond it ranges, which are read as streams, grow.
+MOST_RANGES = 100_000
+
+
 def bounded_sample(df: DataFrame, key: Column, rows: int, total: int) -> list:
     """About ``rows`` distinct keys of ``total`` rows: those whose hash falls under a bound, the same on every run.
 

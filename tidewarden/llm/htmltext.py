@@ -1,27 +1,37 @@
-"""Main text of web pages by markup and nearest-URL page differencing.
-
-A page is cut into blocks of text; markup that never holds main text (menus, footers,
-forms, scripts, adverts by class name and so on) is left out.  Pages of a host are put
-in the order of their URL paths, each is paired with the nearer of its two neighbours,
-the lines of both are aligned by their longest common subsequence, and shared lines are
-deleted as the site's own, inside an article or main element as well.  A copy of the
-page says nothing about the site: then the other neighbour is taken, if it is no copy.
+"""Main text of web pages by nearest-URL page differencing, with markup beside it.
+
+A page is cut into lines, the blocks of its text.  Pages of a host are put in the order
+of their URL paths, each is paired with the nearer of its two neighbours, all lines of
+both (menus, adverts and footers too) are aligned by their longest common subsequence,
+and shared lines are deleted as the site's own.  A copy of the page says nothing about
+the site: then the other neighbour is taken, if it is no copy.
+
+What the alignment leaves is main text unless the markup says that it never is: menus,
+footers, forms, adverts by class name and so on.  The markup also protects: an article
+or main element is to be returned whole, and articles do share lines by chance, so lines
+inside one stay.  Where a page marks no article, the alignment alone decides.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, range_bounds
+from .common import MOST_RANGES, bounded_sample, map_rows, range_bounds
 
-RANGE_ROWS, MOST_RANGES = 1024, 20_000
+#: Pages in a range of neighbours.
+RANGE_ROWS = 1024
+#: A neighbour is a copy if the alignment covers more than this share of the page's own text.
+COPY = 0.9
+#: What a line is: outside of any article, inside one, or ruled out by the markup.
+OUTSIDE, INSIDE, RULED_OUT = 0, 1, 2
 
 # Element names of the HTML standard, by what they mean here.
 DROPPED = frozenset("head nav footer aside form dialog template noscript iframe object svg canvas audio video select button datalist menu".split())
@@ -65,94 +75,174 @@ def marked(tokens: list[set[str]], words: frozenset[str]) -> bool:
     return any(t <= words for t in tokens)
 
 
-def blocks(page: str) -> list[tuple[str, bool]]:
-    """Blocks of a page in order, outside of what the markup rules out; whether each is in an article or main element.
+# Open elements that an element closes if they were left open, and what it does not look beyond.
+_CELL_END = ("table",)
+_LIST_END = ("ul", "ol", "menu", "dl", "table", "article", "main", "section", "nav", "aside", "header", "footer", "form", "blockquote", "body")
+_IMPLIED_END = {"li": (("li",), _LIST_END), "dt": (("dt", "dd"), _LIST_END), "dd": (("dt", "dd"), _LIST_END), "tr": (("tr", "td", "th"), _CELL_END), "td": (("td", "th"), (*_CELL_END, "tr")), "th": (("td", "th"), (*_CELL_END, "tr"))}
+_PARAGRAPH = (("p",), ("table", "td", "th", "body"))
 
-    An element that turns out to hold an article or main element of its own is not left out.
+
+class _Mark:
+    """A left-out element: whether it still is, its name, and the one around it."""
+
+    __slots__ = ("around", "name", "out")
+
+    def __init__(self, name: str, around: _Mark | None):
+        self.out, self.name, self.around = True, name, around
+
+
+class _Open:
+    """The open elements that matter, with the places of each name: every step takes constant time on average."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, _Mark | None]] = []
+        self.places: dict[str, list[int]] = {}
+        self.mark: _Mark | None = None
+        self.settled = 0  # marks at the bottom that an article has already been found in
+        self.marks: list[_Mark] = []
+        self.articles = 0
+
+    def last(self, names: tuple[str, ...]) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def push(self, name: str, left_out: bool) -> None:
+        mark = None
+        if left_out:
+            mark = self.mark = _Mark(name, self.mark)
+            self.marks.append(mark)
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, mark))
+        self.articles += name in ("article", "main")
+
+    def close(self, to: int) -> None:
+        while len(self.stack) > to:
+            name, mark = self.stack.pop()
+            self.places[name].pop()
+            if mark:
+                self.mark = mark.around
+                self.marks.pop()
+                self.settled = min(self.settled, len(self.marks))
+            self.articles -= name in ("article", "main")
+
+    def close_implied(self, names: tuple[str, ...], within: tuple[str, ...]) -> None:
+        bound = self.last(within)
+        found = [p[-1] for n in names if (p := self.places.get(n)) and p[-1] > bound]
+        if found:
+            self.close(min(found))
+
+    def holds_article(self) -> None:
+        """What is around holds an article or main element, so it is not left out."""
+        for mark in self.marks[self.settled :]:
+            mark.out = mark.name in INERT or mark.name == "article"
+        self.settled = len(self.marks)
+
+
+def blocks(page: str) -> list[tuple[str, int]]:
+    """Blocks of a page in order, each with what it is; scripts, templates and other inert parts have none.
+
+    An element that turns out to hold an article or main element of its own is not ruled
+    out.  The time is in proportion to the page, however its elements are nested.
     """
     out: list[tuple[list, bool]] = []
-    line: list[tuple[str, tuple]] = []  # pieces of text, and the left-out elements around each
-    stack: list[tuple[str, list | None]] = []  # open elements that matter; of one left out [whether it still is, its name]
-    around: tuple = ()
-    articles = 0
+    line: list[tuple[str, _Mark | None]] = []  # pieces of text, and the innermost left-out element around each
+    opened = _Open()
 
     def close_block() -> None:
         if line:
-            out.append((line.copy(), articles > 0))
+            out.append((line.copy(), opened.articles > 0))
             line.clear()
 
-    def pop(to: int) -> None:
-        nonlocal around, articles
-        while len(stack) > to:
-            name, mark = stack.pop()
-            if mark:
-                around = around[:-1]
-            articles -= name in ("article", "main")
-
     last = 0
     for piece in _PIECE.finditer(page):
         if piece.start() > last:
-            line.append((page[last : piece.start()], around))
+            line.append((page[last : piece.start()], opened.mark))
         last = piece.end()
         name = (piece["name"] or "").lower()
         if not name:
             continue
+        block = name in BLOCKS or name in DROPPED
         if name == "br":
-            line.append((" ", ()))
+            line.append((" ", opened.mark))
         elif piece["end"]:
-            if name in BLOCKS or name in DROPPED:
+            if block:
                 close_block()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop(i)
-                    break
+            if (at := opened.last((name,))) >= 0:
+                opened.close(at)
         elif name in VOID:
             if name == "hr":
                 close_block()
         else:
-            block = name in BLOCKS or name in DROPPED
             if block:
                 close_block()
-                if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # may be left open
-                    for i in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
-                        if stack[i][0] == name:
-                            pop(i)
-                            break
-                elif stack and stack[-1][0] == "p":
-                    pop(len(stack) - 1)
+                if name in _IMPLIED_END:
+                    opened.close_implied(*_IMPLIED_END[name])
+                else:
+                    opened.close_implied(*_PARAGRAPH)
                 if name == "body":
-                    pop(0)
+                    opened.close(0)
             attributes = piece["attributes"] or ""
             tokens, hidden = read_attributes(attributes) if attributes.strip() else ([], False)
             if name in ("article", "main", "body", "html"):
                 left_out = name == "article" and marked(tokens, MARKED_ARTICLE)
                 if name in ("article", "main") and not left_out:
-                    for mark in around:
-                        mark[0] = mark[1] in INERT or mark[1] == "article"
+                    opened.holds_article()
             else:
-                left_out = name in DROPPED or (name == "header" and not articles) or hidden or marked(tokens, MARKED)
-                if not left_out and not articles and not any(t & HEADED for t in tokens):
+                left_out = name in DROPPED or (name == "header" and not opened.articles) or hidden or marked(tokens, MARKED)
+                if not left_out and not opened.articles and not any(t & HEADED for t in tokens):
                     left_out = any("header" in t and t <= HEADER for t in tokens)
             if left_out and not block:
-                line.append((" ", ()))
-            if left_out or (block and name != "hr"):
-                mark = [True, name] if left_out else None
-                stack.append((name, mark))
-                if mark:
-                    around += (mark,)
-                articles += name in ("article", "main")
+                line.append((" ", opened.mark))
+            if left_out or block:
+                opened.push(name, left_out)
     if last < len(page):
-        line.append((page[last:], around))
+        line.append((page[last:], opened.mark))
     close_block()
-    found = ((" ".join("".join(html.unescape(t) for t, o in pieces if not any(m[0] for m in o)).split()), article) for pieces, article in out)
-    return [x for x in found if x[0]]
+    return _judged(out)
+
+
+def _judged(out: list[tuple[list, bool]]) -> list[tuple[str, int]]:
+    """Texts of blocks from their pieces, once it is known which elements are left out."""
+    known: dict[_Mark | None, int] = {None: 0}  # 1 for what is ruled out, 2 for what is inert
+
+    def state(mark: _Mark | None) -> int:
+        path = []
+        while mark not in known:
+            path.append(mark)
+            mark = mark.around
+        for m in reversed(path):
+            known[m] = max(known[m.around], (2 if m.name in INERT else 1) if m.out else 0)
+        return known[path[0]] if path else known[mark]
+
+    found = []
+    for pieces, article in out:
+        states = [state(m) for _, m in pieces]
+        for wanted, kind in ((0, INSIDE if article else OUTSIDE), (1, RULED_OUT)):
+            text = " ".join("".join(html.unescape(t) for (t, _), s in zip(pieces, states, strict=True) if s == wanted).split()) if wanted in states else ""
+            if text:
+                found.append((text, kind))
+    return found
+
+
+def _mask(places: Sequence[int]) -> int:
+    """The whole number with a bit at each of the increasing places."""
+    if len(places) <= 32:
+        out = 0
+        for j in places:
+            out |= 1 << j
+        return out
+    held = bytearray(places[-1] // 8 + 1)
+    for j in places:
+        held[j >> 3] |= 1 << (j & 7)
+    return int.from_bytes(held, "little")
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
     """Places in ``a`` of a longest common subsequence with ``b``.
 
     Bit-parallel: one whole number per line of ``a`` holds a row of the table, so a page
-    of n lines against one of m takes n * m / 64 steps and n * m bits.
+    of n lines against one of m takes n * m / 64 steps.  Only every sqrt(n)-th row is kept
+    and those between are computed again on the way back: 2 * sqrt(n) * m bits, and m / 32
+    bits a line for lines that stand over 32 times.
     """
     begin = 0
     while begin < min(len(a), len(b)) and a[begin] == b[begin]:
@@ -162,49 +252,68 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
         end += 1
     kept = {*range(begin), *range(len(a) - end, len(a))}
     own, other = a[begin : len(a) - end], b[begin : len(b) - end]
-    where: dict[str, int] = {}
+    needed = set(own)
+    where: dict[str, list[int]] = {}
     for j, text in enumerate(other):
-        where[text] = where.get(text, 0) | 1 << j
+        if text in needed:
+            where.setdefault(text, []).append(j)
+    masks = {text: _mask(places) for text, places in where.items() if len(places) > 32}  # of others a mask is soon made again
     full = (1 << len(other)) - 1
-    row, rows = full, []
-    for text in own:
-        hit = row & where.get(text, 0)
-        row = ((row + hit) | (row - hit)) & full
-        rows.append(row)
+
+    def rows_after(row: int, begin: int, end: int) -> list[int]:
+        rows = [row]
+        for text in own[begin:end]:
+            hit = row & (masks[text] if text in masks else _mask(where.get(text, ())))
+            row = ((row + hit) | (row - hit)) & full
+            rows.append(row)
+        return rows
+
+    step = math.isqrt(len(own)) + 1
+    firsts, row = [], full  # the row before every step-th line
+    for start in range(0, len(own), step):
+        firsts.append(row)
+        row = rows_after(row, start, start + step)[-1]
     i, j = len(own), len(other)
-    while i and j:
-        if rows[i - 1] >> (j - 1) & 1:
-            j -= 1
-        elif i > 1 and not rows[i - 2] >> (j - 1) & 1:
-            i -= 1
-        else:
-            i, j = i - 1, j - 1
-            kept.add(begin + i)
+    for start in range((len(firsts) - 1) * step, -1, -step):
+        rows = rows_after(firsts[start // step], start, i)
+        while i > start and j:
+            if rows[i - start] >> (j - 1) & 1:
+                j -= 1
+            elif not rows[i - start - 1] >> (j - 1) & 1:
+                i -= 1
+            else:
+                i, j = i - 1, j - 1
+                kept.add(begin + i)
+        i = start
+        if not j:
+            break
     return kept
 
 
-def shared_lines(own: list[tuple[str, bool]], other: list[str]) -> set[int]:
+def shared_lines(own: list[tuple[str, int]], other: list[str]) -> set[int]:
     """Places of the lines shared with ``other``; of two longest alignments the one with less of the article."""
     lines = [text for text, _ in own]
     found = common_lines(lines, other)
-    if any(own[i][1] for i in found) and not all(article for _, article in own):
+    if any(own[i][1] == INSIDE for i in found) and any(kind != INSIDE for _, kind in own):
         turned = {len(lines) - 1 - i for i in common_lines(lines[::-1], other[::-1])}
-        found = min(found, turned, key=lambda x: sum(own[i][1] for i in x))
+        found = min(found, turned, key=lambda x: sum(own[i][1] == INSIDE for i in x))
     return found
 
 
-def main_text(own: list[tuple[str, bool]], *others: list[str] | None) -> str:
-    """The main text of a page's blocks, given the lines of the pages it may be paired with, nearest first.
+def frame(own: list[tuple[str, int]], others: list[list[str]]) -> set[int]:
+    """Places of a page's lines that the pages beside it, nearest first, show to be the site's own."""
+    content = INSIDE if any(kind == INSIDE for _, kind in own) else OUTSIDE
+    size = sum(len(text) for text, kind in own if kind == content)
+    shared = [shared_lines(own, other) for other in others]
+    # An alignment that takes nearly all of the content found a copy of it, not the site's frame.
+    shared = [x for x in shared if sum(len(own[i][0]) for i in x if own[i][1] == content) <= COPY * size]
+    return {i for i in shared[0] if own[i][1] != INSIDE} if shared else set()
 
-    It is paired with the first that is no copy: an alignment that takes nearly all of a
-    page found a copy of it, not the site's frame.
-    """
-    size = sum(len(text) for text, _ in own)
-    for other in others:
-        shared = shared_lines(own, other) if other else set()
-        if sum(len(own[i][0]) for i in shared) <= 0.9 * size:
-            return "\n".join(text for i, (text, _) in enumerate(own) if i not in shared)
-    return "\n".join(text for text, _ in own)
+
+def main_text(own: list[tuple[str, int]], *others: list[str]) -> str:
+    """The main text of a page's blocks, given the lines of the pages beside it, nearest first."""
+    gone = frame(own, [x for x in others if x])
+    return "\n".join(text for i, (text, kind) in enumerate(own) if kind != RULED_OUT and i not in gone)
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -233,23 +342,28 @@ def _nearness(a: str, b: str) -> int:
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
-CUT = "page_id long, url string, lines array<string>, article array<boolean>, k string, range long, guest boolean"
+CUT = "page_id long, url string, lines array<string>, kinds array<byte>, k string, range int, guest boolean"
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Main text of every page, a row for each row of ``pages``.
 
     A null or empty page has the empty text.  Pages without a URL share the empty host.
-    Equal URLs are neighbours in the order of page_id.  No host is gathered: the order
-    over (host, path, url, page_id) is cut into ranges by bounds from a bounded sample of keys;
-    the pages at both ends of a range also go, as guests, to the ranges beside it, so
-    bounds move work between tasks and change no pair.
+    Equal URLs are neighbours in the order of page_id, null first; of two neighbours that
+    are equally near the one before counts as nearer.  Repeated rows are copies of each other and come back
+    repeated.  A very long page is read whole, in time and memory in proportion to it but for
+    the alignment of ``common_lines``.  Other columns are ignored and an empty table gives no rows.
+
+    No host is gathered: the order over (host, path, url, page_id) is cut into ranges by
+    bounds from a bounded sample of keys, each read by one task as a stream; the pages at
+    both ends of a range also go, as guests, to the ranges beside it, so bounds move work
+    between tasks and change no pair.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     total = rows.count()
     ranges = max(1, min(MOST_RANGES, -(-total // RANGE_ROWS)))
-    sample = bounded_sample(rows, F.struct(F.coalesce("url", F.lit("")).alias("url"), "page_id"), 16 * ranges, total) if ranges > 1 else []
+    sample = bounded_sample(rows, F.struct(F.coalesce("url", F.lit("")).alias("url"), "page_id"), 8 * ranges, total) if ranges > 1 else []
     bounds = range_bounds([_key(r.url, r.page_id) for r in sample], ranges)
     # Ends of each range: two keys, whatever its size.
 
@@ -271,45 +385,31 @@ def extract(pages: DataFrame) -> DataFrame:
         guests.setdefault(low, []).append(left)
     shared = spark.sparkContext.broadcast((bounds, guests))  # bounded by MOST_RANGES
 
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_up(row: tuple) -> Iterator[tuple]:
         bounds, guests = shared.value
-        for batch in batches:
-            out = []
-            for page, url, text in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-                key = _key(url, page)
-                found = blocks(text or "")
-                row = (page, url, [t for t, _ in found], [a for _, a in found], key)
-                out.append((*row, bisect_right(bounds, key), False))
-                out += [(*row, place, True) for place in guests.get(key, ())]
-            if out:
-                types = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.string(), pa.int64(), pa.bool_())
-                names = [c.split()[0] for c in CUT.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def result(before: tuple | None, row: tuple, after: tuple | None) -> tuple:
-            near = [(_nearness(row[4], x[4]), i, x) for i, x in ((1, before), (0, after)) if x and x[5] == row[5]]
-            near.sort(key=lambda x: x[:2], reverse=True)
-            text = main_text(list(zip(row[2], row[3], strict=True)), *(x[2] for n, _, x in near if n >= 0))
-            return row[0], row[1], text, len(text)
-
+        page, url, text = row
+        key = _key(url, page)
+        found = blocks(text or "")
+        made = (page, url, [t for t, _ in found], [k for _, k in found], key)
+        yield *made, bisect_right(bounds, key), False
+        for place in guests.get(key, ()):
+            yield *made, place, True
+
+    def result(before: tuple | None, row: tuple, after: tuple | None) -> tuple:
+        near = [(_nearness(row[4], x[4]), i, x) for i, x in ((1, before), (0, after)) if x and x[5] == row[5]]
+        near.sort(key=lambda x: x[:2], reverse=True)
+        text = main_text(list(zip(row[2], row[3], strict=True)), *(x[2] for n, _, x in near if n >= 0))
+        return row[0], row[1], text, len(text)
+
+    def paired(rows: Iterator[tuple]) -> Iterator[tuple]:
         before = row = None
-        names = [c.split()[0] for c in CUT.split(", ")]
-        for batch in batches:
-            out = []
-            for after in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if row and not row[6]:
-                    out.append(result(before, row, after))
-                before, row = row, after
-            if out:
-                yield _batch(out)
+        for after in rows:
+            if row and not row[6]:
+                yield result(before, row, after)
+            before, row = row, after
         if row and not row[6]:
-            yield _batch([result(before, row, None)])
-
-    dealt = rows.mapInArrow(cut_up, CUT).repartition("range").sortWithinPartitions("range", "k", "guest")
-    return dealt.mapInArrow(paired, SCHEMA)
-
+            yield result(before, row, None)
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.string(), pa.string(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["page_id", "url", "text", "n_chars"])
+    dealt = map_rows(rows, lambda found: (x for row in found for x in cut_up(row)), CUT)
+    ordered = dealt.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "k", "guest")
+    return map_rows(ordered, paired, SCHEMA)
