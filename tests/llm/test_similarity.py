@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -53,23 +55,78 @@ def test_samples_are_consistent_and_weighted():
 ROWS = [(5, "a b c d e f g", "x", 1), (9, "h i j k l m n o p", "x", 1), (7, None, None, None), (3, "", None, None), (5, "z z z z z z", None, None), (5, "a b c d e f g", "x", 1), (None, "é🎉 n m", None, None), (1, "q w e r t y " * 3000, None, None)]
 
 
+def plain_terms(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    size = min(5, len(words))
+    return Counter(" ".join(words[i : i + size]) for i in range(len(words) - size + 1)) if words else Counter()
+
+
+def plain_jaccard(a, b):
+    x, y = plain_terms(a), plain_terms(b)
+    return sum((x & y).values()) / sum((x | y).values()) if x or y else 1.0
+
+
 def expected(rows):
-    """Brute force in driver order: doc_id descending, null last, ties by the text's hash as Spark has it."""
+    """In driver order: doc_id descending, null last, ties by the text's hash as Spark has it; exact similarities."""
     n = len(rows)
     for i, (doc_id, text) in enumerate(rows):
         own, after = text or "", rows[(i + 1) % n][1] or ""
         k = len(own) // 3
         edited = own[: len(own) - k] + after[:k]
-        yield doc_id, len(own), hashlib.sha256(edited.encode()).hexdigest(), round(fingerprints.likeness(fingerprints.signature(own), fingerprints.signature(edited)), 9), round(fingerprints.likeness(fingerprints.signature(own), fingerprints.signature(after)), 9)
+        yield doc_id, len(own), hashlib.sha256(edited.encode()).hexdigest(), plain_jaccard(own, edited), plain_jaccard(own, after)
+
+
+def spread(j, places=fingerprints.PLACES):
+    return (j * (1 - j) / places) ** 0.5
 
 
 @pytest.mark.parametrize("rows_a_range", [1, 2, 1000])
 def test_fingerprint_rows(spark, monkeypatch, rows_a_range):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", rows_a_range)
-    df = spark.createDataFrame(ROWS + [(100 + i, f"text {i} " * (i % 7), None, None) for i in range(40)], SCHEMA)
-    out = [(r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in fingerprints.fingerprint_pairs(df).collect()]
+    r = random.Random(1)
+    many = [(100 + i, " ".join(r.choices(WORDS[:30], k=60)) + f" text {i} " * (i % 7), None, None) for i in range(40)]
+    same_id = [(77, f"row {i} " + "a b c d e f g " * 9, None, None) for i in range(25)] + [(77, "again", None, None)] * 9
+    df = spark.createDataFrame(ROWS + many + same_id, SCHEMA)
+    out = fingerprints.fingerprint_pairs(df).collect()
     ordered = df.orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text", F.col("text").isNull()).desc()).select("doc_id", "text").collect()
-    assert sorted(out, key=str) == sorted(expected(ordered), key=str)
+    want = sorted(expected(ordered), key=str)
+    got = sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in out), key=str)
+    # Rows of one id and edited text differ in their likeness at most, so they are told apart by the texts alone.
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    by = {x[:3]: x for x in want}
+    exact = [by[x[:3]] for x in got]
+    errors = [(x[i] - y[i], y[i]) for x, y in zip(got, exact, strict=True) for i in (3, 4)]
+    assert all(abs(e) <= 5 * spread(j) for e, j in errors) and sum(e != 0 for e, _ in errors) > 20
+    assert len({r.fingerprint for r in out if (r.doc_id, r.n_chars) == (77, 5)}) == 1
+    for r in out:  # what is written is what is compared
+        x, y = ([f[i : i + 8] for i in range(0, len(f), 8)] for f in (r.fingerprint, r.edited_fingerprint))
+        assert len(x) == fingerprints.PLACES and r.near_edited == sum(a == b for a, b in zip(x, y, strict=True)) / len(x)
+
+
+@pytest.mark.parametrize(("times", "own"), [(1000, 100), (300, 300), (100, 600)])
+def test_a_heavy_term_keeps_its_weight(times, own):
+    """One run of five words very often, and other words of each text's own."""
+    errors = []
+    for seed in range(150):
+        r = random.Random(seed)
+        run = " ".join(f"s{seed}x{i}" for i in range(5))
+        a, b = (" ".join([run] * times + [f"{side}{r.random()}" for _ in range(own)]) for side in "ab")
+        errors.append(fingerprints.likeness(fingerprints.signature(a), fingerprints.signature(b)) - plain_jaccard(a, b))
+    exact = plain_jaccard(a, b)
+    assert abs(np.mean(errors)) < 0.03 and np.sqrt(np.mean(np.square(errors))) < 1.2 * spread(exact)
+
+
+def test_likeness_on_the_driver_documents(spark):
+    if not os.path.exists("/root/testdata/sf0.001/documents.parquet"):
+        pytest.skip("no test data")
+    rows = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()), reverse=True)
+    out = {r.doc_id: r for r in queries.op2_fingerprints(spark, "/root/testdata/sf0.001").collect()}
+    errors, exact = [], []
+    for doc_id, _, sha, near_edited, near_next in expected(rows):
+        assert out[doc_id].edited_sha256 == sha
+        errors += [out[doc_id].near_edited - near_edited, out[doc_id].near_next - near_next]
+        exact += [near_edited, near_next]
+    assert np.sqrt(np.mean(np.square(errors))) < 1.2 * np.sqrt(np.mean([spread(j) ** 2 for j in exact]))
 
 
 def test_fingerprint_edges(spark):

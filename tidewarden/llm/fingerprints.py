@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_batches, range_bounds, text_rows
+from .common import MOST_RANGES, bounded_sample, map_batches, map_rows, range_bounds, text_rows
 
 PLACES = 128
 SHINGLE = 5
@@ -32,8 +32,8 @@ SHINGLE = 5
 BLOCK = 64
 #: Word hashes a worker remembers before it starts afresh.
 MEMO = 500_000
-#: Documents in a range of neighbours, and the most ranges.
-RANGE_ROWS, MOST_RANGES = 4096, 20_000
+#: Documents in a range of neighbours.
+RANGE_ROWS = 2048
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -107,10 +107,13 @@ def _at_places(hashes: np.ndarray, salts: np.ndarray, out: np.ndarray, spare: np
 
 
 def signature(text: str, places: int = PLACES) -> np.ndarray:
-    """A 64-bit sample for each place, zero if the text has no word.  Equal texts have equal signatures."""
+    """A 32-bit sample for each place, zero if the text has no word.  Equal texts have equal signatures.
+
+    Different samples are taken for equal with a probability of 2^-32 at a place.
+    """
     hashes, weights = terms(text)
     if not len(hashes):
-        return np.zeros(places, np.uint64)
+        return np.zeros(places, np.uint32)
     salts = _mixed(np.arange(places, dtype=np.uint64), 4)
     out, spare = np.empty((2, min(BLOCK, len(hashes)), places), np.uint64)
     won = np.full(places, np.uint64(2**64 - 1))  # smallest hash among the terms of weight 1
@@ -127,7 +130,7 @@ def signature(text: str, places: int = PLACES) -> np.ndarray:
         a, t, found = a[row, column], t[row, column], found[row, column]
         better = a < best
         best, steps, won = np.where(better, a, best), np.where(better, t, steps), np.where(better, found, won)
-    return _mixed(won ^ _mixed(steps.astype(np.int64).view(np.uint64), 5), 6) | np.uint64(1)
+    return (_mixed(won ^ _mixed(steps.astype(np.int64).view(np.uint64), 5), 6) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> float:
@@ -136,49 +139,72 @@ def likeness(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def written(x: np.ndarray) -> str:
-    """Signature as text: eight hex digits for each place."""
-    return (x >> np.uint64(32)).astype(">u4").tobytes().hex()
+    """Signature as text, eight hex digits for each place: all that ``likeness`` compares."""
+    return x.astype(">u4").tobytes().hex()
+
+
+RANGED = "doc_id long, text string, k long, h long, range int, guest boolean"
+
 
+class Cuts:
+    """Increasing bounds (k, h); a row's range is the number of bounds that are not above it."""
 
-RANGED = "doc_id long, text string, k long, h long, range long, guest boolean"
+    def __init__(self, pairs: list[tuple[int, int]]):
+        self.k, self.h = (np.array([x[i] for x in pairs], np.int64) for i in (0, 1))
 
+    def ranges(self, k: np.ndarray, h: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(self.k, k, side="left"), np.searchsorted(self.k, k, side="right")
+        for at in np.unique(low[low < high]):  # ids that are bounds themselves: their rows go by h
+            rows = np.flatnonzero((low == at) & (low < high))
+            end = high[rows[0]]
+            low[rows] = at + np.searchsorted(self.h[at:end], h[rows], side="right")
+        return low
 
-def neighbour_ranges(rows: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, text) with columns range and guest, ready to be read in descending order.
 
-    Ranges cut the order doc_id descending, null last, then by the text's hash.  The rows
-    of a range's largest id are also sent, as guests, to the end of the range before it;
+def neighbour_ranges(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` (doc_id, text) with columns range and guest, to be read in descending order, and the number of ranges.
+
+    Ranges cut the order doc_id descending, null last, then by the text's hash, so that
+    neither a range of ids nor the rows of one repeated id are bound to one task.  The rows
+    of a range's largest (id, hash) are also sent, as guests, to the end of the range before it;
     those of the first range go to the end of the last.  So each row finds its next one in
-    its own range, and a range is read as a stream.  Bounds come from a bounded sample of
-    ids; they move work between tasks and change no result.
+    its own range, and a range is read as a stream.  Bounds come from a bounded sample;
+    they move work between tasks and change no result.
     """
     keyed = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.xxhash64("text", F.col("text").isNull()).alias("h"))
     total = rows.count()
     ranges = max(1, min(MOST_RANGES, -(-total // RANGE_ROWS)))
-    sample = bounded_sample(keyed, F.col("k"), 16 * ranges, total) if ranges > 1 else []
-    bounds = np.array(range_bounds(sample, ranges), np.int64)
-
-    def ranged(batch: pa.RecordBatch) -> pa.RecordBatch:
-        places = np.searchsorted(bounds, batch.column("k").to_numpy(), side="right")
-        return pa.RecordBatch.from_arrays([batch.column("k"), pa.array(places, pa.int64())], ["k", "range"])
+    sample = bounded_sample(keyed, F.struct("k", "h"), 8 * ranges, total) if ranges > 1 else []
+    cuts = Cuts(range_bounds([(r.k, r.h) for r in sample], ranges))
 
-    tops = map_batches(keyed.select("k"), ranged, "k long, range long").groupBy("range").agg(F.max("k").alias("k"))
-    known = sorted(((r["range"], r["k"]) for r in tops.collect()), reverse=True)  # a row for each range
-    top = np.full(len(bounds) + 1, -(2**63), np.int64)
-    before = np.zeros(len(bounds) + 1, np.int64)
-    for i, (place, k) in enumerate(known):
-        top[place], before[place] = k, known[i - 1][0]
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[int, int]] = {}
+        for batch in batches:
+            k, h = (batch.column(c).to_numpy() for c in ("k", "h"))
+            places = cuts.ranges(k, h)
+            order = np.lexsort((h, k, places))
+            last = order[np.flatnonzero(np.diff(places[order], append=-1))]
+            for place, pair in zip(places[last].tolist(), zip(k[last].tolist(), h[last].tolist(), strict=True), strict=True):
+                found[place] = max(found.get(place, pair), pair)
+        yield pa.RecordBatch.from_arrays([pa.array([*found], pa.int32()), *(pa.array([x[i] for x in found.values()], pa.int64()) for i in (0, 1))], ["range", "k", "h"])
+
+    tops = keyed.select("k", "h").mapInArrow(ends, "range int, k long, h long").groupBy("range").agg(F.max(F.struct("k", "h")).alias("top"))
+    known = sorted(((r["range"], r["top"]["k"], r["top"]["h"]) for r in tops.collect()), reverse=True)  # a row for each range
+    top = np.full((2, len(cuts.k) + 1), -(2**63), np.int64)
+    before = np.zeros(len(cuts.k) + 1, np.int64)
+    for i, (place, k, h) in enumerate(known):
+        top[:, place], before[place] = (k, h), known[i - 1][0]
 
     def dealt(batch: pa.RecordBatch) -> pa.RecordBatch:
-        k = batch.column("k").to_numpy()
-        places = np.searchsorted(bounds, k, side="right")
-        guests = np.flatnonzero(k == top[places])
+        k, h = (batch.column(c).to_numpy() for c in ("k", "h"))
+        places = cuts.ranges(k, h)
+        guests = np.flatnonzero((k == top[0, places]) & (h == top[1, places]))
         whole = pa.Table.from_batches([batch])
         table = pa.concat_tables([whole, whole.take(pa.array(guests))])
-        table = table.append_column("range", pa.array(np.concatenate([places, before[places[guests]]]), pa.int64()))
+        table = table.append_column("range", pa.array(np.concatenate([places, before[places[guests]]]), pa.int32()))
         return table.append_column("guest", pa.array(np.arange(len(table)) >= len(k))).combine_chunks().to_batches()[0]
 
-    return map_batches(keyed, dealt, RANGED)
+    return map_batches(keyed, dealt, RANGED), len(cuts.k) + 1
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -189,33 +215,30 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
 
     The edited text replaces the last third of the code points by as many first ones
     (or all) of the next document in descending doc_id; the last is followed by the
-    first, and a lone document by itself.  A null text is empty.  Rows of equal doc_id
-    follow each other by their text's hash; a null doc_id comes last.
+    first, and a lone document by itself.  A null text is empty, and texts without a word are
+    all alike.  Rows of equal doc_id follow each other by their text's hash, so ties and
+    repeated rows have one order; a null doc_id comes last.  A very long text is read whole, its
+    terms in blocks.  Other columns are ignored and an empty table gives no rows.
     """
-    ranged = neighbour_ranges(text_rows(docs))
+    ranged, ranges = neighbour_ranges(text_rows(docs))
     order = [F.col("range"), F.col("guest"), F.col("k").desc(), F.col("h").desc()]
-    dealt = ranged.repartition("range").sortWithinPartitions(*order).select("doc_id", "text", "range", "guest")
+    dealt = ranged.repartitionById(ranges, F.col("range")).sortWithinPartitions(*order).select("doc_id", "text", "range", "guest")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         waiting = None  # doc_id, text, signature of the row whose next has not come yet
         in_range, over = None, False
-        for batch in batches:
-            out = []
-            for doc_id, text, own, guest in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "range", "guest")), strict=True):
-                if own != in_range:
-                    in_range, over, waiting = own, False, None
-                if over:  # further copies of the guest
-                    continue
-                text = text or ""
-                sign = waiting[2] if waiting and waiting[1] == text else signature(text)
-                if waiting:
-                    out.append(compared(*waiting, text, sign))
-                waiting, over = (None, True) if guest else ((doc_id, text, sign), False)
-            if out:
-                types = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
-
-    return dealt.mapInArrow(run, SCHEMA)
+        for doc_id, text, own, guest in rows:
+            if own != in_range:
+                in_range, over, waiting = own, False, None
+            if over:  # further copies of the guest
+                continue
+            text = text or ""
+            sign = waiting[2] if waiting and waiting[1] == text else signature(text)
+            if waiting:
+                yield compared(*waiting, text, sign)
+            waiting, over = (None, True) if guest else ((doc_id, text, sign), False)
+
+    return map_rows(dealt, run, SCHEMA)
 
 
 def compared(doc_id: int | None, text: str, sign: np.ndarray, after: str, after_sign: np.ndarray) -> tuple:
