@@ -53,6 +53,49 @@ def test_identify(spark):
     assert kept.columns == ["doc_id", "text", "lang", "score"] and {r.doc_id for r in kept.collect()} == set(by) - {900, 901, 902}
 
 
+def test_sample_is_bounded_and_has_every_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 20)
+    rows = [(None if i % 2 else 7, f"text {i} " * 40, "aa", None) for i in range(3000)] + [(8, "one text " * 50, "bb", None)] * 2000 + [(9, f"t {i}", f"l{i}", None) for i in range(250)]
+    df = spark.createDataFrame(rows, DOCS).where(~langid.held_out())
+    found = langid.sample(df)
+    assert found == langid.sample(df.repartition(5, "text").unionByName(df.limit(500)))
+    by = {}
+    for lang, codes in found:
+        by.setdefault(lang, []).append(codes)
+    kept = {r.lang for r in df.select("lang").distinct().collect()}
+    assert set(by) == kept and len(kept) > 200
+    assert 20 * 3 <= len(by["aa"]) <= 20 * 4  # texts of three or four windows
+    if "bb" in kept:
+        assert len(by["bb"]) <= 4
+    monkeypatch.setattr(langid, "SAMPLE_ALL", 100)
+    with pytest.raises(ValueError):
+        langid.sample(df)
+
+
+def test_prediction_is_the_mean_over_all_windows(spark, monkeypatch):
+    """Against plain evaluation of every window, whatever the slices."""
+    rows = [(i, written(lang, i), lang, "x") for lang in SYLLABLES for i in range(30)]
+    network = langid.fit(spark.createDataFrame(rows, DOCS))
+    texts = [written("aa", 500, 900) + written("cc", 501, 300), "é", "x", written("bb", 502, 25), "", "12", written("cc", 503, 2000)]
+    want = []
+    for text in texts:
+        data = text.encode()
+        padded = [int(langid._CLASS[b]) for b in data] + [langid.PAD] * (langid.WINDOW + 3)
+        total = np.zeros(3)
+        count = max(1, -(-len(data) // langid.WINDOW))
+        for n in range(count):
+            at = network.embedding[padded[n * langid.WINDOW : (n + 1) * langid.WINDOW + 3]]
+            at = np.concatenate([at, np.tile(network.embedding[langid.PAD], (langid.WINDOW + 3 - len(at), 1))])
+            pooled = [np.maximum(np.max([np.concatenate(at[i : i + w]) @ f + b for i in range(langid.WINDOW)], axis=0), 0) for w, f, b in zip(langid.WIDTHS, network.filters, network.biases, strict=True)]
+            z = np.concatenate(pooled) @ network.output + network.output_bias
+            total += np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        want.append((network.languages[int(total.argmax())], total.max() / count) if any(c.isalpha() for c in text) else ("und", 0.0))
+    for together in (1, 3, 2048):
+        monkeypatch.setattr(langid, "TOGETHER", together)
+        got = langid.Predictor(network).predict(texts)
+        assert [x for x, _ in got] == [x for x, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], atol=1e-4)
+
+
 def test_identify_without_labels(spark):
     out = langid.identify(spark.createDataFrame([(1, "abc", None, None)], DOCS)).collect()
     assert [(r.lang_pred, r.score) for r in out] == [("und", 0.0)]

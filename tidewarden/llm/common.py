@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,13 +38,25 @@ def text_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply ``function`` to each Arrow batch of ``df``."""
+#: Bytes of an Arrow batch that an operator works on at once; long texts come in batches of many rows.
+BATCH_BYTES = 8_000_000
+
+
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, large ones cut into parts of about ``BATCH_BYTES`` if their rows are even; none is empty."""
+    for batch in batches:
+        if batch.num_rows:
+            rows = max(1, batch.num_rows * BATCH_BYTES // max(BATCH_BYTES, batch.nbytes))
+            for start in range(0, batch.num_rows, rows):
+                yield batch.slice(start, rows)
+
+
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
+    """Apply ``function`` to the Arrow batches of ``df``, a bounded part at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield function(batch)
+        for part in parts_of(batches):
+            yield function(part)
 
     return df.mapInArrow(run, schema)
 

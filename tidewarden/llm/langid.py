@@ -24,8 +24,10 @@ from .common import map_batches, strings, text_rows
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
-#: Bound of the training sample: documents of each language, windows of a document, languages.
-SAMPLE_DOCS, SAMPLE_WINDOWS, LANGUAGES = 300, 4, 200
+#: Bounds of the training sample: documents of each language, windows of a document, documents in all.
+SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_ALL = 300, 4, 60_000
+#: Windows that are scored at once.
+TOGETHER = 2048
 PAD, SPACE, DIGIT, OTHER = 0, 1, 2, 3
 CLASSES = 4 + 26 + 128
 UNKNOWN = "und"
@@ -154,42 +156,57 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame) -> Network | None:
-    """Train on a bounded sample: documents of smallest hash for each language, windows at even steps.
+def sample(docs: DataFrame) -> list[tuple[str, bytes]]:
+    """(language, codes of a window) of the training sample, in an order that depends on the texts alone.
 
-    Only rows that are not held out, with a text and a language, are eligible; null if
-    there is none.  At most ``SAMPLE_DOCS`` x ``SAMPLE_WINDOWS`` windows of each language reach the
-    driver.
+    Eligible are rows that are not held out, with a text and a language.  Of each language the
+    ``SAMPLE_DOCS`` different texts of smallest hash are taken, fewer if there are so many
+    languages that ``SAMPLE_ALL`` would be passed, and of each text ``SAMPLE_WINDOWS`` windows
+    at even steps.  A text counts once however many rows have it, so neither copies nor null
+    or repeated ids change how much arrives.  Every language of the table is learned; more
+    than ``SAMPLE_ALL`` of them are an error.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    rows = rows.select("lang", "text", F.xxhash64(F.lit(11), "text").alias("h"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(SAMPLE_ALL + 1).collect()
+    if len(counts) > SAMPLE_ALL:
+        raise ValueError(f"more than {SAMPLE_ALL} values of lang")
     if not counts:
-        return None
-    share = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000))
-    taken = None
-    for r in counts:
-        limit = min(1_000_000, -(-1_000_000 * SAMPLE_DOCS // r["count"]))
-        here = (F.col("lang") == r["lang"]) & (share < limit)
-        taken = here if taken is None else taken | here
-    span = WINDOW + _REACH
+        return []
+    each = min(SAMPLE_DOCS, SAMPLE_ALL // len(counts))
+    # The count is an estimate: half as many again are met, and those of smallest hash are kept below.
+    shares = [(r["lang"], min(2**63 - 1, (2**63 - 1) * (3 * each + 40) // (2 * max(1, r["n"])))) for r in counts]
+    bounds = docs.sparkSession.createDataFrame(shares, "lang string, bound long")  # SAMPLE_ALL rows at most
 
     def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, found = [], []
-        for text, lang in zip(strings(batch, "text"), batch.column("lang").to_pylist(), strict=True):
+        langs, hashes, found = [], [], []
+        for lang, text, h in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "h")), strict=True):
             all_windows = windows(byte_classes(text))
-            for i in sorted({len(all_windows) * j // SAMPLE_WINDOWS for j in range(SAMPLE_WINDOWS)}):
-                langs.append(lang)
-                found.append(all_windows[i].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], ["lang", "codes"])
-
-    sample = map_batches(rows.where(taken).select("text", "lang"), pick, "lang string, codes binary").collect()
-    sample = sorted((r["lang"], bytes(r["codes"])) for r in sample)
-    if not sample:
+            langs.append(lang)
+            hashes.append(h)
+            found.append([all_windows[i].tobytes() for i in sorted({len(all_windows) * j // SAMPLE_WINDOWS for j in range(SAMPLE_WINDOWS)})])
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(hashes, pa.int64()), pa.array(found, pa.list_(pa.binary()))], ["lang", "h", "codes"])
+
+    met = rows.join(F.broadcast(bounds), "lang").where(F.col("h").bitwiseAND(F.lit(2**63 - 1)) <= F.col("bound")).select("lang", "text", "h")
+    picked = map_batches(met, pick, "lang string, h long, codes array<binary>").groupBy("lang", "h").agg(F.min("codes").alias("codes")).collect()
+    out, taken = [], {}
+    for r in sorted(picked, key=lambda r: (r["lang"], r["h"] & (2**63 - 1), r["h"])):
+        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
+        if taken[r["lang"]] <= each:
+            out += [(r["lang"], bytes(c)) for c in r["codes"]]
+    return out
+
+
+def fit(docs: DataFrame) -> Network | None:
+    """Train on ``sample``; null if it is empty."""
+    found = sample(docs)
+    if not found:
         return None
-    languages = sorted({lang for lang, _ in sample})
-    codes = np.frombuffer(b"".join(c for _, c in sample), np.uint8).reshape(-1, span).copy()
-    labels = np.array([languages.index(lang) for lang, _ in sample])
+    languages = sorted({lang for lang, _ in found})
+    number = {lang: i for i, lang in enumerate(languages)}
+    codes = np.frombuffer(b"".join(c for _, c in found), np.uint8).reshape(-1, WINDOW + _REACH).copy()
+    labels = np.array([number[lang] for lang, _ in found])
     # Short texts are met too: of every fourth window only a beginning is left.
     lengths = 12 + np.arange(len(codes)) * 37 % 80
     for i in range(0, len(codes), 4):
@@ -213,29 +230,34 @@ class Predictor:
         if self.network is None:
             return out
         self.tables = self.tables or self.network.tables()
+        sums: dict[int, np.ndarray] = {}
+        lengths: dict[int, int] = {}
         waiting: list[tuple[int, np.ndarray]] = []
         size = 0
 
         def flush() -> None:
             scores = self.network.score(np.concatenate([w for _, w in waiting]), self.tables)
-            owner = np.repeat(np.arange(len(waiting)), [len(w) for _, w in waiting])
-            sums = np.zeros((len(waiting), scores.shape[1]))
-            np.add.at(sums, owner, scores)
-            for (i, w), total in zip(waiting, sums, strict=True):
-                best = int(total.argmax())
-                out[i] = (self.network.languages[best], min(1.0, float(total[best]) / len(w)))
+            starts = np.cumsum([0, *(len(w) for _, w in waiting[:-1])])
+            for (i, _), total in zip(waiting, np.add.reduceat(scores.astype(np.float64), starts, axis=0), strict=True):
+                sums[i] = sums.get(i, 0) + total
 
         for i, text in enumerate(texts):
             if not _LETTER.search(text):
                 continue
             rows = windows(byte_classes(text))
-            waiting.append((i, rows))
-            size += len(rows)
-            if size >= 2048:
-                flush()
-                waiting, size = [], 0
+            lengths[i] = len(rows)
+            for start in range(0, len(rows), TOGETHER):  # of a long text some windows at a time
+                part = rows[start : start + TOGETHER]
+                waiting.append((i, part))
+                size += len(part)
+                if size >= TOGETHER:
+                    flush()
+                    waiting, size = [], 0
         if waiting:
             flush()
+        for i, total in sums.items():
+            best = int(total.argmax())
+            out[i] = (self.network.languages[best], min(1.0, float(total[best]) / lengths[i]))
         return out
 
 
@@ -245,7 +267,9 @@ def identify(docs: DataFrame, network: Network | None = None) -> DataFrame:
     Returns doc_id, held_out, lang_pred and score (0 to 1).  Without ``network`` one is
     fitted on the rows that are not held out.  A null text, or one without a letter, is
     ``und`` with score 0, as is everything if nothing could be learned.  A null doc_id
-    is not held out.
+    is not held out.  Of languages of equal probability the first in order is taken.  A
+    very long text is read whole, some windows at a time; repeated rows come back repeated,
+    other columns are ignored, and an empty table gives no rows.
     """
     predictor = Predictor(network or fit(docs))
 
@@ -257,7 +281,7 @@ def identify(docs: DataFrame, network: Network | None = None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, network: Network | None = None, least: float = 0.4) -> DataFrame:
-    """The documents whose language is known with a score of ``least`` or more; columns stay as they are."""
+    """The documents whose language is known with a score of ``least`` or more; columns and repeated rows stay as they are."""
     predictor = Predictor(network or fit(docs))
     schema = docs.schema
 
@@ -265,4 +289,4 @@ def accepted(docs: DataFrame, network: Network | None = None, least: float = 0.4
         keep = [lang != UNKNOWN and score >= least for lang, score in predictor.predict(strings(batch, "text"))]
         return batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(lambda batches: (run(b) for b in batches if b.num_rows), schema)
+    return map_batches(docs, run, schema)
