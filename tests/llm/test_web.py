@@ -313,8 +313,9 @@ def test_url_rows(spark):
         assert (out[i].host, out[i].path) == (host, path), url
         rule = plain_rule(host, path)
         assert out[i].rule == (rule and rule[0]), url
-        assert out[i].verdict == (rule[1] if rule else "block" if trees.score(url or "") > 0 else "allow"), url
+        assert out[i].verdict == (rule[1] if rule else "block" if trees.score(url or "") > urlfilter.BLOCK_ABOVE else "allow"), url
         assert abs(out[i].score - 1 / (1 + np.exp(-trees.score(url or "")))) < 1e-4, url
+    assert {out[i].verdict for i in range(len(urls)) if out[i].rule is None} <= {"allow", "block"}
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
 
@@ -325,3 +326,24 @@ def test_trees_learn_and_hold_out():
     trees = urlfilter.Trees(train)
     assert np.mean([(trees.score(u) > 0) == bool(y) for u, y in held]) > 0.85
     assert urlfilter.Trees([]).score("http://a.b/") <= 0
+
+
+def test_fit_takes_a_bounded_sample(spark):
+    labelled = urlfilter.labelled_urls()
+    df = spark.createDataFrame([(u, y, "x") for u, y in labelled] * 3 + [(None, 1, "x"), ("http://a.b/", None, "x"), ("http://a.b/", 7, "x")], "url string, label int, h string")
+    trees = urlfilter.fit(df)
+    assert np.mean([(trees.score(u) > 0) == bool(y) for u, y in labelled]) > 0.95
+    assert trees.trees == urlfilter.fit(df.repartition(7)).trees
+    small = urlfilter.fit(df, each=20)
+    assert small.trees != trees.trees and np.mean([(small.score(u) > 0) == bool(y) for u, y in labelled]) > 0.7
+    none = urlfilter.fit(df.where("false"))
+    out = urlfilter.judge(spark.createDataFrame([(1, "http://x.biz/win?a=1"), (2, "http://x.net/es/1")], "page_id int, url string"), trees=none).orderBy("page_id").collect()
+    assert [r.verdict for r in out] == ["allow", "block"]
+
+
+def test_labels_are_not_from_the_tables(spark):
+    place = "/root/testdata/sf0.1/pages.parquet"
+    if not os.path.exists(place):
+        pytest.skip("no test data")
+    hosts = {label for r in spark.read.parquet(place).select("url").collect() for label in htmltext.split_url(r.url)[0].split(".")}
+    assert not hosts & {*urlfilter.BLOCKED_NAMES, *urlfilter.ALLOWED_NAMES}

@@ -1,8 +1,8 @@
 """URL filters: site rules first, then gradient-boosted trees on lexical features.
 
 Everything on the main path is DataFrame expressions.  The trees are small and are
-fitted on the driver from labelled URLs, whose number is a parameter's length, then
-written out as one SQL expression for Spark and one for DuckDB.
+fitted on the driver from labelled URLs (``fit`` takes a bounded sample of a table of
+them), then written out as one SQL expression for Spark and one for DuckDB.
 """
 
 from __future__ import annotations
@@ -13,13 +13,17 @@ from collections.abc import Sequence
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Fixed values: (host, path, verdict) of the site rules.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
-# Words from which the labelled URLs are composed.  Both lists have hosts with and without hyphens and digits.
-BLOCKED_NAMES = ("cheappills", "casino-win", "freebets24", "spamfarm", "ads-track", "wincash", "best-loans-4u", "hotdeals", "click-bait", "pokerstream", "slots-99-bonus", "buyfollowers", "replicawatch", "miracle-diet", "cryptodouble", "instantcredit", "sweepstake7", "dating-tonight")
+# Words from which the labelled URLs are composed, common ones of either kind.  Both
+# lists have hosts with and without hyphens and digits; none is taken from a table.
+BLOCKED_NAMES = ("pharmadirect", "jackpot-city", "wager24", "loanshark", "popunder-media", "cashprize", "quick-credit-4u", "dealblast", "click-bait", "pokerstream", "slots-99-bonus", "buyfollowers", "replicawatch", "miracle-diet", "cryptodouble", "instantcredit", "sweepstake7", "dating-tonight")
 ALLOWED_NAMES = ("news", "open-library", "museum", "saint-james-school", "gazette", "city-hospital", "university", "weather", "new-town-council", "science", "radio4", "archive", "choir-of-the-valley", "handbook", "observatory", "rail-timetable", "gardening", "channel9")
+#: Raw score (log odds) above which the trees block: a probability of 0.8, as most URLs are fine.
+BLOCK_ABOVE = round(math.log(0.8 / 0.2), 6)
 BLOCKED_SUFFIXES, ALLOWED_SUFFIXES = ("top", "info", "com", "biz", "net"), ("org", "com", "edu", "net", "info")
 TOPICS = ("history", "opening-hours", "annual-report", "weather-in-the-north", "contact", "how-to-read-a-map", "minutes")
 
@@ -40,7 +44,7 @@ def labelled_urls() -> list[tuple[str, int]]:
             tail = (f"go/{code}?id={n}&aff={j}&u={code}", "order/now?ref=mail&aff=partner&sid=summer", f"?ref={code}", f"a/b/c/{code}.php?x={n}", "win", f"{topic}?from=mail&to=offer&step=one")[(i + j) % 6]
             blocked.append((f"http{'s' * ((i + j) % 2)}://{host}/{tail}", 1))
             host = f"{('www.', '', 'blog.', 'www.', 'data.archive.')[(i + j) % 5]}{good}.{ALLOWED_SUFFIXES[(2 * i + j) % 5]}"
-            tail = (topic, f"{2001 + n % 20}/{n % 12 + 1:02d}/{n % 28 + 1:02d}/{n}.html", f"{topic}/{other}", f"search?q={topic}&page={j + 1}", f"records/{n * 31}/{n % 1000}", f"{topic}/{n % 100}/{other}.html#top")[(i + j) % 6]
+            tail = (topic, f"{2001 + n % 20}/{n % 12 + 1:02d}/{n % 28 + 1:02d}/{n}.html?utm_source=mail", f"{topic}/{other}?utm_source=feed&utm_medium=web", f"search?q={topic}&page={j + 1}", f"records/{n * 31}/{n % 1000}?page={j}&sort=date", f"{topic}/{n % 100}/{other}.html#top", f"en/{n % 1000}?ref=home&page={j}", f"{n % 10000}?session={code}")[(i + 3 * j) % 8]
             allowed.append((f"http{'s' * ((i + j) % 3 > 0)}://{host}/{tail}", 0))
     return blocked + allowed
 
@@ -89,7 +93,7 @@ def feature_sql(suffix_rates: dict[str, float], dialect: str) -> dict[str, str]:
         sums = f"aggregate(array_distinct({characters}), 0D, (s, c) -> s + (length(u) - length(replace(u, c, ''))) * ln(length(u) - length(replace(u, c, ''))))"
     entropy = f"CASE WHEN length(u) > 0 THEN floor((ln(length(u)) - coalesce({sums}, 0) / length(u)) * 1000 / ln(2) + 0.000001) ELSE 0 END"
     end = "regexp_extract(host, '([^.]*)$', 1)"
-    suffix = "CASE " + " ".join(f"WHEN {end} = '{s}' THEN {round(1000 * r)}" for s, r in sorted(suffix_rates.items())) + " ELSE 500 END"
+    suffix = "500" if not suffix_rates else "CASE " + " ".join(f"WHEN {end} = '{s}' THEN {round(1000 * r)}" for s, r in sorted(suffix_rates.items())) + " ELSE 500 END"
     return {
         "length": "length(u)",
         "host_length": "length(host)",
@@ -182,6 +186,29 @@ class Trees:
         return " + ".join([str(round(self.start * 1_000_000)), *(node(t) for t in self.trees)])
 
 
+#: Labelled URLs of each class that ``fit`` takes at most.
+SAMPLE_URLS = 2_000
+
+
+def fit(labelled: DataFrame, each: int = SAMPLE_URLS) -> Trees:
+    """Trees from a table of labelled URLs: url, and label, 1 to block or 0 to allow.
+
+    Of either class the ``each`` different URLs of smallest hash are taken, so neither the
+    table's size nor repeated rows change how much reaches the driver, and the result depends
+    on the URLs alone.  Rows with a null, or another label, take no part; a table without
+    any gives trees that allow everything.
+    """
+    rows = labelled.selectExpr("CAST(url AS STRING) AS url", "CAST(label AS INT) AS label").where("url IS NOT NULL AND label IN (0, 1)")
+    rows = rows.withColumn("h", F.xxhash64("url").bitwiseAND(F.lit(2**63 - 1)))
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    near = F.lit(False)
+    for label, n in counts.items():  # two at most
+        near |= (F.col("label") == label) & (F.col("h") <= min(2**63 - 1, (2**63 - 1) * (3 * each + 40) // (2 * max(1, n))))
+    met = sorted(((r["label"], r["h"], r["url"]) for r in rows.where(near).distinct().collect()), key=lambda r: (r[1], r[2], r[0]))
+    taken = [x for label in (1, 0) for x in [r for r in met if r[0] == label][:each]]
+    return Trees([(url, label) for label, _, url in taken])
+
+
 @lru_cache(maxsize=1)
 def default_trees() -> Trees:
     return Trees(labelled_urls())
@@ -192,7 +219,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, trees
 
     Returns page_id, host, path, rule (null without one), verdict and score, the trees'
     probability that the URL is to be blocked.  A null URL, or one without ``://``, has
-    an empty host and path and fits no rule.
+    an empty host and path and fits no rule; the trees judge it as the empty URL or by what
+    it has.  Rules of equal length cannot both fit one URL unless they are the same.  A very long URL is
+    measured whole, repeated rows come back repeated, other columns are ignored and an
+    empty table gives no rows.
     """
     trees = trees or default_trees()
     return _query(pages.selectExpr("CAST(page_id AS BIGINT) AS page_id", "CAST(url AS STRING) AS url"), rules, trees)
@@ -204,7 +234,7 @@ def _query(pages: DataFrame, rules: Sequence[tuple[str, str, str]], trees: Trees
     parts = pages.selectExpr("page_id", "coalesce(url, '') AS u", f"{host} AS host", f"{path} AS path")
     measured = parts.selectExpr("page_id", "host", "path", f"{rule} AS rule", f"{verdict} AS ruled", *(f"{x} AS f_{name}" for name, x in feature_sql(trees.suffix_rates, "spark").items()))
     scored = measured.selectExpr("page_id", "host", "path", "rule", "ruled", f"{trees.sql()} AS raw")
-    return scored.selectExpr("page_id", "host", "path", "rule", "coalesce(ruled, CASE WHEN raw > 0 THEN 'block' ELSE 'allow' END) AS verdict", "round(1 / (1 + exp(-raw / 1000000D)), 6) AS score")
+    return scored.selectExpr("page_id", "host", "path", "rule", f"coalesce(ruled, CASE WHEN raw > {round(BLOCK_ABOVE * 1_000_000)} THEN 'block' ELSE 'allow' END) AS verdict", "round(1 / (1 + exp(-raw / 1000000D)), 6) AS score")
 
 
 def oracle(rules: Sequence[tuple[str, str, str]] = RULES, trees: Trees | None = None) -> str:
@@ -217,5 +247,5 @@ def oracle(rules: Sequence[tuple[str, str, str]] = RULES, trees: Trees | None =
         f"WITH parts AS (SELECT page_id, coalesce(url, '') AS u, {host} AS host, {path} AS path FROM pages), "
         f"measured AS (SELECT page_id, host, path, {rule} AS rule, {verdict} AS ruled, {measured} FROM parts), "
         f"scored AS (SELECT page_id, host, path, rule, ruled, {trees.sql()} AS raw FROM measured) "
-        "SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN raw > 0 THEN 'block' ELSE 'allow' END) AS verdict, round(1 / (1 + exp(-raw / 1000000.0)), 6) AS score FROM scored"
+        f"SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN raw > {round(BLOCK_ABOVE * 1_000_000)} THEN 'block' ELSE 'allow' END) AS verdict, round(1 / (1 + exp(-raw / 1000000.0)), 6) AS score FROM scored"
     )
