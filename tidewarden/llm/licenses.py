@@ -1,9 +1,9 @@
 """License scans by template-markup matching.
 
-A template is wording with regions marked ``[[ ... ]]`` (optional) and ``<<n>>``
-(replaceable by at most n words).  ``compile_template`` turns it into a token
-automaton; a text is accepted where its words run from the start to the end state,
-so all mandatory wording matches word for word.  Texts are lower-cased (A-Z) and
+A template is wording with regions marked ``[[ ... | ... ]]`` (optional, with alternatives)
+and ``<<n>>`` (replaceable by at most n words), nested as deep as need be.
+``compile_template`` turns it into a token automaton; a text is accepted where its words
+run from the start to the end state, so all mandatory wording matches word for word.  Texts are lower-cased (A-Z) and
 split into words, so layout and punctuation never matter.
 """
 
@@ -55,7 +55,10 @@ def words(text: str) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Automaton:
-    """States 0..last over words.  ``step[s]`` maps a word to next states, ``any[s]`` lists states that any word leads to."""
+    """States 0..last over words.  ``step[s]`` maps a word to next states, ``any[s]`` lists states that any word leads to.
+
+    ``anchor`` is the longest run of mandatory words; at most ``before`` words stand in front of it.
+    """
 
     label: str
     step: tuple[dict[bytes, tuple[int, ...]], ...]
@@ -63,7 +66,7 @@ class Automaton:
     start: frozenset[int]
     accept: frozenset[int]
     anchor: tuple[bytes, ...]
-    optional: bool
+    before: int
 
     def match(self, tokens: Sequence[bytes], at: int) -> int:
         """End of the longest accepted run of words that begins at ``at``, or -1."""
@@ -78,82 +81,92 @@ class Automaton:
 
 
 def compile_template(label: str, markup: str) -> Automaton:
-    """Compile one template; empty moves past optional and replaceable regions are closed here."""
+    """Compile one template; empty moves past optional and replaceable regions are closed here.
+
+    Markup whose brackets do not match, or without mandatory wording, is an error.
+    """
+    marks = [(m.group(), m[1]) for m in _MARKUP.finditer(markup)]
     edges: list[tuple[int, bytes | None, int]] = []
     skips: list[tuple[int, int]] = []
-    runs: list[list[bytes]] = [[]]
-    state, count, depth = 0, 0, 0
-    entry = leaf = -1
-    leaves: list[int] = []
-
-    def new() -> int:
-        nonlocal count
-        count += 1
-        return count
-
-    for found in _MARKUP.finditer(markup):
-        mark = found.group()
-        if mark == "[[":
-            entry, leaves, depth = state, [], 1
-            runs.append([])
-            state = new()
-            skips.append((entry, state))
-        elif mark == "|":
-            leaves.append(state)
-            state = new()
-            skips.append((entry, state))
-        elif mark == "]]":
-            leaf, depth = new(), 0
-            skips += [(s, leaf) for s in (*leaves, state, entry)]
-            state = leaf
-            runs.append([])
-        elif found[1]:
+    runs: list[tuple[int, list[bytes]]] = [(0, [])]  # mandatory wording, each with the state before it
+    longest = [0]  # words on the longest way to each state
+
+    def new(*sources: int, words: int = 0) -> int:
+        longest.append(max(longest[s] for s in sources) + words)
+        return len(longest) - 1
+
+    def sequence(at: int, state: int, depth: int) -> tuple[int, int]:
+        """Compile from mark ``at`` on, up to the end of the region; returns where it ends and the state there."""
+        while at < len(marks):
+            mark, most = marks[at]
+            if mark in ("|", "]]"):
+                break
+            if mark == "[[":
+                entry, ends = state, [state]
+                while mark != "]]":
+                    at, end = sequence(at + 1, entry, depth + 1)
+                    ends.append(end)
+                    if at == len(marks):
+                        raise ValueError(f"template {label!r}: [[ without ]]")
+                    mark = marks[at][0]
+                state = new(*ends)
+                skips.extend((s, state) for s in ends)
+            elif most:
+                ends = [state]
+                for _ in range(int(most)):
+                    ends.append(new(ends[-1], words=1))
+                    edges.append((ends[-2], None, ends[-1]))
+                state = new(*ends)
+                skips.extend((s, state) for s in ends)
+            else:
+                for word in words(mark):
+                    edges.append((state, word, new(state, words=1)))
+                    state = edges[-1][2]
+                    if not depth:
+                        runs[-1][1].append(word)
+                at += 1
+                continue
             if not depth:
-                runs.append([])
-            after = new()
-            for _ in range(int(found[1])):
-                skips.append((state, after))
-                nxt = new()
-                edges.append((state, None, nxt))
-                state = nxt
-            skips.append((state, after))
-            state = after
-        else:
-            for word in words(mark):
-                nxt = new()
-                edges.append((state, word, nxt))
-                state = nxt
-                if not depth:
-                    runs[-1].append(word)
-    close = {s: {s} for s in range(count + 1)}
-    changed = True
-    while changed:
-        changed = False
-        for a, b in skips:
-            for reach in close.values():
-                if a in reach and b not in reach:
-                    reach.add(b)
-                    changed = True
-    step: list[dict[bytes, set[int]]] = [{} for _ in range(count + 1)]
-    anyword: list[set[int]] = [set() for _ in range(count + 1)]
+                runs.append((state, []))
+            at += 1
+        return at, state
+
+    at, last = sequence(0, 0, 0)
+    if at < len(marks):
+        raise ValueError(f"template {label!r}: {marks[at][0]} outside of a region")
+    onward: dict[int, list[int]] = {}
+    for a, b in skips:
+        onward.setdefault(a, []).append(b)
+
+    def closed(state: int) -> set[int]:
+        found, waiting = {state}, [state]
+        while waiting:
+            for b in onward.get(waiting.pop(), ()):
+                if b not in found:
+                    found.add(b)
+                    waiting.append(b)
+        return found
+
+    close = [closed(s) for s in range(len(longest))]
+    step: list[dict[bytes, set[int]]] = [{} for _ in close]
+    anyword: list[set[int]] = [set() for _ in close]
     for a, word, b in edges:
         if word is None:
             anyword[a] |= close[b]
         else:
             step[a].setdefault(word, set()).update(close[b])
-    anchor = max(runs, key=len)
+    start, anchor = max(runs, key=lambda r: len(r[1]))
     if not anchor:
         raise ValueError(f"template {label!r} has no mandatory wording")
-    return Automaton(label, tuple({w: tuple(t) for w, t in x.items()} for x in step), tuple(map(tuple, anyword)), frozenset(close[0]), frozenset(s for s in close if state in close[s]), tuple(anchor), bool(skips))
+    return Automaton(label, tuple({w: tuple(t) for w, t in x.items()} for x in step), tuple(map(tuple, anyword)), frozenset(close[0]), frozenset(s for s, c in enumerate(close) if last in c), tuple(anchor), longest[start])
 
 
 class Scanner:
     """All templates; finds where each accepts, longest first, not overlapping itself."""
 
-    def __init__(self, base: Sequence[tuple[str, str]] = BASE, templates: Sequence[tuple[str, str]] = TEMPLATES, reach: int = 64):
+    def __init__(self, base: Sequence[tuple[str, str]] = BASE, templates: Sequence[tuple[str, str]] = TEMPLATES):
         self.base = [(b" " + b" ".join(a.anchor) + b" ", a) for a in (compile_template(label, phrase) for phrase, label in base)]
         self.templates = [(b" " + b" ".join(a.anchor) + b" ", a) for a in (compile_template(label, markup) for label, markup in templates)]
-        self.reach = reach
 
     @staticmethod
     def _places(anchor: bytes, line: bytes) -> list[int]:
@@ -175,8 +188,8 @@ class Scanner:
         for anchor, automaton in self.templates:
             done = 0
             for at in self._places(anchor, line):
-                # A run begins at most ``reach`` words before its anchor; the earliest that holds the anchor wins.
-                for begin in range(max(done, at - self.reach), at + 1) if automaton.optional else (at,):
+                # The earliest run that holds the anchor wins.
+                for begin in range(max(done, at - automaton.before), at + 1):
                     end = automaton.match(tokens, begin)
                     if begin <= at and end >= at + len(automaton.anchor):
                         spans.append((begin, end, automaton.label))
@@ -194,7 +207,10 @@ def scan_licenses(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     n_base counts every place of a base phrase, first_word and last_word are its smallest
     and largest start (null without one).  labels adds the templates' own; spans lists
     ``label:start:end`` in words.  score is the share of the words inside any span.  A
-    null or empty text has no words, empty labels and score 0.
+    null or empty text has no words, empty labels and score 0.  A very long text is read
+    whole; of one template's runs over the same words the earliest and longest counts, and
+    spans of several templates may overlap.  Repeated rows and null ids come back as they
+    are, other columns are ignored, and an empty table gives no rows.
     """
     scanner = scanner or Scanner()
 
