@@ -2,9 +2,9 @@
 
 A candidate is a run of key characters.  Windows slide over it one character at a
 time; counts are updated for the character that enters and the one that leaves, and
-the entropy follows from a running sum.  Each character class (hex digits, other key
-characters) has its own window and threshold.  The union of the windows above the
-threshold is a span unless the allow-list suppresses it.
+the entropy follows from a running sum.  Each character class (runs of hex digits, and the
+candidate's key characters without them) has its own window and threshold.  The union of
+the windows above the threshold is a span unless the allow-list suppresses it.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_key")
 
 _ASSIGN_WORD = re.compile(r"password|passwd|secret|token|api_?key", re.A | re.I)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-_HEX_RUN = re.compile(r"[0-9A-Fa-f]+")
+_HEX_RUN = re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{20,}(?![A-Za-z0-9])")
 
 
 @dataclass(frozen=True)
@@ -112,15 +112,24 @@ def method_spans(text: str) -> list[tuple[int, int, str]]:
     found = []
     for m in _CANDIDATE.finditer(text):
         for begin, end in pieces(m.group()):
-            part, start = m.group()[begin:end], m.start() + begin
-            kind = HEX_CLASS if _HEX_RUN.fullmatch(part) else KEY_CLASS
-            window = min(kind.window, len(part))  # a shorter part is one window, its threshold scaled to its length
-            for a, b in entropy_spans(part, window, kind.bits * math.log2(window) / math.log2(kind.window)):
-                if not allowed(part[a:b], part[max(0, a - AROUND) : b + AROUND]):
-                    found.append((start + a, start + b, kind.kind))
+            for a, b, kind in classes(m.group(), begin, end):
+                part, start = m.group()[a:b], m.start() + a
+                window = min(kind.window, len(part))  # a shorter part is one window, its threshold scaled to its length
+                for x, y in entropy_spans(part, window, kind.bits * math.log2(window) / math.log2(kind.window)):
+                    if not allowed(part[x:y], part[max(0, x - AROUND) : y + AROUND]):
+                        found.append((start + x, start + y, kind.kind))
     return found
 
 
+def classes(candidate: str, begin: int, end: int) -> list[tuple[int, int, CharacterClass]]:
+    """A piece of a candidate cut into whole runs of hex digits and what is between them, where it is long enough."""
+    out, last = [], begin
+    for m in _HEX_RUN.finditer(candidate, begin, end):
+        out += [(last, m.start(), KEY_CLASS), (m.start(), m.end(), HEX_CLASS)]
+        last = m.end()
+    return [x for x in (*out, (last, end, KEY_CLASS)) if x[1] - x[0] >= SHORTEST]
+
+
 def _ordered(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
@@ -136,7 +145,9 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """Find secrets in every whole text, a row for each row of ``docs``.
 
     Spans are in code points, end exclusive.  A null or empty text has none; its digest
-    is that of the empty string.
+    is that of the empty string.  A very long text is read whole.  Spans of different kinds may overlap;
+    of two that begin together the kind named first comes first.  Repeated rows and null
+    ids come back as they are, other columns are ignored, and an empty table gives no rows.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -170,11 +181,15 @@ def redact(text: str, mark: str = "[secret]") -> str:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """The documents with secrets masked in their texts; rows and columns stay, n_chars follows the text."""
+    """The documents with secrets masked in their texts; rows and columns stay, n_chars follows the text.
+
+    A null text stays null, and repeated rows stay repeated.
+    """
 
     @F.arrow_udf("string")
     def mask(column: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else redact(t) for t in column.to_pylist()], pa.string())
+        some = [column.slice(i, 256) for i in range(0, len(column), 256)]  # so that texts are not all held twice
+        return pa.concat_arrays([pa.array([], pa.string()), *(pa.array([None if t is None else redact(t) for t in part.to_pylist()], pa.string()) for part in some)])
 
     masked: Column = mask(F.col("text"))
     out = docs.withColumn("text", masked)
