@@ -16,9 +16,9 @@ import hashlib
 import heapq
 import json
 import mmap
+import os
 import re
 import struct
-import tempfile
 import unicodedata
 from collections.abc import Callable, Iterable
 from itertools import pairwise
@@ -207,10 +207,13 @@ class Lexicon:
     """A compiled lexicon, memory-mapped."""
 
     def __init__(self, blob: bytes):
-        with tempfile.TemporaryFile() as file:  # has no name and goes with the process
-            file.write(blob)
-            file.flush()
-            self.map = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+        file = os.memfd_create("lexicon")  # a file in memory, which goes with the process
+        try:
+            with open(file, "wb", closefd=False) as out:
+                out.write(blob)
+            self.map = mmap.mmap(file, 0, access=mmap.ACCESS_READ)
+        finally:
+            os.close(file)
         sizes = struct.unpack_from("<8Q", self.map)
         at = [64]
         for size in sizes:
@@ -223,6 +226,7 @@ class Lexicon:
         self.special: dict[str, int] = rest["special"]
         self.token = {i: t for t, i in [*rest["vocab"].items(), *self.special.items()]}
         self.heads: dict[bytes, tuple[int, int] | None] = {}
+        self.first_of_special = {t[0] for t in self.special}
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def _walk(self, word: bytes, state: int, index: int) -> tuple[int, int] | None:
@@ -258,7 +262,7 @@ class Lexicon:
 
         ``words`` takes a piece further.  A special token is a piece behind ``SPECIAL``.
         """
-        if self.split and "<" in text and len(parts := self.split.split(text)) > 1:
+        if self.split and any(c in text for c in self.first_of_special) and len(parts := self.split.split(text)) > 1:
             return [p for part in parts for p in ([SPECIAL + part] if part in self.special else self._pieces(part))]
         return self._pieces(text)
 
