@@ -12,14 +12,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import share
 from .common import map_batches, strings, text_rows
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
+PIECES = "doc_id long, h long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -68,31 +67,30 @@ def pack_documents(docs: DataFrame, path: str, length: int = 2048, end_id: int =
     """Pack all documents into sequences of at most ``length`` tokens.
 
     Returns a row for each piece.  Every document has at least its end id, so a null
-    or empty text is one piece of one token.  Repeated rows are packed each by itself;
-    extra columns are ignored and an empty table gives no rows.  ``sequence_id`` holds
-    the group in its upper bits and the group's own number of the sequence in the lower 32.
+    or empty text is one piece of one token.  A very long text is tokenised whole and cut into
+    pieces that are packed each by itself.  Repeated rows are packed each by itself; of
+    equal sizes the smaller doc_id is placed first, null before all.  Other columns are
+    ignored and an empty table gives no rows.  ``sequence_id`` holds the group in its upper
+    bits and the group's own number of the sequence in the lower 32.
+
+    A piece's group follows from its id and its place in its task's order by (id, text
+    hash, start).  Only copies of one piece can change places in that order, so a task that
+    runs again deals its pieces as before, whatever order its rows come in.
     """
     shared = share(docs, path)
     end = int(end_id).to_bytes(4, "little")
 
     def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
         lexicon, packed, _, _ = shared.get()
-        ids, starts, lengths, sums, totals, deals = [], [], [], [], [], []
-        task = TaskContext.get()
-        part = (task.partitionId() if task else 0) << 40
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), strings(batch, "text"), strict=True):
+        rows = []
+        for doc_id, h, text in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), strings(batch, "text"), strict=True):
             data = b"".join([*map(packed.__getitem__, lexicon.pieces(text)), end])
             total = len(data) // 4
-            shared.rows = getattr(shared, "rows", 0) + 1  # repeated or null ids still differ by their place
             for start in range(0, total, length):
                 piece = data[4 * start : 4 * (start + length)]
-                ids.append(doc_id)
-                starts.append(start)
-                lengths.append(len(piece) // 4)
-                sums.append(zlib.crc32(piece))
-                totals.append(total)
-                deals.append(part + shared.rows)
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, starts, lengths, sums, totals, deals)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal"])
+                rows.append((doc_id, h, start, len(piece) // 4, zlib.crc32(piece), total))
+        names = [c.split()[0] for c in PIECES.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names)
 
     def pack(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by([(name, "ascending") for name in ("doc_id", "deal", "start")])
@@ -102,6 +100,7 @@ def pack_documents(docs: DataFrame, path: str, length: int = 2048, end_id: int =
         return kept.append_column("sequence_id", pa.array(sequences)).append_column("offset", pa.array(offsets, pa.int64()))
 
     groups = max(1, -(-docs.count() // group_docs))
-    cut_up = map_batches(text_rows(docs), pieces, PIECES)
+    texts = text_rows(docs).withColumn("h", F.xxhash64("text", F.col("text").isNull()))
+    cut_up = map_batches(texts, pieces, PIECES).sortWithinPartitions("doc_id", "h", "start").withColumn("deal", F.monotonically_increasing_id())
     dealt = cut_up.withColumn("group", F.pmod(F.xxhash64("doc_id", "deal"), F.lit(groups)))
     return dealt.groupBy("group").applyInArrow(pack, PACKED)
