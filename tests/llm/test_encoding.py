@@ -1,6 +1,7 @@
 """BPE, packing: the tokenizers library and brute force are the yardsticks."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -8,6 +9,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewarden.llm import bpe, packing
@@ -50,6 +52,17 @@ def test_special_tokens_and_long_words(lexicon, library, text):
     assert bpe.encode(text, lexicon) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_special_tokens_without_an_angle_bracket(tmp_path):
+    spec = json.loads(open(PATH).read())
+    for token, name in zip(spec["added_tokens"], ("[begin]", "*end*"), strict=True):
+        token["content"] = name
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    own, library = bpe.Lexicon(bpe.compile_lexicon(str(path))), Tokenizer.from_file(str(path))
+    for text in ("a[begin]b *end*", "[begin]", "[ begin] * end", "<|endoftext|>"):
+        assert bpe.encode(text, own) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_long_and_short_merging_agree(lexicon):
     r = random.Random(1)
     for _ in range(200):
@@ -115,3 +128,11 @@ def test_packing_rows(spark, library):
         filled[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(filled.values()) <= 64
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA), PATH).collect() == []
+
+
+def test_packing_does_not_depend_on_the_order_of_rows(spark):
+    """A task that runs again may get its rows in another order; its pieces go where they went."""
+    rows = [(i % 40 if i % 3 else None, f"text {i % 60} " * (i % 90), "x", 0.0) for i in range(400)]
+    dealt = spark.createDataFrame(rows, SCHEMA).repartition(4, "doc_id")
+    packed = [sorted(map(str, packing.pack_documents(d, PATH, length=64, group_docs=20).collect())) for d in (dealt.sortWithinPartitions("text"), dealt.sortWithinPartitions(F.desc("n_tokens"), F.desc("text")))]
+    assert packed[0] == packed[1] and len(packed[0]) > 400

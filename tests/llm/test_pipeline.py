@@ -3,9 +3,10 @@
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
-from tidewarden.llm import queries
+from tidewarden.llm import common, queries
 
 SYLLABLES = {"aa": "the and ing tion er wh", "bb": "ção ões ão lh nh que", "cc": "sch ung keit ich ein au"}
 
@@ -42,6 +43,46 @@ def test_stages(spark, tmp_path):
     assert sorted((r.doc_id, r.start, r.ids_crc32) for r in ran) == sorted((r.doc_id, r.start, r.ids_crc32) for r in kept.collect())
 
 
+def test_stages_of_odd_tables(spark, tmp_path):
+    texts = [written("aa", i) for i in range(6)]
+    rows = [(i, written(lang, 100 + i), lang, 1) for k, lang in enumerate(("aa", "bb", "cc")) for i in range(1000 + k * 100, 1000 + k * 100 + 25)]
+    rows += [(7, texts[0], "aa", 1), (7, texts[1], "aa", 2), (8, texts[1], "aa", 3), (None, texts[2], "aa", 4), (None, texts[2] + " the", None, 5), (None, texts[3], None, 6), (9, texts[4], None, 7), (9, texts[4], None, 7), (10, None, None, None), (11, "", "aa", None), (12, texts[5] * 300, "aa", 0)]
+    schema = "doc_id long, text string, lang string, h1 int"
+    for name, given in (("odd", rows), ("none", [])):
+        place = tmp_path / name
+        docs = spark.createDataFrame([(*r, "x", "y", "z", 3) for r in given], schema + ", id string, n string, deal string, n_chars int")
+        docs.write.parquet(str(place / "documents.parquet"))
+        out = corpus_pipeline.run(spark, str(place)).collect()
+        if not given:
+            assert out == []
+            continue
+        kept = sorted({(r.doc_id, r.doc_tokens) for r in out}, key=str)
+        library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+        size = {t: len(library.encode(t, add_special_tokens=False).ids) + 1 for t in [r[1] for r in rows if r[1]] + [texts[2]]}
+        odd = [(d, n) for d, n in kept if d is None or d < 1000]
+        want = [(7, size[texts[0]]), (7, size[texts[1]]), (None, size[texts[3]]), (9, size[texts[4]]), (12, size[texts[5] * 300])]
+        assert [x for x in odd if x not in want] in ([(None, size[texts[2]])], [(None, size[texts[2] + " the"])]) and set(want) <= set(odd)
+        assert len({d for d, _ in kept if d and d >= 1000}) == 75
+
+
+def test_the_shared_folder_is_asked_for():
+    class Far:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getCheckpointDir():  # noqa: N802
+                return None
+
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(RuntimeError):
+        common.shared_folder(Far)
+
+
 def test_names():
     assert len(corpus_pipeline.STAGES) == 4
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
