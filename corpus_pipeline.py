@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewarden.llm import langid, packing, secret_scan, simhash
-from tidewarden.llm.common import read, shared_folder
+from tidewarden.llm.common import read, remove, shared_folder
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +42,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table ``documents``; results between stages go to the shared folder."""
+    """All stages over the whole table ``documents``; results between stages go to the shared folder.
+
+    A stage's result is removed once the next one is written; that of the last but one
+    stays, as the result that is returned reads it.
+    """
     docs = read(spark, sf_dir, "documents")
     place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
         docs = spark.read.parquet(f"{place}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{place}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
