@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewarden.functions.scalars import route_topic, stable_uuid, total_amount
@@ -64,15 +65,19 @@ def test_synthetic_events(spark):
     assert made == synthetic.events(spark.newSession(), n=4000, entities=1000, dirty=0.4, late=0.5).collect()
     rows = [json.loads(r.value) for r in made]
     assert all(r.key == x["entity_id"] for r, x in zip(made, rows, strict=True))
-    hot = sum(int(x["entity_id"].split("-")[1]) < 10 for x in rows) / len(rows)
+    hot = sum(int(x["entity_id"][1:]) < 10 for x in rows) / len(rows)
     assert 0.45 < hot < 0.56
     seen = {(x["source_system"], x["event_type"]) for x in rows}
     assert len(seen) == 20
     fields = dictionary()
     known = {n for x in rows for n in x}
     assert known <= set(fields)
-    odd = sum("event_time" not in x or x.get("unit_price") in ("N/A", -50.0) or x.get("loyalty_points") == -100 or x.get("user_email") == "invalid-email-format" for x in rows) / len(rows)
-    assert 0.03 < odd < 0.13
+    odd = sum("event_time" not in x or x.get("unit_price") == "unpriced" or any(x.get(n, 0) == -1 for n in ("unit_price", "loyalty_points", "shipping_cost")) or x.get("user_email") == "no address" for x in rows) / len(rows)
+    assert 0.1 < odd < 0.4
+    for x in rows:
+        for name, value in x.items():
+            assert not fields[name].allowed or value in fields[name].allowed or name == "source_system"
+    assert {x["transaction_status"] for x in rows if x["event_type"] == "payment_failed"} == {"failed"}
 
 
 def test_synthetic_events_validate(spark):
@@ -99,3 +104,25 @@ def test_scalars_and_options(spark):
     assert kafka.source_options("h", "t")["startingOffsets"] == "earliest"
     assert kafka.sink_options("h", "t")["kafka.compression.type"] == "lz4"
     assert jdbc.options("u", "t", "a", "b")["batchsize"] == "5000"
+
+
+def test_upsert_through_a_connection(spark, tmp_path):
+    path = str(tmp_path / "db.sqlite")
+
+    def connect():
+        import sqlite3
+
+        db = sqlite3.connect(path, timeout=60)
+        db.create_function("now", 0, lambda: "later")
+        return db
+
+    with connect() as db:
+        db.execute("CREATE TABLE schema_definitions (schema_id TEXT PRIMARY KEY, schema_payload TEXT, updated_at TEXT)")
+        db.execute("INSERT INTO schema_definitions VALUES ('a', '1', 'before'), ('b', '2', 'before')")
+    rows = spark.createDataFrame([("b", "3"), ("c", "4")], "schema_id string, schema_payload string")
+    for _ in range(2):
+        jdbc.write_upsert(rows.coalesce(1), "schema_definitions", ["schema_id"], connect, touch="updated_at", mark="?")
+    with connect() as db:
+        assert db.execute("SELECT * FROM schema_definitions ORDER BY 1").fetchall() == [("a", "1", "before"), ("b", "3", "later"), ("c", "4", "later")]
+    with pytest.raises(ValueError):
+        jdbc.upsert_statement("t", rows.schema, ["x"])

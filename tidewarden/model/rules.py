@@ -57,18 +57,6 @@ def none(child: dict) -> dict:
     return {"operator": "NOT", "children": [child]}
 
 
-_COMPLETED = {"field": "order_status", "operator": "EQ", "value": "completed"}
-_FAILED = {"field": "transaction_status", "operator": "EQ", "value": "failed"}
-
-# The four example rules.
-EXAMPLES = {
-    "high_value_24h": every(aggregate("total_amount", "SUM", 86400, "GTE", 5_000_000, "ecommerce"), aggregate("order_status", "COUNT", 86400, "GTE", 3, "ecommerce", _COMPLETED)),
-    "fraud_alert": some(aggregate("transaction_status", "COUNT", 3600, "GT", 5, "payment", _FAILED), every(raw("is_3ds_verified", "EQ", False), raw("billing_zip_match", "EQ", False))),
-    "inactive_customer": every(aggregate("event_id", "COUNT", 43200, "EQ", 0, "ecommerce", slide=43200), aggregate("satisfaction_score", "MIN", 86400, "LT", 2, "crm")),
-    "frequent_buyer": every(aggregate("order_id", "COUNT", 21600, "GTE", 5, "ecommerce", _COMPLETED), aggregate("total_amount", "AVG", 21600, "GTE", 500_000, "ecommerce")),
-}
-
-
 def is_leaf(node: dict) -> bool:
     return node.get("operator") not in LOGICAL
 

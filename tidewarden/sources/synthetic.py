@@ -1,75 +1,84 @@
-"""Synthetic events and rules, the same for the same arguments on any cluster."""
+"""Synthetic events and rules, the same for the same arguments on any cluster.
+
+Attributes and rule leaves are derived from the dictionary: a field's type, format,
+allowed values and ends say what its values look like.
+"""
 
 from __future__ import annotations
 
-import hashlib
 import random
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import iso, pick, skewed_entity, stable_uuid, total_amount, uniform
-from ..model.fields import ENVELOPE
-from ..model.rules import Rule, aggregate, every, none, raw, some
-from ..model.schemas import ACTIONS
+from ..model.fields import ENVELOPE, FUNCTIONS, Field, dictionary
+from ..model.rules import BUCKET_SECONDS, COMPARISONS, Rule, aggregate, every, none, raw, some
+from ..model.schemas import ACTIONS, action_fields
 
 #: Defaults of a run.
 EVENTS, ENTITIES, SKEW, DIRTY, LATE = 1_000_000, 100_000, 0.5, 0.05, 0.05
-#: Kinds of dirty events: event_time dropped, price no number, number out of range, address malformed.
+#: Kinds of dirty events: no event_time, text for a number, a number below its least value, no Email.
 DROPPED, MISTYPED, OUT_OF_RANGE, MALFORMED = range(4)
-
-# What each attribute looks like.  ``name-*n`` is a number below n after a prefix,
-# ``lo..hi`` a whole number, ``lo~hi`` a fraction, and words stand for an even choice.
-_COUNTRIES = "VN US JP KR SG"
-_ATTRIBUTES = {
-    "user_first_name": "User*1000", "user_last_name": "Name*1000", "user_gender": "M F O", "user_nationality": _COUNTRIES,
-    "user_phone": "+8498*10000000", "opt_in_email": "true false", "opt_in_sms": "true false", "opt_in_push": "true false",
-    "account_id": "acc-*50000", "account_status": "active suspended closed", "subscription_tier": "free basic premium", "loyalty_points": "0..5000",
-    "support_ticket_id": "tck-*10000", "satisfaction_score": "1..6", "product_id": "prod-*10000", "product_name": "Product *1000",
-    "product_category": "electronics fashion food books", "product_subcategory": "subcat-*10", "product_sku": "SKU-*10000", "product_brand": "Brand-*20",
-    "unit_price": "10~510", "quantity": "1..6", "warranty_period_months": "0 12 24", "cart_id": "cart-*100000", "order_id": "ord-*100000",
-    "discount_amount": "0~10", "discount_code": "SUMMER*100", "tax_amount": "5~25", "currency": "USD VND", "delivery_city": "City-*50", "delivery_country": _COUNTRIES,
-    "merchant_id": "merch-*100", "store_id": "store-*10", "shipping_method": "standard express", "shipping_cost": "0~15", "payment_gateway": "stripe paypal vnpay momo",
-    "payment_method": "credit_card wallet bank_transfer", "card_network": "visa mastercard amex napas", "bank_name": "Bank-*10", "account_number_hash": "hash-*999999",
-    "is_3ds_verified": "true false",
-}
-_NUMBERS = frozenset("loyalty_points satisfaction_score unit_price quantity warranty_period_months discount_amount tax_amount total_amount shipping_cost".split())
-_BOOLEANS = frozenset("opt_in_email opt_in_sms opt_in_push is_3ds_verified billing_zip_match".split())
-_STATUS = {
-    "order_status": {"order_created": "created", "purchase": "paid", "order_shipped": "shipped", "order_completed": "completed", "order_cancelled": "cancelled"},
-    "support_ticket_status": {"support_ticket_created": "open", "support_ticket_resolved": "resolved"},
-    "transaction_status": {"payment_initiated": "pending", "payment_success": "success", "payment_failed": "failed", "refund": "chargeback", "chargeback": "chargeback"},
-}
-
-
-def _attribute(name: str, key: Column) -> Column:
-    """A generated attribute as text."""
-    shape = _ATTRIBUTES[name]
-    u = uniform(key, name)
-    if "*" in shape:
-        prefix, below = shape.split("*")
-        return F.concat(F.lit(prefix), F.floor(u * int(below)).cast("string"))
-    if ".." in shape:
-        low, high = map(int, shape.split(".."))
-        return (F.floor(u * (high - low)) + low).cast("string")
-    if "~" in shape:
-        low, high = map(float, shape.split("~"))
-        return (u * (high - low) + low).cast("string")
-    return pick(key, name, shape.split())
-
-
-def _derived(key: Column, event_type: Column, now: Column, made: dict[str, Column]) -> dict[str, Column]:
-    out = {name: F.coalesce(*(F.when(event_type == a, F.lit(v)) for a, v in by.items())) for name, by in _STATUS.items()}
-    out["user_email"] = F.concat(F.lit("user"), F.floor(uniform(key, "mail") * 10_000).cast("string"), F.lit("@example.com"))
-    out["user_date_of_birth"] = F.concat(F.lit("19"), (F.floor(uniform(key, "born") * 50) + 50).cast("string"), F.lit("-01-01"))
-    out["registration_date"] = iso(now)
-    out["last_login_date"] = iso(now - F.make_dt_interval(F.floor(uniform(key, "login") * 10).cast("int")))
-    out["estimated_delivery_date"] = F.date_format(now + F.make_dt_interval(F.floor(uniform(key, "delivery") * 7).cast("int")), "yyyy-MM-dd")
-    out["delivery_address_line1"] = F.concat(F.floor(uniform(key, "street") * 9999).cast("string"), F.lit(" Main St"))
-    out |= {f"billing_{x}": out[f"delivery_{x}"] if f"delivery_{x}" in out else made[f"delivery_{x}"] for x in ("address_line1", "city", "country")}
-    out["transaction_id"] = F.concat(F.lit("txn-"), F.substring(F.md5(F.concat(key.cast("string"), F.lit("txn"))), 1, 8))
-    out["payment_error_message"] = F.when(uniform(key, "error") < 0.1, F.lit("Insufficient funds")).otherwise(F.lit("Timeout"))
-    out["billing_zip_match"] = (uniform(key, "zip") < 0.9).cast("string")
+#: How far a number without a declared end goes beyond the other end.
+SPAN = 1_000
+
+
+def _whole(key: Column, salt: str, low: int, high: int) -> Column:
+    """A whole number from ``low`` to ``high``, both included."""
+    return F.floor(uniform(key, salt) * (high - low + 1)).cast("long") + low
+
+
+def attribute(field: Field, key: Column, now: Column) -> Column:
+    """A value of the field as text, as its definition has it."""
+    low = field.min if field.min is not None else 0
+    high = field.max if field.max is not None else low + SPAN
+    if field.allowed:
+        return pick(key, field.name, list(field.allowed))
+    if field.type == "boolean":
+        return pick(key, field.name, ["true", "false"])
+    if field.type == "integer":
+        return _whole(key, field.name, int(low), int(high)).cast("string")
+    if field.type == "double":
+        return F.round(uniform(key, field.name) * (high - low) + low, 2).cast("string")
+    days = _whole(key, field.name, 0, 365).cast("int")
+    shapes = {
+        "UUID": lambda: stable_uuid(key.cast("string"), F.lit(field.name)),
+        "ISO-8601": lambda: iso(now - F.make_dt_interval(days)),
+        "YYYY-MM-DD": lambda: F.date_format(now - F.make_dt_interval(days), "yyyy-MM-dd"),
+        "Email": lambda: F.format_string("u%d@mail.test", _whole(key, field.name, 0, SPAN)),
+        "E.164": lambda: F.format_string("+1555%07d", _whole(key, field.name, 0, 9_999_999)),
+    }
+    return shapes[field.format]() if field.format else F.concat(F.lit(f"{field.name} "), _whole(key, field.name, 0, SPAN).cast("string"))
+
+
+def _told_by_action(field: Field, source: str, action: str) -> str | None:
+    """The allowed value that the action's name ends with, as ``payment_failed`` tells a status."""
+    last = action.rpartition("_")[2]
+    return last if last in field.allowed and field.name.endswith("_status") else None
+
+
+def attributes(key: Column, action: Column, fault: Column, now: Column) -> dict[str, Column]:
+    """Values of all fields beyond the envelope as JSON text."""
+    out = {}
+    for name, field in dictionary().items():
+        if name in ENVELOPE:
+            continue
+        value = attribute(field, key, now)
+        for source, actions in ACTIONS.items():
+            for a in actions:
+                if name in action_fields(source, a) and (told := _told_by_action(field, source, a)):
+                    value = F.when(action == a, F.lit(told)).otherwise(value)
+        if field.format == "Email":
+            value = F.when(fault == MALFORMED, F.lit("no address")).otherwise(value)
+        number = field.type in ("integer", "double")
+        if number and field.min is not None:
+            value = F.when(fault == OUT_OF_RANGE, F.lit(str(int(field.min) - 1))).otherwise(value)
+        if name == "unit_price":
+            value = F.when(fault == MISTYPED, F.lit('"unpriced"')).otherwise(value)
+        out[name] = value if number or field.type == "boolean" else F.concat(F.lit('"'), value, F.lit('"'))
+    out["total_amount"] = total_amount(out["unit_price"], out["quantity"].cast("long")).cast("string")
     return out
 
 
@@ -77,86 +86,71 @@ def events(spark: SparkSession, n: int = EVENTS, entities: int = ENTITIES, skew:
     """``n`` events as (key, value): value is JSON text, key its entity.
 
     Sources, then actions, are even.  Times lie within the day before ``now``, those of
-    late events up to two hours further back.  A share of the events is dirty in one of
-    four ways, as far as the way applies to the action and a coin agrees.  With the nested
+    late events up to two hours further back.  A share of the events has one of the four
+    faults, which shows as far as the action has the fields for it.  With the nested
     layout everything beside the routing keys is inside ``fields``.
     """
     if n <= 0 or not 0 <= dirty <= 1 or not 0 <= late <= 1 or entities <= 0:
         raise ValueError("counts must be positive and rates between 0 and 1")
     key, base = F.col("id"), F.lit(now).cast("timestamp")
     rows = spark.range(n).select((key + F.lit(seed) * F.lit(1_000_003)).alias("id"))
-    source = pick(key, "source", list(ACTIONS))
-    rows = rows.withColumn("source", source)
+    rows = rows.withColumn("source", pick(key, "source", list(ACTIONS)))
     action = F.coalesce(*(F.when(F.col("source") == s, pick(key, "action", list(a))) for s, a in ACTIONS.items()))
-    minutes = F.floor(uniform(key, "minute") * 1440) + F.when(uniform(key, "late") < late, F.floor(uniform(key, "delay") * 120)).otherwise(0)
-    rows = rows.withColumn("action", action).withColumn("at", base - F.make_dt_interval(mins=minutes.cast("int")))
-    fault = F.when((uniform(key, "dirty") < dirty) & (uniform(key, "coin") < 0.5), F.floor(uniform(key, "fault") * 4).cast("int")).otherwise(-1)
-    rows = rows.withColumn("fault", fault).withColumn("entity", F.concat(F.lit("customer-"), skewed_entity(key, "who", entities, skew).cast("string")))
-    made = {name: _attribute(name, key) for name in _ATTRIBUTES}
-    made |= _derived(key, F.col("action"), base, made)
-    made["user_email"] = F.when(F.col("fault") == MALFORMED, F.lit("invalid-email-format")).otherwise(made["user_email"])
-    made["loyalty_points"] = F.when(F.col("fault") == OUT_OF_RANGE, F.lit("-100")).otherwise(made["loyalty_points"])
-    made["unit_price"] = F.when(F.col("fault") == MISTYPED, F.lit('"N/A"')).when(F.col("fault") == OUT_OF_RANGE, F.lit("-50.0")).otherwise(made["unit_price"])
-    made["total_amount"] = total_amount(made["unit_price"], made["quantity"].cast("long")).cast("string")
-    envelope = {
+    minutes = _whole(key, "minute", 0, 24 * 60 - 1) + F.when(uniform(key, "late") < late, _whole(key, "delay", 0, 119)).otherwise(0)
+    fault = F.when(uniform(key, "dirty") < dirty, _whole(key, "fault", 0, 3).cast("int")).otherwise(-1)
+    rows = rows.withColumns({"action": action, "at": base - F.make_dt_interval(mins=minutes.cast("int")), "fault": fault, "entity": F.concat(F.lit("e"), skewed_entity(key, "who", entities, skew).cast("string"))})
+    made = attributes(key, F.col("action"), F.col("fault"), base)
+    plain = {
         "event_id": stable_uuid(key.cast("string"), F.lit("event")), "event_type": F.col("action"), "entity_id": F.col("entity"), "source_system": F.col("source"), "schema_version": F.lit("1.0"),
-        "event_time": F.when(F.col("fault") != DROPPED, iso(F.col("at"))), "source_id": F.concat(F.col("source"), F.lit("-"), key.cast("string")),
+        "event_time": F.when(F.col("fault") != DROPPED, iso(F.col("at"))), "source_id": F.concat_ws("/", "source", key.cast("string")),
         "trace_id": stable_uuid(key.cast("string"), F.lit("trace")), "correlation_id": stable_uuid(key.cast("string"), F.lit("correlation")),
     }
-    of_action = {name: [f"{s}_{a}" for s in ACTIONS for a in ACTIONS[s] if name in ACTIONS[s][a].split()] for name in made}
-    route = F.concat("source", F.lit("_"), "action")
-    pairs = [_pair(n, envelope[n]) for n in ENVELOPE] + [F.when(route.isin(*of_action[n]), _pair(n, made[n])) for n in made if of_action[n]]
+    quoted = {name: F.concat(F.lit('"'), value, F.lit('"')) for name, value in plain.items()}
+    of_action = {name: [f"{s}_{a}" for s in ACTIONS for a in ACTIONS[s] if name in action_fields(s, a)] for name in made}
+    route = F.concat_ws("_", "source", "action")
+    pairs = [_pair(name, quoted[name]) for name in ENVELOPE] + [F.when(route.isin(*of_action[name]), _pair(name, made[name])) for name in made if of_action[name]]
     body = F.array_join(F.array_compact(F.array(*pairs)), ",")
-    routing = F.concat(_pair("source_system", F.col("source")), F.lit(","), _pair("event_type", F.col("action")))
+    routing = F.concat(_pair("source_system", quoted["source_system"]), F.lit(","), _pair("event_type", quoted["event_type"]))
     value = F.concat(F.lit("{"), body, F.lit("}")) if layout == "flat" else F.concat(F.lit("{"), routing, F.lit(',"fields":{'), body, F.lit("}}"))
     return rows.select(F.col("entity").alias("key"), value.alias("value"))
 
 
 def _pair(name: str, value: Column) -> Column:
-    plain = name in _NUMBERS or name in _BOOLEANS
-    return F.concat(F.lit(f'"{name}":'), value) if plain else F.concat(F.lit(f'"{name}":"'), value, F.lit('"'))
+    return F.concat(F.lit(f'"{name}":'), value)
 
 
-# What random rules are made of.
-TAGS = {
-    "product_category": "electronics fashion food books", "payment_method": "credit_card wallet bank_transfer", "order_status": "created paid shipped completed cancelled",
-    "account_status": "active suspended closed", "subscription_tier": "free basic premium", "support_ticket_status": "open in_progress resolved", "transaction_status": "pending success failed",
-}
-NUMBERS = "total_amount loyalty_points quantity satisfaction_score unit_price discount_amount tax_amount".split()
-FLAGS = "opt_in_email opt_in_sms opt_in_push is_3ds_verified billing_zip_match".split()
-TEXTS = "user_email user_first_name user_last_name product_name".split()
-ORDERED = ("GT", "GTE", "LT", "LTE")
-SLIDES = {300: 300, 3600: 300, 21600: 21600, 86400: 300}
-COOLDOWNS = (0, 60, 300, 900, 3600)
-NAMES = "high_value_segment active_user_filter churn_risk_detect vip_upgrade_check engagement_score_rule purchase_frequency retention_campaign cross_sell_trigger loyalty_tier_eval dormant_reactivation geo_target_segment device_pref_rule".split()
+def _raw_leaf(r: random.Random) -> dict:
+    """A predicate that suits its field: choices for allowed values, order for numbers, equality for booleans, else a part of the text."""
+    field = r.choice([f for f in dictionary().values() if f.name not in ENVELOPE])
+    if field.allowed:
+        some_of = r.sample(field.allowed, r.randint(1, len(field.allowed)))
+        return raw(field.name, "IN", some_of) if len(some_of) > 1 else raw(field.name, r.choice(("EQ", "NEQ")), some_of[0])
+    if field.type == "boolean":
+        return raw(field.name, "EQ", bool(r.getrandbits(1)))
+    if field.type == "string":
+        return raw(field.name, "CONTAINS", str(r.randrange(10)))
+    low = r.randrange(SPAN)
+    op = r.choice(("BETWEEN", *COMPARISONS))
+    return raw(field.name, op, [low, low + r.randrange(1, SPAN)] if op == "BETWEEN" else low)
 
 
-def _raw_leaf(r: random.Random) -> dict:
-    kind = r.choices(("tag", "number", "flag", "text"), (40, 35, 15, 10))[0]
-    if kind == "tag":
-        field = r.choice(list(TAGS))
-        values = TAGS[field].split()
-        op = r.choices(("EQ", "IN", "NEQ"), (50, 30, 20))[0]
-        return raw(field, op, r.sample(values, min(len(values), r.randint(2, 4))) if op == "IN" else r.choice(values))
-    if kind == "number":
-        if r.random() < 0.2:
-            low = r.randint(1, 5000)
-            return raw(r.choice(NUMBERS), "BETWEEN", [low, low + r.randint(1, 5000)])
-        return raw(r.choice(NUMBERS), r.choice(ORDERED), r.randint(1, 10_000))
-    return raw(r.choice(FLAGS), "EQ", r.random() < 0.5) if kind == "flag" else raw(r.choice(TEXTS), "CONTAINS", "example")
-
-
-def random_tree(r: random.Random, depth: int, level: int = 0) -> dict:
-    """A condition tree of at most ``depth`` levels below its logical root."""
-    if level >= depth or (level and r.random() < 0.4):
-        if r.random() < 0.5:
-            return _raw_leaf(r)
-        size = r.choice(list(SLIDES))
-        return aggregate(r.choice(NUMBERS), r.choice(("SUM", "COUNT", "AVG", "MAX", "MIN")), size, r.choice(ORDERED), r.randint(1, 10_000), slide=SLIDES[size])
-    join = r.choices((every, some, none), (45, 45, 10))[0]
-    if join is none:
-        return none(random_tree(r, depth, level + 1))
-    return join(*(random_tree(r, depth, level + 1) for _ in range(r.randint(2, 4))))
+def _aggregate_leaf(r: random.Random) -> dict:
+    field = r.choice([f for f in dictionary().values() if f.name not in ENVELOPE])
+    function = r.choice([f for f in FUNCTIONS if f.lower() in field.strategies and (f == "COUNT" or not field.format)])
+    size = BUCKET_SECONDS * r.choice((1, 12, 72, 288))
+    return aggregate(field.name, function, size, r.choice(COMPARISONS), r.randrange(10 if function == "COUNT" else SPAN), source=r.choice((None, *ACTIONS)), slide=r.choice((BUCKET_SECONDS, size)))
+
+
+def random_tree(r: random.Random, depth: int) -> dict:
+    """A condition tree with at most ``depth`` levels of AND, OR and NOT."""
+
+    def node(left: int) -> dict:
+        if not left or (left < depth and r.randrange(3) == 0):
+            return r.choice((_raw_leaf, _aggregate_leaf))(r)
+        kind = r.randrange(5)
+        return none(node(left - 1)) if not kind else (every, some)[kind % 2](*(node(left - 1) for _ in range(r.randint(2, 3))))
+
+    return node(depth)
 
 
 def rules(n: int, seed: int = 0) -> list[Rule]:
@@ -164,7 +158,6 @@ def rules(n: int, seed: int = 0) -> list[Rule]:
     out = []
     for i in range(n):
         r = random.Random(f"{seed}:{i}")
-        digest = hashlib.md5(f"{seed}:{i}".encode()).hexdigest()
-        rule_id = "-".join((digest[:8], digest[8:12], digest[12:16], digest[16:20], digest[20:]))
-        out.append(Rule(rule_id, f"{r.choice(NAMES)}_{i}", random_tree(r, r.randint(2, 4)), r.randint(0, 99), r.choice(COOLDOWNS), r.randint(1, 9), r.random() < 0.95))
+        rule_id = str(uuid.UUID(int=r.getrandbits(128)))
+        out.append(Rule(rule_id, f"rule {i}", random_tree(r, r.randint(1, 3)), priority=r.randrange(100), cooldown_seconds=60 * r.randrange(61), version=r.randint(1, 9), enabled=r.randrange(10) > 0))
     return out
