@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +43,39 @@ def test_flatten_route_and_tombstones(spark):
     assert cdc.without_tombstones(messages).count() == 1
 
 
+@pytest.mark.parametrize("width", [1, 4, 1000])
+@pytest.mark.parametrize("few", [0, 1000])
+def test_as_of_by_brute_force(spark, monkeypatch, few, width):
+    monkeypatch.setattr(cdc, "FEW_VERSIONS", few)
+    r = random.Random(width)
+    rows = [(r.choice(["a", "b", "c", None]), r.randrange(60), i) for i in range(150)]
+    made = [("a", at, f"v{at}") for at in range(0, 60, 3)] + [("b", at, None if at == 40 else f"w{at}") for at in (20, 40, 50)] + [(None, 1, "n")]
+    versions = spark.createDataFrame(made, "k string, came int, v string")
+    out = cdc.as_of(spark.createDataFrame(rows, "k string, at int, v_id int"), versions, "k", F.col("at"), F.col("came"), ["v", "came"], lambda order: F.floor(order / width))
+    assert out.columns == ["k", "at", "v_id", "v", "came"]
+    want = set()
+    for k, at, i in rows:
+        last = max(((c, v) for x, c, v in made if x == k and k is not None and c <= at), key=lambda x: x[0], default=(None, None))
+        want.add((k, at, i, last[1], last[0]))
+    assert {tuple(x) for x in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert few or not any(x in plan for x in ("NestedLoop", "Cartesian"))
+
+
+def test_change_envelopes(spark):
+    image = "id bigint, name string"
+    texts = [
+        '{"before":null,"after":{"id":1,"name":"a"},"op":"c","ts_ms":5,"source":{"table":"t","lsn":9}}',
+        '{"schema":{},"payload":{"before":{"id":1,"name":"a"},"after":{"id":1,"name":"b"},"op":"u","source":{"table":"t"}}}',
+        '{"payload":{"before":{"id":1,"name":"b"},"after":null,"op":"d","source":{"table":"t"}}}',
+        None,
+        "{bad",
+    ]
+    log = spark.createDataFrame(list(enumerate(texts)), "offset int, value string")
+    out = cdc.flattened(cdc.envelopes(log, image).drop("ts_ms")).orderBy("offset").collect()
+    assert [(r.id, r.name, r["__op"], r["__table"], r["__deleted"]) for r in out] == [(1, "a", "c", "t", False), (1, "b", "u", "t", False), (1, "b", "d", "t", True), (None,) * 5, (None,) * 5]
+
+
 def test_as_of(spark):
     events = spark.createDataFrame([("a", 0), ("a", 5), ("a", 9), ("b", 1), (None, 3)], "k string, at int")
     versions = spark.createDataFrame([("a", 5, "v1"), ("a", 8, "v2"), ("c", 0, "v3")], "k string, came int, v string")

@@ -6,12 +6,22 @@ raw values in their order.  Of a repeated key the last value counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _STRICT = {"allowSingleQuotes": "false"}
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with further columns that are computed once for each row, however often they are used.
+
+    The optimizer merges projections and so repeats an expression wherever its column is
+    named; it does not look through a generator, and here that has one row to give.
+    """
+    made = F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c not in columns), made)
+
+
 def parses(text: Column) -> Column:
     """Whether the text begins with a whole JSON value; null text does not."""
     return F.try_parse_json(text).isNotNull()

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import jsontext as J
 from ..functions.scalars import route_topic
 from ..model.schemas import UNIFIED
-from .joins import broadcast_if_small
 
 
 def routed(changes: DataFrame) -> DataFrame:
@@ -81,22 +81,55 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataF
     return latest_per_key(tagged, keys, ["__new", order]).drop("__new")
 
 
-def as_of(events: DataFrame, versions: DataFrame, key: str, event_order: Column, version_order: Column, values: list[str]) -> DataFrame:
+#: Versions up to which events look theirs up in a broadcast table of intervals.
+FEW_VERSIONS = 1_000
+
+
+def as_of(events: DataFrame, versions: DataFrame, key: str, event_order: Column, version_order: Column, values: list[str], bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """Each event with the last version of its key that came no later; nulls if none had come.
 
-    Versions become intervals up to their successor, and events look their interval up by
-    key.  Events are not sorted or shuffled if the versions are few.  Versions of one key
-    must differ in their order.
+    Versions of one key must differ in their order.  A few versions are broadcast as
+    intervals and events are neither sorted nor shuffled.  Beyond ``FEW_VERSIONS`` events
+    and versions are read as one ordered sequence of each key, which takes one pass however
+    many versions there are.  ``bucket`` maps the order to whole numbers that do not
+    decrease; a hot key then is read in as many parts as it has buckets.
     """
+    if versions.limit(FEW_VERSIONS + 1).count() > FEW_VERSIONS:
+        return _as_of_sequence(events, versions, key, event_order, version_order, values, bucket or (lambda order: F.lit(0)))
     place = Window.partitionBy("__key").orderBy("__from")
     spans = versions.select(F.col(key).alias("__key"), version_order.alias("__from"), *values).withColumn("__to", F.lead("__from").over(place))
-    here = event_order
-    inside = (F.col(key) == F.col("__key")) & (here >= F.col("__from")) & (F.col("__to").isNull() | (here < F.col("__to")))
-    return events.join(broadcast_if_small(spans), inside, "left").drop("__key", "__from", "__to")
-
-
-def publish(documents: list[dict]) -> list[tuple[str, str]]:
-    """(schema_id, schema_payload) of schema documents, the last of each key."""
-    from ..model.schemas import published
-
-    return list(dict(published(json.loads(json.dumps(d))) for d in documents).items())
+    inside = (F.col(key) == F.col("__key")) & (event_order >= F.col("__from")) & (F.col("__to").isNull() | (event_order < F.col("__to")))
+    return events.join(F.broadcast(spans), inside, "left").drop("__key", "__from", "__to")
+
+
+def _as_of_sequence(events: DataFrame, versions: DataFrame, key: str, event_order: Column, version_order: Column, values: list[str], bucket: Callable[[Column], Column]) -> DataFrame:
+    row, version = F.struct(*events.columns), F.struct(*values)
+    known = events.where(F.col(key).isNotNull())  # without a key nothing is found, and such events are not gathered
+    asked = known.select(F.col(key).alias("key"), event_order.alias("at"), bucket(event_order).cast("long").alias("part"), F.lit(1).alias("side"), row.alias("row"))
+    told = versions.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), version_order.alias("at"), bucket(version_order).cast("long").alias("part"), F.lit(0).alias("side"), version.alias("found"))
+    # What each part of a key begins with: a row for each key and bucket.
+    parts = asked.select("key", "part", "at").unionByName(told, allowMissingColumns=True).groupBy("key", "part").agg(F.max_by("found", F.when(F.col("found").isNotNull(), F.col("at"))).alias("last"))
+    earlier = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begun = parts.select("key", "part", F.last("last", ignorenulls=True).over(earlier).alias("before"))
+    so_far = Window.partitionBy("key", "part").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    here = asked.unionByName(told, allowMissingColumns=True).withColumn("here", F.last("found", ignorenulls=True).over(so_far)).where("side = 1")
+    met = here.join(begun, ["key", "part"], "left").select("row.*", F.coalesce("here", "before").alias("__found"))
+    out = met.select(*events.columns, *(F.col("__found")[v].alias(v) for v in values))
+    types = {f.name: f.dataType for f in out.schema}
+    return out.unionByName(events.where(F.col(key).isNull()).select("*", *(F.lit(None).cast(types[v]).alias(v) for v in values)))
+
+
+def envelopes(messages: DataFrame, image: str, column: str = "value") -> DataFrame:
+    """Change messages in JSON, as a connector writes them, for ``flattened``.
+
+    A message has the keys before, after, op and source (or ``payload`` with them inside);
+    ``image`` is the DDL of the row images.  Adds op, table, before, after and ts_ms;
+    a tombstone, or a text that is no such object, has them all null.  Other columns stay.
+    """
+    row = T.StructType.fromDDL(image)
+    body = T.StructType().add("before", row).add("after", row).add("op", "string").add("ts_ms", "long").add("source", T.StructType().add("table", "string"))
+    parsed = F.from_json(F.col(column), T.StructType([*body.fields, T.StructField("payload", body)]))
+    found = J.once(messages, {"__m": parsed})
+    inner = {n: F.coalesce(F.col("__m.payload")[n], F.col("__m")[n]) for n in ("op", "before", "after", "ts_ms")}
+    table = F.coalesce(F.col("__m.payload.source.table"), F.col("__m.source.table"))
+    return found.select(*(c for c in messages.columns if c != column), inner["op"].alias("op"), table.alias("table"), inner["before"].alias("before"), inner["after"].alias("after"), inner["ts_ms"].alias("ts_ms"))

@@ -44,30 +44,35 @@ def compiled_catalog(catalog: DataFrame) -> DataFrame:
 
     ``catalog`` has one row for each schema_id, with schema_payload as text.
     """
-    payload = F.coalesce("schema_payload", F.lit(""))
-    entries = J.as_map(payload)
-    fields = F.map_entries(J.as_map(J.value_of(entries, "fields")))
+    text = F.coalesce("schema_payload", F.lit(""))
+    parsed = J.once(catalog.select("schema_id", text.alias("payload")), {"parsed": J.parses(F.col("payload")), "entries": J.as_map(F.col("payload"))})
+    fields = F.map_entries(J.as_map(J.value_of(F.col("entries"), "fields")))
     required = F.transform(F.filter(fields, lambda e: J.truthy(F.get_json_object(e["value"], "$.required"))), lambda e: e["key"])
-    blank = F.trim(payload) == ""
-    return catalog.select(
-        F.col("schema_id"),
-        (~blank & ~J.parses(payload)).alias("unreadable"),
-        (blank | ~J.has_key(entries, "fields")).alias("unchecked"),
-        F.coalesce(required, F.array().cast("array<string>")).alias("required"),
-    )
+    blank = F.trim("payload") == ""
+    made = {
+        "unreadable": ~blank & ~F.col("parsed"),
+        "unchecked": blank | ~J.has_key(F.col("entries"), "fields"),
+        "required": F.coalesce(required, F.array().cast("array<string>")),
+    }
+    return J.once(parsed, made).select("schema_id", *made)
 
 
 def keyed(events: DataFrame, column: str = "value") -> DataFrame:
     """Events with ``entries`` (null if no object), ``parsed`` and ``route_key``."""
     text = F.col(column)
-    out = events.withColumn("parsed", J.parses(text)).withColumn("entries", F.when(F.col("parsed"), J.as_map(text)))
+    parsed = J.parses(text)
+    out = J.once(events, {"parsed": parsed, "entries": F.when(parsed, J.as_map(text))})
     routed = J.has_key(F.col("entries"), "source_system") & J.has_key(F.col("entries"), "event_type")
-    return out.withColumn("route_key", F.when(routed, route_key(text, F.col("entries"))))
+    return J.once(out, {"route_key": F.when(routed, route_key(text, F.col("entries")))})
 
 
 def missing_fields(entries: Column, required: Column, layout: str) -> Column:
     """Required names that are absent or null, in schema order."""
-    place = J.as_map(J.value_of(entries, "fields")) if layout == "nested" else entries
+    return absent(J.as_map(J.value_of(entries, "fields")) if layout == "nested" else entries, required)
+
+
+def absent(place: Column, required: Column) -> Column:
+    """The required names that a map of raw values lacks or has as null."""
     return F.filter(required, lambda name: J.value_of(place, name).isNull())
 
 
@@ -80,13 +85,15 @@ def validate(events: DataFrame, catalog: DataFrame, layout: str = "nested", colu
     """
     if layout not in ("nested", "flat"):
         raise ValueError("layout is nested or flat")
+    # Each text is parsed once, its fields once; what follows from them is a column, not an expression.
     kept = events.columns
     schemas = compiled_catalog(catalog)
     joined = keyed(events, column).join(broadcast_if_small(schemas), F.col("route_key") == F.col("schema_id"), "left")
     entries, text = F.col("entries"), F.col(column)
-    missing = missing_fields(entries, F.col("required"), layout)
     no_fields = F.lit(False) if layout == "flat" else ~J.has_key(entries, "fields")
-    wrapped = entries.isNull() | F.coalesce(F.col("unreadable"), F.lit(False))
+    place = entries if layout == "flat" else J.as_map(J.value_of(entries, "fields"))
+    looked_up = J.once(J.once(joined, {"place": F.when(~F.col("unchecked"), place)}), {"missing": absent(F.col("place"), F.col("required"))})
+    missing = F.col("missing")
     reason = (
         F.when(~F.col("parsed"), F.lit(f"{PARSE}not a JSON value"))
         .when(entries.isNull(), F.lit(f"{PARSE}not a JSON object"))
@@ -97,9 +104,10 @@ def validate(events: DataFrame, catalog: DataFrame, layout: str = "nested", colu
         .when(no_fields, F.lit(MISSING + NO_FIELDS))
         .when(F.size(missing) > 0, F.concat(F.lit(MISSING), F.array_join(missing, ", ")))
     )
-    judged = joined.withColumn("error_reason", reason).withColumn("wrapped", wrapped)
+    judged = J.once(looked_up, {"error_reason": reason})
+    wrapped = entries.isNull() | F.coalesce(F.col("unreadable"), F.lit(False))
     wrapper = F.to_json(F.struct(text.alias("original_payload"), F.col("error_reason")))
-    output = F.when(F.col("error_reason").isNull(), text).when(F.col("wrapped"), wrapper).otherwise(J.put(text, entries, "error_reason", F.col("error_reason")))
+    output = F.when(F.col("error_reason").isNull(), text).when(wrapped, wrapper).otherwise(J.put(text, entries, "error_reason", F.col("error_reason")))
     status = F.when(F.col("error_reason").isNull(), F.lit("valid")).otherwise(F.lit("dirty"))
     return judged.select(*kept, "route_key", status.alias("status"), "error_reason", output.alias("output"))
 
