@@ -133,22 +133,42 @@ def test_versions_and_priority(spark):
     assert {(r.event_id, r.rule_id) for r in rules.winners(found).collect()} == {(7, "a"), (8, "z")}
 
 
-def test_node_tables_agree_with_expressions(spark):
-    made = [r for r in synthetic.rules(120, seed=5)]
+def by_nodes(events, made):
+    return {(r.rule_id, r.event_id) for r in rules.evaluate_nodes(rules.rule_facts(events, made, ["event_id"]), ["event_id"], made).collect()}
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(_row, min_size=1, max_size=10), st.lists(_tree, min_size=1, max_size=6))
+def test_node_tables_match_plain_evaluation(spark, rows, trees):
+    made = [R.Rule(f"r{i}", "x", t) for i, t in enumerate(trees)]
+    assert by_nodes(table(spark, rows), made) == {(f"r{k}", i) for k, t in enumerate(trees) for i, now in enumerate(rows) if plain_tree(rows, now, t)}
+
+
+def test_node_tables_agree_with_expressions(spark, monkeypatch):
+    monkeypatch.setattr(rules, "AGGREGATES_A_PASS", 4)
+    made = synthetic.rules(12, seed=5)
     texts = synthetic.events(spark, n=150, entities=5, dirty=0.5)
-    names = sorted({x["field"] for r in made for x in R.leaves(r.tree)})
-    wide = texts.select(F.get_json_object("value", "$.event_id").alias("event_id"), *(F.get_json_object("value", f"$.{n}").alias(n) for n in names if n != "event_id"))
-
-    def only_raw(node):
-        if node["operator"] in R.LOGICAL:
-            return node | {"children": [only_raw(c) for c in node["children"]]}
-        return node if node.get("type") == "RAW_FIELD" else R.raw(node["field"], node["operator"], node["value"])
-
-    made = [R.Rule(r.rule_id, r.name, only_raw(r.tree)) for r in made]
-    wide = wide.cache()
-    by_table = {(r.event_id, r.rule_id) for r in rules.evaluate_nodes(rules.facts_of(wide, ["event_id"], {f"field:{n}": n for n in names}), ["event_id"], made).collect()}
-    by_expression = {(r.event_id, r.rule_id) for r in wide.select("event_id", F.explode(F.array_compact(F.array(*(F.when(rules.condition(r, {}), F.lit(r.rule_id)) for r in made)))).alias("rule_id")).collect()}
-    assert by_table == by_expression and by_table
+    names = sorted({x["field"] for r in made for x in R.leaves(r.tree)} | {"event_id", "entity_id", "event_time", "source_system"})
+    wide = texts.select(*(F.get_json_object("value", f"$.{n}").alias(n) for n in names)).withColumn("event_time", F.try_to_timestamp("event_time")).cache()
+    by_expression = {(r.rule_id, r.event_id) for r in rules.matches(wide, made).collect()}
+    assert by_nodes(wide, made) == by_expression and len(by_expression) > 20
+
+
+def test_operands_keep_their_type(spark):
+    rows = [("a", 0, "crm", x, y, 1) for x, y in (("00123", "b"), ("123", "n"), ("123.0", None), (None, "a"), ("true", "m"))]
+    trees = [R.raw("order_status", "BETWEEN", ["a", "m"]), R.raw("total_amount", "EQ", "00123"), R.raw("total_amount", "EQ", 123), R.raw("total_amount", "IN", ["123", 123.0]), R.raw("total_amount", "NEQ", "123"), R.raw("total_amount", "GT", "1230"), R.raw("total_amount", "EQ", True), R.raw("total_amount", "CONTAINS", 12)]
+    made = [R.Rule(str(i), "x", t) for i, t in enumerate(trees)]
+    made += [R.Rule(f"and{i}", "x", R.every(R.raw("source_system", "IN", ["crm", "x"]), t)) for i, t in enumerate(trees)] + [R.Rule(f"not{i}", "x", R.none(t)) for i, t in enumerate(trees)]
+    events = table(spark, rows)
+    assert by_nodes(events, made) == {(r.rule_id, r.event_id) for r in rules.matches(events, made).collect()}
+    assert {e for r, e in by_nodes(events, made) if r == "0"} == {0, 3, 4} and {e for r, e in by_nodes(events, made) if r == "1"} == {0}
+
+
+def test_entry_leaves():
+    s, t, q = R.raw("s", "EQ", "v"), R.raw("t", "IN", ["w", "x"]), R.raw("q", "GT", 1)
+    assert rules.entries(R.every(q, R.every(s, R.some(t, q)))) == [s] and rules.entries(R.some(R.every(q, t), s)) == [t, s]
+    assert rules.entries(R.some(s, R.none(q))) is None and rules.entries(R.every(q, R.none(s))) == [q] and rules.entries(R.none(R.none(s))) is None
+    assert [x[:2] for x in rules.program(R.every(q, R.some(s, t)))] == [("GT", 0), ("EQ", 0), ("IN", 0), ("OR", 2), ("AND", 2)]
 
 
 @pytest.mark.parametrize(("op", "operand", "want"), [("EQ", 1, [True, False, False]), ("NEQ", 1, [False, False, False]), ("IN", [1, 2], [True, False, False]), ("BETWEEN", [1, 1], [True, False, False]), ("CONTAINS", "/", [False, True, False])])

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 10_000
+BROADCAST_ROWS, BROADCAST_BYTES = 10_000, 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; else as it is, for a shuffled join.
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes as JSON; else as it is, for a shuffled join.
 
     The check reads no more than ``rows`` + 1 rows.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    some = df.limit(rows + 1).select(F.length(F.to_json(F.struct("*"))).alias("n"))
+    found = some.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if found["rows"] <= rows and found["size"] <= size else df

@@ -7,8 +7,10 @@ epoch-aligned window that holds the event.  Missing values make a leaf false.
 
 from __future__ import annotations
 
+import functools
 import json
-from collections.abc import Iterator
+import operator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -135,29 +137,41 @@ def fired(found: DataFrame, seconds: str = "cooldown_seconds", entity: str = "en
 # Many rules: leaves and inner nodes as tables.
 
 
-def node_tables(rules: list[Rule]) -> tuple[list[tuple], list[tuple]]:
-    """Leaves and inner nodes of all trees.
+def _operand(x, op: str) -> tuple[str, str]:
+    """(kind, text) of an operand: what a value is converted to before it is compared."""
+    if op == "CONTAINS":
+        return "text", str(x)
+    if isinstance(x, bool):
+        return "boolean", str(x).lower()
+    return ("number", repr(float(x))) if isinstance(x, (int, float)) else ("text", str(x))
 
-    Leaf: (rule_id, node_id, parent_id, depth, feature, op, value, high).  Inner node:
-    (rule_id, node_id, parent_id, depth, op).  A leaf's feature names its field or its
-    aggregate, so that leaves of many rules share one.
+
+def program(tree: dict) -> list[tuple]:
+    """A tree in postfix order as (op, n, feature, operands): a leaf, or AND, OR or NOT of the ``n`` results before it."""
+    if is_leaf(tree):
+        value = tree["value"] if isinstance(tree["value"], list) else [tree["value"]]
+        return [(tree["operator"], 0, leaf_feature(tree), [_operand(v, tree["operator"]) for v in value])]
+    return [x for child in tree["children"] for x in program(child)] + [(tree["operator"], len(tree["children"]), None, None)]
+
+
+def entries(tree: dict) -> list[dict] | None:
+    """Leaves of which one at least is true wherever the tree holds; null if it may hold with all leaves false.
+
+    Of the children of an AND the one is chosen whose leaves are looked up by value, else the one with the fewest.
     """
-    leaf_rows, inner = [], []
-
-    def walk(rule: Rule, node: dict, parent: int, depth: int, number: list[int]) -> None:
-        me = number[0]
-        number[0] += 1
-        if is_leaf(node):
-            value = node["value"] if isinstance(node["value"], list) else [node["value"]]
-            leaf_rows.append((rule.rule_id, me, parent, depth, leaf_feature(node), node["operator"], [str(v).lower() if isinstance(v, bool) else str(v) for v in value]))
-        else:
-            inner.append((rule.rule_id, me, parent, depth, node["operator"]))
-            for child in node["children"]:
-                walk(rule, child, me, depth + 1, number)
+    if is_leaf(tree):
+        return [tree]
+    found = [entries(c) for c in tree["children"]]
+    if tree["operator"] == "OR":
+        return None if None in found else [x for f in found for x in f]
+    fine = [f for f in found if f is not None] if tree["operator"] == "AND" else []
+    return min(fine, key=lambda f: (not all(map(_by_value, f)), len(f)), default=None)
+
 
-    for rule in rules:
-        walk(rule, rule.tree, -1, 0, [0])
-    return leaf_rows, inner
+def _by_value(leaf: dict) -> bool:
+    """Whether a leaf compares text for equality, so that its value can be looked up."""
+    operands = leaf["value"] if leaf["operator"] == "IN" else [leaf["value"]]
+    return leaf["operator"] in ("EQ", "IN") and all(isinstance(x, str) for x in operands)
 
 
 def leaf_feature(node: dict) -> str:
@@ -169,66 +183,101 @@ def leaf_feature(node: dict) -> str:
 
 
 def _leaf_truth(value: Column, op: Column, operands: Column) -> Column:
-    """Truth of a leaf whose operator and operands are data; numbers compare as numbers."""
-    first = operands[0]
-    number, bound = value.try_cast("double"), first.try_cast("double")
-    numeric = bound.isNotNull()
-
-    def either(x: Column, y: Column) -> Column:
-        return F.when(numeric, x).otherwise(y)
-
-    equal = either(number == bound, value == first)
-    cases = {
-        "EQ": equal,
-        "NEQ": either(number != bound, value != first),
-        "GT": either(number > bound, value > first),
-        "GTE": either(number >= bound, value >= first),
-        "LT": either(number < bound, value < first),
-        "LTE": either(number <= bound, value <= first),
-        "IN": F.exists(operands, lambda x: F.when(x.try_cast("double").isNotNull(), number == x.try_cast("double")).otherwise(value == x)),
-        "BETWEEN": number.between(bound, F.try_element_at(operands, F.lit(2)).try_cast("double")),
-        "CONTAINS": value.contains(first),
-    }
+    """Truth of a leaf whose operator and operands are data; the operand's kind tells how they compare."""
+    first, second = operands[0], F.try_element_at(operands, F.lit(2))
+
+    def typed(operand: Column, test: Callable[[Column, Column], Column]) -> Column:
+        text, kind = operand["text"], operand["kind"]
+        number = test(value.try_cast("double"), text.try_cast("double"))
+        return F.when(kind == "number", number).when(kind == "boolean", test(value.try_cast("boolean"), text.try_cast("boolean"))).otherwise(test(value, text))
+
+    def between(low: Column) -> Column:
+        number = value.try_cast("double").between(low["text"].try_cast("double"), second["text"].try_cast("double"))
+        return F.when(low["kind"] == "number", number).otherwise(value.between(low["text"], second["text"]))
+
+    cases = {name: typed(first, test) for name, test in (("EQ", operator.eq), ("NEQ", operator.ne), ("GT", operator.gt), ("GTE", operator.ge), ("LT", operator.lt), ("LTE", operator.le))}
+    cases |= {"IN": F.exists(operands, lambda x: known(typed(x, operator.eq))), "BETWEEN": between(first), "CONTAINS": value.contains(first["text"])}
     out = F.lit(False)
     for name, case in cases.items():
         out = F.when(op == name, known(case)).otherwise(out)
     return out
 
 
-def evaluate_nodes(facts: DataFrame, subjects: list[str], rules: list[Rule]) -> DataFrame:
-    """(subjects..., rule_id) for every rule that holds, by tables of nodes.
+_OPERANDS = "array<struct<kind: string, text: string>>"
+_VALUE = "\x00"  # stands between feature and value in a key
+
 
-    ``facts``: the subject columns, feature and value (text; null if missing), a row for
-    each subject and each feature that a leaf names.  Leaves are joined by feature and
-    folded level by level: AND is the minimum of its children, OR the maximum, NOT the
-    opposite.  The plan has one grouping for each depth and does not grow with the rules.
+def evaluate_nodes(facts: DataFrame, subjects: list[str], rules: list[Rule]) -> DataFrame:
+    """(subjects..., rule_id) for every rule that holds, by tables of rules.
+
+    ``facts``: the subject columns and ``facts``, a map from each feature that a leaf names
+    to its value as text.  A subject takes up a rule only if one of the rule's entry leaves
+    is true of it, found by feature and value where the leaf compares text for equality;
+    a rule without such leaves, as NOT may make it, is taken up by every subject.  What is
+    taken up is decided by the rule's postfix program over the subject's own facts, without
+    another join.  The plan is the same for any number of rules.
     """
     spark = facts.sparkSession
-    leaf_rows, inner_rows = node_tables(rules)
-    leaf = spark.createDataFrame(leaf_rows, "rule_id string, node_id int, parent_id int, depth int, feature string, op string, operands array<string>")
-    inner = spark.createDataFrame(inner_rows, "rule_id string, parent int, up int, depth int, inner_op string")
-    truth = _leaf_truth(F.col("value"), F.col("op"), F.col("operands")).cast("int").alias("truth")
-    state = facts.join(broadcast_if_small(leaf), "feature").select(*subjects, "rule_id", "parent_id", "depth", truth)
-    for depth in range(max((r[3] for r in leaf_rows), default=0), 0, -1):
-        here = state.where(F.col("depth") == depth)
-        folded = here.groupBy(*subjects, "rule_id", "parent_id").agg(F.min("truth").alias("all"), F.max("truth").alias("any"))
-        level = inner.where(F.col("depth") == depth - 1).select("rule_id", F.col("parent").alias("parent_id"), "up", "inner_op")
-        value = F.when(F.col("inner_op") == "AND", F.col("all")).when(F.col("inner_op") == "OR", F.col("any")).otherwise(1 - F.col("all"))
-        up = folded.join(broadcast_if_small(level), ["rule_id", "parent_id"]).select(*subjects, "rule_id", F.col("up").alias("parent_id"), F.lit(depth - 1).alias("depth"), value.alias("truth"))
-        state = state.where(F.col("depth") < depth).unionByName(up)
-    return state.where("truth = 1").select(*subjects, "rule_id")
+    keyed: list[tuple] = []
+    for r in rules:
+        found = entries(r.tree)
+        if found is None:
+            keyed.append((leaf_feature(next(leaves(r.tree))), r.rule_id, None, None))
+        for leaf in found or ():
+            op, _, feature, operands = program(leaf)[0]
+            keyed += [(f"{feature}{_VALUE}{text}", r.rule_id, None, None) for _, text in operands] if _by_value(leaf) else [(feature, r.rule_id, op, operands)]
+    index = spark.createDataFrame(keyed, f"key string, rule_id string, op string, operands {_OPERANDS}")
+    programs = spark.createDataFrame([(r.rule_id, program(r.tree)) for r in rules], f"rule_id string, program array<struct<op: string, n: int, feature: string, operands: {_OPERANDS}>>")
+    each = F.flatten(F.transform(F.map_entries("facts"), lambda e: F.array(F.struct(e["key"].alias("key"), e["value"].alias("value")), F.struct(F.concat(e["key"], F.lit(_VALUE), e["value"]).alias("key"), e["value"].alias("value")))))
+    exploded = facts.select(*subjects, "facts", F.explode(each).alias("e")).where("e.key IS NOT NULL").select(*subjects, "facts", F.col("e.key").alias("key"), F.col("e.value").alias("value"))
+    taken = exploded.join(broadcast_if_small(index), "key").where(F.col("op").isNull() | _leaf_truth(F.col("value"), F.col("op"), F.col("operands")))
+    return taken.join(broadcast_if_small(programs), "rule_id").where(_run(F.col("program"), F.col("facts"))).select(*subjects, "rule_id").distinct()
+
+
+def _run(program: Column, facts: Column) -> Column:
+    """The result of a postfix program, the last result first on its stack."""
+
+    def step(stack: Column, token: Column) -> Column:
+        n, op = token["n"], token["op"]
+        mine = F.slice(stack, F.lit(1), n)
+        rest = F.slice(stack, n + 1, F.size(stack))
+        joined = F.when(op == "AND", F.forall(mine, lambda x: x)).when(op == "OR", F.exists(mine, lambda x: x)).otherwise(~F.element_at(mine, 1))
+        leaf = _leaf_truth(F.try_element_at(facts, token["feature"]), op, token["operands"])
+        return F.when(n > 0, F.concat(F.array(joined), rest)).otherwise(F.concat(F.array(leaf), stack))
+
+    return F.try_element_at(F.aggregate(program, F.array().cast("array<boolean>"), step), F.lit(1))
 
 
 def facts_of(wide: DataFrame, subjects: list[str], columns: dict[str, str]) -> DataFrame:
     """Wide rows as facts: ``columns`` maps a feature to its column."""
-    pairs = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(c).cast("string").alias("value")) for f, c in columns.items()))
-    return wide.select(*subjects, F.explode(pairs).alias("fact")).select(*subjects, "fact.feature", "fact.value")
+    pairs = [x for f, c in columns.items() for x in (F.lit(f), F.col(c).cast("string"))]
+    return wide.select(*subjects, (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("facts"))
+
+
+#: Aggregates that one pass over an entity's buckets computes.
+AGGREGATES_A_PASS = 64
+
+
+def rule_facts(events: DataFrame, rules: list[Rule], subjects: list[str], entity: str = "entity_id", ts: str = "event_time") -> DataFrame:
+    """The facts that ``evaluate_nodes`` needs of each event: its fields, and its entity's aggregates as of its bucket.
+
+    ``subjects`` name an event.  Rules share features, so the number of passes follows from
+    how many different aggregates the rules name together, not from the rules.
+    """
+    named = {leaf_feature(x): x for r in rules for x in leaves(r.tree)}
+    columns = {f: x["field"] for f, x in named.items() if x.get("type") != "AGGREGATION"}
+    aggregates = [(f, x) for f, x in named.items() if x.get("type") == "AGGREGATION"]
+    wide = events.withColumn("bucket", windows.bucket_of(F.col(ts)))
+    for i in range(0, len(aggregates), AGGREGATES_A_PASS):
+        some = aggregates[i : i + AGGREGATES_A_PASS]
+        found, measures = features(events, [x for _, x in some], entity, ts)
+        renamed = {feature_name(x, measures): f"p{i}_{feature_name(x, measures)}" for _, x in some}
+        wide = wide.join(found.withColumnsRenamed(renamed), [entity, "bucket"], "left").fillna(0, [renamed[feature_name(x, measures)] for _, x in some if x["function"] == "COUNT"])
+        columns |= {f: renamed[feature_name(x, measures)] for f, x in some}
+    return facts_of(wide, subjects, columns)
 
 
 def definitions(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     """Rules as rows of rule_definitions."""
     rows = [(i, r.rule_id, r.name, json.dumps(r.tree), r.priority, r.cooldown_seconds, r.version, r.enabled) for i, r in enumerate(rules, 1)]
     return spark.createDataFrame(rows, "id long, rule_id string, name string, rule_json string, priority int, cooldown_seconds long, version long, enabled boolean")
-
-
-
