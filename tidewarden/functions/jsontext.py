@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _STRICT = {"allowSingleQuotes": "false"}
 
@@ -32,6 +33,12 @@ def as_map(text: Column) -> Column:
     return F.from_json(text, "map<string,string>", _STRICT)
 
 
+def as_struct(text: Column, names: list[str]) -> Column:
+    """The named keys of a JSON object as a struct of raw values; null if the text is no object."""
+    fields = F.from_json(text, T.StructType([T.StructField(n, T.StringType()) for n in names]), _STRICT)
+    return F.when(F.startswith(F.ltrim(text), F.lit("{")) & parses(text), fields)
+
+
 def has_key(entries: Column, key: str) -> Column:
     """Whether the key exists; an explicit null counts."""
     return F.coalesce(F.map_contains_key(entries, key), F.lit(False))

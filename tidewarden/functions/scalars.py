@@ -44,3 +44,8 @@ def skewed_entity(key: Column, salt: str, entities: int, skew: float) -> Column:
 def iso(ts: Column) -> Column:
     """ISO-8601 text in UTC."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def fits_buckets(seconds: Column, bucket: int, longest: int) -> Column:
+    """Whether a duration is a whole number of buckets, from one up to ``longest``."""
+    return F.coalesce((F.pmod(seconds, F.lit(bucket)) == 0) & seconds.between(bucket, longest), F.lit(False))

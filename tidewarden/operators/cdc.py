@@ -63,6 +63,13 @@ def schema_messages(messages: DataFrame, column: str = "value") -> DataFrame:
     return found.select(*rest, F.when(change, J.as_text(text, entries, "schema_id")).otherwise(bare).alias("schema_id"), F.when(change, payload).otherwise(text).alias("schema_payload"), F.when(change, J.value_of(entries, "__deleted")).alias("__deleted"))
 
 
+def publisher_key(entries: Column) -> Column:
+    """The key a schema document is published under; one without an action stands for its whole source."""
+    source = F.coalesce(J.value_of(entries, "source_name"), F.lit("unknown"))
+    end = F.coalesce(J.value_of(entries, "action"), F.lit("schema"))
+    return F.when(J.value_of(entries, "name") == UNIFIED, F.lit("unified_schema")).otherwise(F.concat_ws("_", source, end))
+
+
 def catalog_from(messages: DataFrame, order: list[str], column: str = "value", honor_deletes: bool = False) -> DataFrame:
     """The catalog after all messages: the last one of each key wins.
 

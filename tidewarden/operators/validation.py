@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import jsontext as J
+from .cdc import as_of
 from .joins import broadcast_if_small
 
 PARSE = "JSON Parse Exception: "
@@ -39,13 +40,13 @@ def route_key(text: Column, entries: Column) -> Column:
     return F.concat(J.as_text(text, entries, "source_system"), F.lit("_"), J.as_text(text, entries, "event_type"))
 
 
-def compiled_catalog(catalog: DataFrame) -> DataFrame:
-    """Parse each schema once: schema_id, unreadable, unchecked, required (names in schema order).
+def compiled_catalog(catalog: DataFrame, *kept: str) -> DataFrame:
+    """Parse each schema once: schema_id, unreadable, unchecked, required (names in schema order), and the columns ``kept``.
 
-    ``catalog`` has one row for each schema_id, with schema_payload as text.
+    ``catalog`` has schema_id and schema_payload, as text.
     """
     text = F.coalesce("schema_payload", F.lit(""))
-    parsed = J.once(catalog.select("schema_id", text.alias("payload")), {"parsed": J.parses(F.col("payload")), "entries": J.as_map(F.col("payload"))})
+    parsed = J.once(catalog.select("schema_id", *kept, text.alias("payload")), {"parsed": J.parses(F.col("payload")), "entries": J.as_map(F.col("payload"))})
     fields = F.map_entries(J.as_map(J.value_of(F.col("entries"), "fields")))
     required = F.transform(F.filter(fields, lambda e: J.truthy(F.get_json_object(e["value"], "$.required"))), lambda e: e["key"])
     blank = F.trim("payload") == ""
@@ -54,7 +55,7 @@ def compiled_catalog(catalog: DataFrame) -> DataFrame:
         "unchecked": blank | ~J.has_key(F.col("entries"), "fields"),
         "required": F.coalesce(required, F.array().cast("array<string>")),
     }
-    return J.once(parsed, made).select("schema_id", *made)
+    return J.once(parsed, made).select("schema_id", *kept, *made)
 
 
 def keyed(events: DataFrame, column: str = "value") -> DataFrame:
@@ -76,9 +77,12 @@ def absent(place: Column, required: Column) -> Column:
     return F.filter(required, lambda name: J.value_of(place, name).isNull())
 
 
-def validate(events: DataFrame, catalog: DataFrame, layout: str = "nested", column: str = "value") -> DataFrame:
+def validate(events: DataFrame, catalog: DataFrame, layout: str = "nested", column: str = "value", order: str | None = None) -> DataFrame:
     """Validate events against the schemas of ``catalog`` (one row for each schema_id).
 
+    With ``order``, a column of both that tells when each arrived, ``catalog`` has all
+    versions that ever came, and an event sees the last of its key that came no later.
+
     Adds route_key, status (``valid`` or ``dirty``), error_reason (null if valid) and
     output: the text itself, the text with error_reason set, or for a text that is no
     object a wrapper with original_payload.  Other columns of ``events`` stay.
@@ -87,8 +91,11 @@ def validate(events: DataFrame, catalog: DataFrame, layout: str = "nested", colu
         raise ValueError("layout is nested or flat")
     # Each text is parsed once, its fields once; what follows from them is a column, not an expression.
     kept = events.columns
-    schemas = compiled_catalog(catalog)
-    joined = keyed(events, column).join(broadcast_if_small(schemas), F.col("route_key") == F.col("schema_id"), "left")
+    if order is None:
+        joined = keyed(events, column).join(broadcast_if_small(compiled_catalog(catalog)), F.col("route_key") == F.col("schema_id"), "left")
+    else:
+        versions = compiled_catalog(catalog.withColumnRenamed(order, "__came"), "__came").withColumn("route_key", F.col("schema_id"))
+        joined = as_of(keyed(events, column), versions, "route_key", F.col(order), F.col("__came"), ["schema_id", "unreadable", "unchecked", "required"])
     entries, text = F.col("entries"), F.col(column)
     no_fields = F.lit(False) if layout == "flat" else ~J.has_key(entries, "fields")
     place = entries if layout == "flat" else J.as_map(J.value_of(entries, "fields"))

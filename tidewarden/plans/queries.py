@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import jsontext as J
 from ..functions.constraints import violations
 from ..functions.predicates import combine, compare
-from ..functions.scalars import route_topic, skewed_entity, total_amount
+from ..functions.scalars import fits_buckets, iso, route_topic, skewed_entity, stable_uuid, total_amount
 from ..model.fields import dictionary
-from ..model.rules import Rule, aggregate, every, none, raw, some
+from ..model.rules import BUCKET_SECONDS, LONGEST_SECONDS, Rule, aggregate, every, none, raw, some
 from ..model.schemas import catalog_rows
 from ..operators import cdc, rules, validation, windows
 from ..operators.windows import Measure, bucket_of
@@ -73,19 +73,21 @@ def tail_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.tail(rows, 10, "p", "event_id").select("p", "event_id")
 
 
-@query("tail_n_total", "SELECT event_id FROM events ORDER BY event_id DESC LIMIT 10")
+@query("tail_n_total", "SELECT p, event_id FROM (SELECT event_id, user_id % 6 AS p, row_number() OVER (PARTITION BY user_id % 6 ORDER BY event_id DESC) AS n FROM events) WHERE n <= 15 ORDER BY p, event_id LIMIT 15")
 def tail_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.table(spark, sf_dir, "events").select("event_id").orderBy(F.desc("event_id")).limit(10)
+    rows = files.table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 6).alias("p"))
+    return files.tail_total(rows, 15, "p", "event_id").select("p", "event_id")
 
 
 @query("synthetic_events")
 def synthetic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic.events(spark, n=10_000, entities=1_000, dirty=0.4)
+    """As many as the table of events has."""
+    return synthetic.events(spark, n=files.table(spark, sf_dir, "events").count(), entities=1_000, dirty=0.4)
 
 
 @query("synthetic_rules")
 def synthetic_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.definitions(spark, synthetic.rules(500))
+    return rules.definitions(spark, synthetic.rules(2_000))
 
 
 @query("skewed_pick")
@@ -124,6 +126,23 @@ def projection_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.table(spark, sf_dir, "events").select("event_id", total_amount(price, F.col("event_id") % 5 + 1).alias("total"))
 
 
+@query("scalar_uuid", "SELECT event_id, regexp_replace(md5(concat(CAST(event_id AS VARCHAR), '|', event_type)), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') AS uuid FROM events")
+def scalar_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.table(spark, sf_dir, "events").select("event_id", stable_uuid(F.col("event_id").cast("string"), F.col("event_type")).alias("uuid"))
+
+
+@query("scalar_time", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at, strftime(ts - to_minutes(CAST(event_id % 1440 AS BIGINT)), '%Y-%m-%dT%H:%M:%SZ') AS earlier, strftime(ts + to_days(CAST(event_id % 7 AS INT)), '%Y-%m-%d') AS delivery FROM events")
+def scalar_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = F.col("ts")
+    earlier = ts - F.make_dt_interval(mins=(F.col("event_id") % 1440).cast("int"))
+    return files.table(spark, sf_dir, "events").select("event_id", iso(ts).alias("at"), iso(earlier).alias("earlier"), F.date_format(ts + F.make_dt_interval((F.col("event_id") % 7).cast("int")), "yyyy-MM-dd").alias("delivery"))
+
+
+@query("scalar_modulo", "SELECT event_id, event_id * 60 % 300 = 0 AND event_id * 60 BETWEEN 300 AND 86400 AS fits FROM events")
+def scalar_modulo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.table(spark, sf_dir, "events").select("event_id", fits_buckets(F.col("event_id") * 60, BUCKET_SECONDS, LONGEST_SECONDS).alias("fits"))
+
+
 # Windows.
 
 
@@ -251,16 +270,22 @@ _KEYS = ", ".join(f"('{k}')" for k, _ in catalog_rows())
 _REQUIRED = ("event_id", "event_type", "entity_id", "source_system", "event_time")
 _PART = "CASE WHEN json_type(value, '$.{0}') IN ('OBJECT', 'ARRAY') THEN '' ELSE coalesce(json_extract_string(value, '$.{0}'), 'null') END"
 _OBJECT = "json_valid(value) AND json_type(CASE WHEN json_valid(value) THEN value ELSE 'null' END) = 'OBJECT'"
-JUDGED = f"""{TX}, o AS (SELECT event_id, value, json_valid(value) AS parsed, {_OBJECT} AS object, CASE WHEN {_OBJECT} THEN value ELSE '{{}}' END AS v FROM tx),
+
+def _judged(place: str = "fields.", no_fields: str = "NOT json_exists(value, '$.fields')") -> str:
+    """SQL of the verdicts: where required names are looked up, and when there is no such place."""
+    return f"""{TX}, o AS (SELECT event_id, value, json_valid(value) AS parsed, {_OBJECT} AS object, CASE WHEN {_OBJECT} THEN value ELSE '{{}}' END AS v FROM tx),
     k AS (SELECT event_id, value AS raw, parsed, object, v AS value, CASE WHEN json_exists(v, '$.source_system') AND json_exists(v, '$.event_type') THEN concat({_PART.format('source_system').replace('value', 'v')}, '_', {_PART.format('event_type').replace('value', 'v')}) END AS route_key FROM o),
     cat(schema_id) AS (VALUES {_KEYS}),
-    j AS (SELECT k.*, cat.schema_id, list_filter(['{"', '".join(_REQUIRED)}'], lambda n: coalesce(json_extract_string(value, concat('$.fields.', n)), '') = '') AS missing FROM k LEFT JOIN cat ON route_key = schema_id),
+    j AS (SELECT k.*, cat.schema_id, list_filter(['{"', '".join(_REQUIRED)}'], lambda n: coalesce(json_extract_string(value, concat('$.{place}', n)), '') = '') AS missing FROM k LEFT JOIN cat ON route_key = schema_id),
     r AS (SELECT event_id, raw, route_key, schema_id, missing, CASE WHEN NOT parsed THEN 'JSON Parse Exception: not a JSON value' WHEN NOT object THEN 'JSON Parse Exception: not a JSON object'
         WHEN route_key IS NULL THEN 'Missing source_system or action for schema mapping' WHEN schema_id IS NULL THEN concat('Schema not found for key: ', route_key)
-        WHEN NOT json_exists(value, '$.fields') THEN 'Missing required fields: fields_object_missing'
+        WHEN {no_fields} THEN 'Missing required fields: fields_object_missing'
         WHEN len(missing) > 0 THEN concat('Missing required fields: ', array_to_string(missing, ', ')) END AS error_reason FROM j)"""
 
 
+JUDGED = _judged()
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.table(spark, sf_dir, "events").select("event_id", F.expr(_texts("STRING")).alias("value"))
 
@@ -322,25 +347,27 @@ def both(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(bad).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("dirty_reason_flat", f"WITH {TX} SELECT event_id FROM tx WHERE event_id % 12 = 4 OR event_id % 12 < 0")
+@query("dirty_reason_flat", f"WITH {_judged('', 'FALSE')} SELECT event_id, coalesce(error_reason, 'valid') AS reason FROM r")
 def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In the flat layout only the events that carry all names beside the routing keys are valid."""
-    return validation.split(validation.validate(texts(spark, sf_dir), catalog(spark), layout="flat"))[0].select("event_id")
+    """In the flat layout required names stand beside the routing keys."""
+    return validation.validate(texts(spark, sf_dir), catalog(spark), layout="flat").select("event_id", F.coalesce("error_reason", F.lit("valid")).alias("reason"))
 
 
 @query(
     "constraint_violations",
-    f"""WITH {TX} SELECT event_id, array_to_string(list_filter([
-        CASE WHEN json_type(value, '$.unit_price') = 'VARCHAR' THEN 'unit_price:type' WHEN CAST(json_extract_string(value, '$.unit_price') AS DOUBLE) < 0 THEN 'unit_price:min' END,
+    f"""WITH {TX}, o AS (SELECT event_id, CASE WHEN {_OBJECT} THEN value ELSE '{{}}' END AS value FROM tx) SELECT event_id, array_to_string(list_filter([
+        CASE WHEN NOT regexp_full_match(json_extract_string(value, '$.event_id'), '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}') THEN 'event_id:format' END,
+        CASE WHEN json_extract_string(value, '$.source_system') NOT IN ('ecommerce', 'crm', 'payment') THEN 'source_system:allowed_values' END,
         CASE WHEN json_extract_string(value, '$.user_email') = 'wrong' THEN 'user_email:format' END,
-        CASE WHEN CAST(json_extract_string(value, '$.satisfaction_score') AS INT) < 1 THEN 'satisfaction_score:min' WHEN CAST(json_extract_string(value, '$.satisfaction_score') AS INT) > 5 THEN 'satisfaction_score:max' END],
-        lambda x: x IS NOT NULL), ',') AS violations FROM tx WHERE event_id % 12 = 8""",
+        CASE WHEN CAST(json_extract_string(value, '$.satisfaction_score') AS INT) < 1 THEN 'satisfaction_score:min' WHEN CAST(json_extract_string(value, '$.satisfaction_score') AS INT) > 5 THEN 'satisfaction_score:max' END,
+        CASE WHEN json_type(value, '$.unit_price') = 'VARCHAR' THEN 'unit_price:type' WHEN CAST(json_extract_string(value, '$.unit_price') AS DOUBLE) < 0 THEN 'unit_price:min' END],
+        lambda x: x IS NOT NULL), ',') AS violations FROM o""",
 )
 def constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 66 fields of every event, whatever its text is."""
     fields = dictionary()
-    entries = J.as_map(F.col("value"))
-    found = violations([(fields[n], J.value_of(entries, n)) for n in ("unit_price", "user_email", "satisfaction_score")])
-    return texts(spark, sf_dir).where("event_id % 12 = 8").select("event_id", F.array_join(found, ",").alias("violations"))
+    parsed = J.once(texts(spark, sf_dir), {"found": J.as_struct(F.col("value"), list(fields))})
+    return parsed.select("event_id", F.array_join(violations([(f, F.col("found")[n]) for n, f in fields.items()]), ",").alias("violations"))
 
 
 # Change data.
@@ -394,10 +421,47 @@ def dual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.schema_messages(messages).select("event_id", "schema_id")
 
 
-@query("schema_catalog", "SELECT schema_id, CAST(max(event_id) AS BIGINT) AS event_id FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN concat('s', CAST(user_id AS VARCHAR)) WHEN 1 THEN concat('s', CAST(user_id % 9 AS VARCHAR), '_a') WHEN 2 THEN 'crm_unknown' ELSE 'unified_schema' END AS schema_id FROM events WHERE event_id % 5 < 4) GROUP BY 1")
+_LOGGED = """CASE WHEN event_id % 5 = 0 THEN concat('{{"schema_id":"s', CAST(user_id AS {0}), '","schema_payload":"', CAST(event_id AS {0}), '","__deleted":"', CASE WHEN event_id % 3 = 0 THEN 'true' ELSE 'false' END, '"}}')
+    WHEN event_id % 5 = 1 THEN concat('{{"source_name":"s', CAST(user_id % 9 AS {0}), '","action":"a","fields":{{}},"n":', CAST(event_id AS {0}), '}}') ELSE 'not json' END"""
+_CATALOG = f"""WITH m AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN concat('s', CAST(user_id AS VARCHAR)) ELSE concat('s', CAST(user_id % 9 AS VARCHAR), '_a') END AS schema_id,
+    CASE WHEN event_id % 5 = 0 THEN CAST(event_id AS VARCHAR) ELSE {_LOGGED.format('VARCHAR')} END AS schema_payload, event_id % 15 = 0 AS gone FROM events WHERE event_id % 5 < 2),
+    l AS (SELECT *, row_number() OVER (PARTITION BY schema_id ORDER BY event_id DESC) AS n FROM m) SELECT schema_id, schema_payload FROM l WHERE n = 1"""
+
+
+def _catalog_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.table(spark, sf_dir, "events").select("event_id", F.expr(_LOGGED.format("STRING")).alias("value"))
+
+
+@query("schema_catalog", _CATALOG)
 def schema_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages = files.table(spark, sf_dir, "events").select("event_id", F.expr(_MESSAGE.format("STRING")).alias("value"))
-    return cdc.latest_per_key(cdc.schema_messages(messages), ["schema_id"], ["event_id"]).select("schema_id", "event_id")
+    """Deletes leave a schema active."""
+    return cdc.catalog_from(_catalog_log(spark, sf_dir), ["event_id"])
+
+
+@query("schema_catalog_deletes", f"{_CATALOG} AND NOT gone")
+def schema_catalog_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc.catalog_from(_catalog_log(spark, sf_dir), ["event_id"], honor_deletes=True)
+
+
+_DOCUMENT = """CASE event_id % 4 WHEN 0 THEN concat('{{"source_name":"s', CAST(user_id AS {0}), '","action":"a"}}') WHEN 1 THEN concat('{{"source_name":"s', CAST(user_id AS {0}), '"}}')
+    WHEN 2 THEN '{{"name":"unified_dictionary","source_name":"x"}}' ELSE '{{"action":"b"}}' END"""
+
+
+@query("publisher_key", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('s', CAST(user_id AS VARCHAR), '_a') WHEN 1 THEN concat('s', CAST(user_id AS VARCHAR), '_schema') WHEN 2 THEN 'unified_schema' ELSE 'unknown_b' END AS schema_id FROM events")
+def publisher_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = files.table(spark, sf_dir, "events").select("event_id", F.expr(_DOCUMENT.format("STRING")).alias("value"))
+    return J.once(documents, {"entries": J.as_map(F.col("value"))}).select("event_id", cdc.publisher_key(F.col("entries")).alias("schema_id"))
+
+
+_ENVELOPE = """CASE WHEN event_id % 7 < 6 THEN concat('{{"before":', CASE WHEN event_id % 7 = 0 THEN 'null' ELSE concat('{{"user_id":', CAST(user_id AS {0}), ',"kind":"old"}}') END,
+    ',"after":', CASE WHEN event_id % 7 = 5 THEN 'null' ELSE concat('{{"user_id":', CAST(user_id AS {0}), ',"kind":"', event_type, '"}}') END, ',"op":"', CASE WHEN event_id % 7 = 5 THEN 'd' WHEN event_id % 7 = 0 THEN 'c' ELSE 'u' END, '","source":{{"table":"t"}}}}') END"""
+
+
+@query("cdc_envelope", "SELECT event_id, CASE WHEN event_id % 7 < 6 THEN user_id END AS user_id, CASE WHEN event_id % 7 = 5 THEN 'old' WHEN event_id % 7 < 5 THEN event_type END AS kind, CASE WHEN event_id % 7 < 6 THEN event_id % 7 = 5 END AS __deleted FROM events")
+def envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change messages as JSON text, flattened."""
+    log = files.table(spark, sf_dir, "events").select("event_id", F.expr(_ENVELOPE.format("STRING")).alias("value"))
+    return cdc.flattened(cdc.envelopes(log, "user_id bigint, kind string")).select("event_id", "user_id", "kind", "__deleted")
 
 
 @query("schema_upsert", "SELECT n_nationkey AS key, CASE WHEN n_nationkey % 3 = 0 THEN 'new' ELSE n_name END AS payload FROM nation UNION ALL SELECT 100 + r_regionkey, 'new' FROM region")
@@ -419,6 +483,29 @@ def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.as_of(rows, versions, "event_type", F.col("event_id"), F.col("arrived"), ["version"]).select("event_id", "version")
 
 
+_MANY = "SELECT event_type, event_id AS arrived, concat('v', CAST(event_id AS {})) AS version FROM events WHERE event_id % 5 = 2"
+
+
+@query("schema_asof_join_many", f"WITH v AS ({_MANY.format('VARCHAR')}) SELECT e.event_id, v.version FROM events e ASOF LEFT JOIN v ON e.event_type = v.event_type AND e.event_id >= v.arrived")
+def as_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With more versions than are broadcast: one ordered sequence of each key, in parts."""
+    rows = files.table(spark, sf_dir, "events")
+    versions = rows.where("event_id % 5 = 2").select("event_type", F.col("event_id").alias("arrived"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("version"))
+    return cdc.as_of(rows.select("event_id", "event_type"), versions, "event_type", F.col("event_id"), F.col("arrived"), ["version"], lambda at: F.floor(at / 4096)).select("event_id", "version")
+
+
+@query(
+    "valid_by_arrival",
+    f"""WITH {_judged()}, c AS (SELECT schema_id, row_number() OVER (ORDER BY schema_id) * 100 AS came FROM cat)
+    SELECT r.event_id, CASE WHEN r.schema_id IS NOT NULL AND r.event_id < c.came THEN concat('Schema not found for key: ', route_key) ELSE error_reason END AS reason FROM r LEFT JOIN c ON r.schema_id = c.schema_id""",
+)
+def by_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each schema comes at an offset of its own, and an event sees those that came before it."""
+    made = [(name, text, 100 * i) for i, (name, text) in enumerate(sorted(catalog_rows()), 1)]
+    versions = spark.createDataFrame(made, "schema_id string, schema_payload string, event_id long")
+    return validation.validate(texts(spark, sf_dir), versions, order="event_id").select("event_id", F.col("error_reason").alias("reason"))
+
+
 # Rules.
 
 _FIELDS = f"""event_id, user_id AS entity_id, ts AS event_time, value AS total_amount, {SOURCE} AS source_system,
@@ -534,3 +621,28 @@ def top_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distinct_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("bin"), "event_type").distinct()
 
+
+
+_ALL_RULES = f"""SELECT event_id, 'r1' AS rule_id FROM re e WHERE {_RULE_SQL['high_value']} UNION ALL SELECT event_id, 'r2' FROM re e WHERE {_RULE_SQL['fraud_alert']}
+    UNION ALL SELECT event_id, 'r3' FROM re e WHERE {_RULE_SQL['inactive']} UNION ALL SELECT event_id, 'r4' FROM re e WHERE {_RULE_SQL['frequent_buyer']}"""
+
+
+@query("rule_nodetable_aggregates", f"WITH {RE} {_ALL_RULES}")
+def node_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The example rules as rows: aggregates and raw fields are facts of each event."""
+    made = list(RULES.values())
+    return rules.evaluate_nodes(rules.rule_facts(rule_events(spark, sf_dir), made, ["event_id"]), ["event_id"], made)
+
+
+_COMPARED = {
+    "lte": (aggregate("total_amount", "MAX", 3600, "LTE", 50), f"{_correlated('max(f.total_amount)', 3600, 'TRUE')} <= 50"),
+    "neq": (aggregate("event_id", "COUNT", 86400, "NEQ", 1), f"{_correlated('count(*)', 86400, 'TRUE')} <> 1"),
+    "lt": (none(aggregate("total_amount", "MIN", 21600, "LT", 10)), f"NOT {_correlated('min(f.total_amount)', 21600, 'TRUE')} < 10"),
+    "gt": (aggregate("total_amount", "AVG", 86400, "GT", 60.00001, "payment"), f"coalesce({_correlated('avg(f.total_amount)', 86400, 'f.source_system = ' + chr(39) + 'payment' + chr(39))}, 0) > 60.00001"),
+}
+
+
+@query("rule_comparisons", f"WITH {RE} " + " UNION ALL ".join(f"SELECT event_id, '{name}' AS rule_id FROM re e WHERE {sql}" for name, (_, sql) in _COMPARED.items()))
+def comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every comparison of an aggregate that the example rules do not have."""
+    return rules.matches(rule_events(spark, sf_dir), [Rule(name, name, tree) for name, (tree, _) in _COMPARED.items()]).select("event_id", "rule_id")

@@ -34,8 +34,3 @@ def console_split(validated: DataFrame, show: Callable[[str], None] = print, row
 def upsert_catalog(old: DataFrame, new: DataFrame, order: str) -> DataFrame:
     """The catalog with new schema rows inserted or replaced."""
     return upsert(old, new, ["schema_id"], order)
-
-
-def kafka_records(validated: DataFrame, key: str, value: str = "output") -> DataFrame:
-    """Records for a Kafka sink: key and value as text."""
-    return validated.select(F.col(key).cast("string").alias("key"), F.col(value).alias("value"))

@@ -64,7 +64,12 @@ def tail(records: DataFrame, n: int, partition: str = "partition", offset: str =
     """The last ``n`` records of each partition.
 
     Only the offsets are compared: a record is kept if its partition has fewer than ``n``
-    after it.  Take ``.limit(n)`` of the result for at most ``n`` in all.
+    after it.
     """
     place = Window.partitionBy(partition).orderBy(F.desc(offset))
     return records.withColumn("__place", F.row_number().over(place)).where(F.col("__place") <= n).drop("__place")
+
+
+def tail_total(records: DataFrame, n: int, partition: str = "partition", offset: str = "offset") -> DataFrame:
+    """``n`` records in all: each partition is read from ``n`` before its end, one partition after the other, until ``n`` have come."""
+    return tail(records, n, partition, offset).orderBy(partition, offset).limit(n)

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 EVENTS, SCHEMAS = "events", "schema_registry"
 EVENT_GROUP, SCHEMA_GROUP = "event-validation", "schema-registry"
 
 
-def source_options(servers: str, topic: str, group: str | None = None) -> dict[str, str]:
-    """Read a topic from its beginning."""
-    out = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest", "failOnDataLoss": "false"}
+def source_options(servers: str, topic: str, group: str | None = None, fail_on_loss: bool = True) -> dict[str, str]:
+    """Read a topic from its beginning; records that are gone before they were read are an error unless said otherwise."""
+    out = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest", "failOnDataLoss": str(fail_on_loss).lower()}
     return out | ({"kafka.group.id": group} if group else {})
 
 
@@ -34,3 +35,19 @@ def event_stream(spark: SparkSession, servers: str, topic: str = EVENTS) -> Data
 
 def schema_snapshot(spark: SparkSession, servers: str, topic: str = SCHEMAS) -> DataFrame:
     return text_records(spark.read.format("kafka").options(**source_options(servers, topic, SCHEMA_GROUP)).load())
+
+
+def keyed_records(rows: DataFrame, key: str, value: str = "value") -> DataFrame:
+    """Key and value as text, which is all that a sink takes; records of one key stay in one partition of the topic."""
+    return rows.select(F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias("value"))
+
+
+def write(rows: DataFrame, servers: str, topic: str, key: str, value: str = "value") -> None:
+    """Write rows to a topic.  A task that runs again may write its records twice, as the sink has no transactions."""
+    keyed_records(rows, key, value).write.format("kafka").options(**sink_options(servers, topic)).save()
+
+
+def write_stream(rows: DataFrame, servers: str, topic: str, key: str, checkpoint: str, value: str = "value") -> StreamingQuery:
+    """The same for a stream."""
+    writer = keyed_records(rows, key, value).writeStream.format("kafka").options(**sink_options(servers, topic))
+    return writer.option("checkpointLocation", checkpoint).start()
