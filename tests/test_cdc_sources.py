@@ -2,6 +2,7 @@ import json
 import random
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidewarden.functions.scalars import route_topic, stable_uuid, total_amount
@@ -92,6 +93,7 @@ def test_upsert(spark):
 def test_tail(spark):
     rows = spark.createDataFrame([(p, o) for p in range(3) for o in range(p * 2)], "partition int, offset int")
     assert {(r.partition, r.offset) for r in files.tail(rows, 3).collect()} == {(1, 0), (1, 1), (2, 1), (2, 2), (2, 3)}
+    assert [(r.partition, r.offset) for r in files.tail_total(rows, 3).collect()] == [(1, 0), (1, 1), (2, 1)]
 
 
 def test_synthetic_events(spark):
@@ -135,7 +137,11 @@ def test_constraints(spark):
 def test_scalars_and_options(spark):
     row = spark.range(1).select(stable_uuid(F.lit("a")).alias("u"), total_amount(F.lit("N/A"), F.lit(2)).alias("t"), total_amount(F.lit("1.5"), F.lit(2)).alias("s")).first()
     assert len(row.u.split("-")) == 5 and (row.t, row.s) == (200.0, 3.0)
-    assert kafka.source_options("h", "t")["startingOffsets"] == "earliest"
+    assert kafka.source_options("h", "t")["startingOffsets"] == "earliest" and kafka.source_options("h", "t")["failOnDataLoss"] == "true"
+    rows = spark.createDataFrame([(1, "x", 0)], "id int, output string, rest int")
+    assert [tuple(r) for r in kafka.keyed_records(rows, "id", "output").collect()] == [("1", "x")]
+    with pytest.raises(AnalysisException, match="kafka"):  # the connector is not part of the install
+        kafka.write(rows, "h", "t", "id", "output")
     assert kafka.sink_options("h", "t")["kafka.compression.type"] == "lz4"
     assert jdbc.options("u", "t", "a", "b")["batchsize"] == "5000"
 

@@ -26,6 +26,21 @@ def test_validation_stream_equals_batch(spark, tmp_path):
         assert want and sorted((r.value, r.error_reason or "") for r in spark.read.parquet(path).collect()) == want
 
 
+def test_validation_by_arrival_does_not_depend_on_batches(spark, tmp_path):
+    rows = [(at, f'{{"source_system":"crm","event_type":"login","fields":{{"b":{at}}}}}') for at in range(9)]
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps({"offset": at, "value": text}) for at, text in rows[3 * k : 3 * k + 3]))
+    versions = spark.createDataFrame([("crm_login", '{"fields":{"a":{"required":true}}}', 1), ("crm_login", '{"fields":{"b":{"required":true}}}', 5)], "schema_id string, schema_payload string, offset long")
+    stream = spark.readStream.schema("offset long, value string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    paths = [str(tmp_path / x) for x in ("valid", "dirty", "checkpoint")]
+    query = validate_stream(stream, lambda: versions, *paths, order="offset", interval=None)
+    query.awaitTermination(120)
+    assert query.exception() is None
+    assert sorted(r.offset for r in spark.read.parquet(paths[0]).collect()) == [5, 6, 7, 8]
+    assert sorted((r.offset, r.error_reason[:6]) for r in spark.read.parquet(paths[1]).collect()) == [(0, "Schema"), (1, "Missin"), (2, "Missin"), (3, "Missin"), (4, "Missin")]
+
+
 def test_windowed_stream_equals_batch(spark, tmp_path):
     rows = [(i % 3, f"2024-01-01 0{i % 5}:{i % 60:02d}:00", float(i)) for i in range(60)]
     df = spark.createDataFrame(rows, "user_id long, ts string, value double").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")

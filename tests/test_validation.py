@@ -116,3 +116,21 @@ def test_counters(spark):
     counters = Observation("validation")
     validation.counted(validation.validate(events, spark.createDataFrame(catalog_rows(), "schema_id string, schema_payload string")), counters).collect()
     assert counters.get == {"events": 3, "valid": 1, "dirty": 2}
+
+
+def test_an_event_sees_the_schemas_before_it(spark):
+    catalog = [("crm_login", '{"fields":{"a":{"required":true}}}', 3), ("crm_login", '{"fields":{"b":{"required":true}}}', 6), ("crm_x", "{}", 1)]
+    text = f'{{{ROUTE},"fields":{{"b":1}}}}'
+    events = spark.createDataFrame([(at, text) for at in range(8)], "at int, value string")
+    versions = spark.createDataFrame(catalog, "schema_id string, schema_payload string, at int")
+    out = [r.error_reason for r in validation.validate(events, versions, order="at").orderBy("at").collect()]
+    assert out == ["Schema not found for key: crm_login"] * 3 + ["Missing required fields: a"] * 3 + [None] * 2
+
+
+def test_each_text_is_parsed_once(spark):
+    events = spark.createDataFrame([(1, NESTED)], "id int, value string").repartition(1)
+    catalog = spark.createDataFrame(catalog_rows(), "schema_id string, schema_payload string")
+    dirty = validation.split(validation.validate(events, catalog))[1].select("id", "error_reason")
+    plan = dirty._jdf.queryExecution().executedPlan().toString()
+    # The event and its fields, the schema and its fields; each is shown once in its generator.
+    assert plan.count("from_json(") == 4, plan
