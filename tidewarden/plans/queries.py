@@ -473,24 +473,24 @@ def schema_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.upsert(old, stale.unionByName(fresh), ["key"], "at").select("key", "payload")
 
 
-_VERSIONS = "SELECT event_type, event_id AS arrived, concat('v', CAST(event_id AS {})) AS version FROM events WHERE event_id % 50 = 7"
+_VERSIONS = "SELECT event_type, event_id AS arrived, concat('v', CAST(event_id AS {})) AS version FROM events WHERE value > 150"
 
 
 @query("schema_asof_join", f"WITH v AS ({_VERSIONS.format('VARCHAR')}) SELECT e.event_id, v.version FROM events e ASOF LEFT JOIN v ON e.event_type = v.event_type AND e.event_id >= v.arrived")
 def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = files.table(spark, sf_dir, "events")
-    versions = rows.where("event_id % 50 = 7").select("event_type", F.col("event_id").alias("arrived"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("version"))
+    versions = rows.where("value > 150").select("event_type", F.col("event_id").alias("arrived"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("version"))
     return cdc.as_of(rows, versions, "event_type", F.col("event_id"), F.col("arrived"), ["version"]).select("event_id", "version")
 
 
-_MANY = "SELECT event_type, event_id AS arrived, concat('v', CAST(event_id AS {})) AS version FROM events WHERE event_id % 5 = 2"
+_MANY = "SELECT event_type, event_id AS arrived, concat('v', CAST(event_id AS {})) AS version FROM events WHERE value > 60"
 
 
 @query("schema_asof_join_many", f"WITH v AS ({_MANY.format('VARCHAR')}) SELECT e.event_id, v.version FROM events e ASOF LEFT JOIN v ON e.event_type = v.event_type AND e.event_id >= v.arrived")
 def as_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With more versions than are broadcast: one ordered sequence of each key, in parts."""
     rows = files.table(spark, sf_dir, "events")
-    versions = rows.where("event_id % 5 = 2").select("event_type", F.col("event_id").alias("arrived"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("version"))
+    versions = rows.where("value > 60").select("event_type", F.col("event_id").alias("arrived"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("version"))
     return cdc.as_of(rows.select("event_id", "event_type"), versions, "event_type", F.col("event_id"), F.col("arrived"), ["version"], lambda at: F.floor(at / 4096)).select("event_id", "version")
 
 
