@@ -219,16 +219,29 @@ def evaluate_nodes(facts: DataFrame, subjects: list[str], rules: list[Rule]) ->
     """
     spark = facts.sparkSession
     keyed: list[tuple] = []
+    by_value, by_truth = set(), set()  # features whose values, or which themselves, are keys
     for r in rules:
         found = entries(r.tree)
         if found is None:
-            keyed.append((leaf_feature(next(leaves(r.tree))), r.rule_id, None, None))
+            by_truth.add(feature := leaf_feature(next(leaves(r.tree))))
+            keyed.append((feature, r.rule_id, None, None))
         for leaf in found or ():
             op, _, feature, operands = program(leaf)[0]
-            keyed += [(f"{feature}{_VALUE}{text}", r.rule_id, None, None) for _, text in operands] if _by_value(leaf) else [(feature, r.rule_id, op, operands)]
+            if _by_value(leaf):
+                by_value.add(feature)
+                keyed += [(f"{feature}{_VALUE}{text}", r.rule_id, None, None) for _, text in operands]
+            else:
+                by_truth.add(feature)
+                keyed.append((feature, r.rule_id, op, operands))
     index = spark.createDataFrame(keyed, f"key string, rule_id string, op string, operands {_OPERANDS}")
     programs = spark.createDataFrame([(r.rule_id, program(r.tree)) for r in rules], f"rule_id string, program array<struct<op: string, n: int, feature: string, operands: {_OPERANDS}>>")
-    each = F.flatten(F.transform(F.map_entries("facts"), lambda e: F.array(F.struct(e["key"].alias("key"), e["value"].alias("value")), F.struct(F.concat(e["key"], F.lit(_VALUE), e["value"]).alias("key"), e["value"].alias("value")))))
+    pairs = F.map_entries("facts")
+
+    def keys(features: set[str], key: Callable[[Column], Column]) -> Column:
+        some = F.filter(pairs, lambda e: e["key"].isin(*sorted(features)))
+        return F.transform(some, lambda e: F.struct(key(e).alias("key"), e["value"].alias("value")))
+
+    each = F.concat(keys(by_truth, lambda e: e["key"]), keys(by_value, lambda e: F.concat(e["key"], F.lit(_VALUE), e["value"])))
     exploded = facts.select(*subjects, "facts", F.explode(each).alias("e")).where("e.key IS NOT NULL").select(*subjects, "facts", F.col("e.key").alias("key"), F.col("e.value").alias("value"))
     taken = exploded.join(broadcast_if_small(index), "key").where(F.col("op").isNull() | _leaf_truth(F.col("value"), F.col("op"), F.col("operands")))
     return taken.join(broadcast_if_small(programs), "rule_id").where(_run(F.col("program"), F.col("facts"))).select(*subjects, "rule_id").distinct()

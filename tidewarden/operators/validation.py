@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsontext as J
 from .cdc import as_of
-from .joins import broadcast_if_small
+from .joins import broadcast_if_small, is_small
 
 PARSE = "JSON Parse Exception: "
 NO_KEY = "Missing source_system or action for schema mapping"
@@ -61,8 +61,8 @@ def compiled_catalog(catalog: DataFrame, *kept: str) -> DataFrame:
 def keyed(events: DataFrame, column: str = "value") -> DataFrame:
     """Events with ``entries`` (null if no object), ``parsed`` and ``route_key``."""
     text = F.col(column)
-    parsed = J.parses(text)
-    out = J.once(events, {"parsed": parsed, "entries": F.when(parsed, J.as_map(text))})
+    out = J.once(events, {"parsed": J.parses(text), "entries": J.as_map(text)})
+    out = out.withColumn("entries", F.when(F.col("parsed"), F.col("entries")))
     routed = J.has_key(F.col("entries"), "source_system") & J.has_key(F.col("entries"), "event_type")
     return J.once(out, {"route_key": F.when(routed, route_key(text, F.col("entries")))})
 
@@ -92,7 +92,9 @@ def validate(events: DataFrame, catalog: DataFrame, layout: str = "nested", colu
     # Each text is parsed once, its fields once; what follows from them is a column, not an expression.
     kept = events.columns
     if order is None:
-        joined = keyed(events, column).join(broadcast_if_small(compiled_catalog(catalog)), F.col("route_key") == F.col("schema_id"), "left")
+        # A compiled schema is smaller than its text, so the text is what is checked.
+        schemas = F.broadcast(compiled_catalog(catalog)) if is_small(catalog) else compiled_catalog(catalog)
+        joined = keyed(events, column).join(schemas, F.col("route_key") == F.col("schema_id"), "left")
     else:
         versions = compiled_catalog(catalog.withColumnRenamed(order, "__came"), "__came").withColumn("route_key", F.col("schema_id"))
         joined = as_of(keyed(events, column), versions, "route_key", F.col(order), F.col("__came"), ["schema_id", "unreadable", "unchecked", "required"])
