@@ -1,12 +1,16 @@
 """The pipeline's stages on a small table."""
 
+import os
+import zlib
+
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
+from test_similarity import parts_of, plain_fingerprint
 from tokenizers import Tokenizer
 
-from tidewarden.llm import common, queries
+from tidewarden.llm import common, langid, queries, secret_scan
 
 SYLLABLES = {"aa": "the and ing tion er wh", "bb": "ção ões ão lh nh que", "cc": "sch ung keit ich ein au"}
 
@@ -65,6 +69,34 @@ def test_stages_of_odd_tables(spark, tmp_path):
         assert len({d for d, _ in kept if d and d >= 1000}) == 75
 
 
+def test_run_by_brute_force(spark):
+    """The driver's documents through plain forms of the four stages, a document at a time."""
+    place = "/root/testdata/sf0.001"
+    if not os.path.exists(f"{place}/documents.parquet"):
+        pytest.skip("no test data")
+    docs = spark.read.parquet(f"{place}/documents.parquet")
+    predictor = langid.Predictor(langid.fit(docs))
+    rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    rows = [(i, t) for i, t in rows for lang, score in predictor.predict([t]) if lang != "und" and score >= 0.4]
+    part = parts_of([plain_fingerprint(t) for _, t in rows])
+    least = {}
+    for i, t in sorted(rows):
+        least.setdefault(part[plain_fingerprint(t)], (i, t))
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = []
+    for i, t in least.values():
+        ids = [*library.encode(secret_scan.redact(t), add_special_tokens=False).ids, 1]
+        want += [(i, at, len(ids[at : at + 2048]), zlib.crc32(np.array(ids[at : at + 2048], "<u4").tobytes()), len(ids)) for at in range(0, len(ids), 2048)]
+    out = corpus_pipeline.run(spark, place).collect()
+    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in out) == sorted(want)
+    assert 50 < len(least) < len(rows)
+    filled = {}
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled.get(r.sequence_id, 0)
+        filled[r.sequence_id] = r.offset + r.length
+    assert max(filled.values()) <= 2048 and sum(filled.values()) > 0.9 * 2048 * len(filled)
+
+
 def test_the_shared_folder_is_asked_for():
     class Far:
         class sparkContext:  # noqa: N801

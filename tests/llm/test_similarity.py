@@ -238,6 +238,17 @@ def test_near_duplicate_rows(spark):
     assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted((str(d), dict((a, b) for a, b, *_ in rows)[d]) for d in set(least.values()))
 
 
+def test_near_duplicates_of_the_driver_documents(spark):
+    if not os.path.exists("/root/testdata/sf0.001/documents.parquet"):
+        pytest.skip("no test data")
+    rows = [(r.doc_id, plain_fingerprint(r.text or "")) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    part, least = parts_of([f for _, f in rows]), {}
+    for doc_id, f in rows:
+        least[part[f]] = min(least.get(part[f], doc_id), doc_id)
+    out = queries.op4_simhash_dedup(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(map(tuple, out)) == sorted((i, f"{f:016x}", least[part[f]]) for i, f in rows) and len(least) < len(rows)
+
+
 @pytest.mark.parametrize("swap", [False, True])
 def test_one_of_each_keeps_every_text(spark, monkeypatch, swap):
     monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0 if swap else 100)
