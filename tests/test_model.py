@@ -59,4 +59,5 @@ def test_published_schema_files(spark, tmp_path):
     (tmp_path / "d.txt").write_text("{}")
     rows, failed = files.published_schemas(spark, str(tmp_path))
     assert {tuple(r) for r in rows.collect()} == {("crm_login", '{"source_name":"crm","action":"login","fields":{"x":{}}}'), ("crm_schema", '{"source_name":"crm","fields":{}}')}
-    assert len(failed) == 1 and failed[0][0].endswith("c.json")
+    failed = failed.collect()
+    assert len(failed) == 1 and failed[0].path.endswith("c.json") and failed[0].error

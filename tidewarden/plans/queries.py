@@ -453,6 +453,22 @@ def publisher_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.once(documents, {"entries": J.as_map(F.col("value"))}).select("event_id", cdc.publisher_key(F.col("entries")).alias("schema_id"))
 
 
+_DESCRIBED = """CASE event_id % 3 WHEN 0 THEN concat('{{"source_name": "s', CAST(user_id AS {0}), '", "action": "a", "fields": {{"x": {{"description": "d", "type": "string"}}, "y": {{"deep": {{"description": "kept"}}}}}}}}')
+    WHEN 1 THEN concat('{{"source_name": "s', CAST(user_id AS {0}), '", "fields": {{"description": "kept", "x": {{"description": null}}}}}}') ELSE '[1' END"""
+
+
+@query(
+    "published_documents",
+    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN concat('s', CAST(user_id AS VARCHAR), '_a') WHEN 1 THEN concat('s', CAST(user_id AS VARCHAR), '_schema') END AS schema_id,
+    CASE event_id % 3 WHEN 0 THEN concat('{"source_name":"s', CAST(user_id AS VARCHAR), '","action":"a","fields":{"x":{"type":"string"},"y":{"deep":{"description":"kept"}}}}')
+    WHEN 1 THEN concat('{"source_name":"s', CAST(user_id AS VARCHAR), '","fields":{"description":"kept","x":{}}}') END AS schema_payload, event_id % 3 = 2 AS failed FROM events""",
+)
+def published_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions go from the direct children of fields only; a text that is no document has an error."""
+    documents = files.table(spark, sf_dir, "events").select(F.col("event_id").alias("path"), F.expr(_DESCRIBED.format("STRING")).alias("value"))
+    return files.published_documents(documents).select(F.col("path").cast("long").alias("event_id"), "schema_id", "schema_payload", F.col("error").isNotNull().alias("failed"))
+
+
 _ENVELOPE = """CASE WHEN event_id % 7 < 6 THEN concat('{{"before":', CASE WHEN event_id % 7 = 0 THEN 'null' ELSE concat('{{"user_id":', CAST(user_id AS {0}), ',"kind":"old"}}') END,
     ',"after":', CASE WHEN event_id % 7 = 5 THEN 'null' ELSE concat('{{"user_id":', CAST(user_id AS {0}), ',"kind":"', event_type, '"}}') END, ',"op":"', CASE WHEN event_id % 7 = 5 THEN 'd' WHEN event_id % 7 = 0 THEN 'c' ELSE 'u' END, '","source":{{"table":"t"}}}}') END"""
 

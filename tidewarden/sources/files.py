@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model.schemas import published
+from ..operators.cdc import latest_per_key
 
 #: A replayed topic: what a Kafka source would give, with text values.
 RECORD = "key string, value string, topic string, partition int, offset long, timestamp timestamp"
@@ -43,21 +46,35 @@ def schema_documents(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.col("_metadata.file_path").alias("path"), "value")
 
 
-def published_schemas(spark: SparkSession, path: str) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """(catalog rows, errors): each document under its key, without descriptions, minified.
+def published_documents(documents: DataFrame) -> DataFrame:
+    """(path, schema_id, schema_payload, error) of documents (path, value): each under its key, without descriptions, minified.
 
-    Schema documents are few and small by nature, so they are read on the driver in path
-    order.  A document that cannot be read is reported and the walk goes on; of two with
-    one key the later path wins.
+    A document that cannot be read has only its error.
     """
-    rows, failed = {}, []
-    for row in schema_documents(spark, path).orderBy("path").toLocalIterator():
-        try:
-            key, payload = published(json.loads(row["value"]))
-            rows[key] = payload
-        except (ValueError, TypeError, AttributeError, KeyError) as error:
-            failed.append((row["path"], str(error)))
-    return spark.createDataFrame(list(rows.items()), "schema_id string, schema_payload string"), failed
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column("value").to_pylist():
+                try:
+                    rows.append((*published(json.loads(text)), None))
+                except (ValueError, TypeError, AttributeError, KeyError) as error:
+                    rows.append((None, None, str(error)))
+            columns = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), *(pa.array(c, pa.string()) for c in columns)], ["path", "schema_id", "schema_payload", "error"])
+
+    return documents.select(F.col("path").cast("string").alias("path"), "value").mapInArrow(read, "path string, schema_id string, schema_payload string, error string")
+
+
+def published_schemas(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(catalog rows, errors) of the schema documents below a folder; of two with one key the later path wins.
+
+    Documents are read where they are found, not on the driver.  One that cannot be read
+    is reported as (path, error) and the others go on.
+    """
+    found = published_documents(schema_documents(spark, path))
+    rows = latest_per_key(found.where("error IS NULL").drop("error"), ["schema_id"], ["path"])
+    return rows.select("schema_id", "schema_payload"), found.where("error IS NOT NULL").select("path", "error")
 
 
 def tail(records: DataFrame, n: int, partition: str = "partition", offset: str = "offset") -> DataFrame:
