@@ -1,6 +1,7 @@
 """Windows and rules against plain Python over the events themselves."""
 
 import json
+import re
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -113,6 +114,33 @@ def test_sliding_equals_a_sum_over_events(spark, rows):
         assert all(here[k] == v[0] for k, v in want.items())
 
 
+def test_ticks_match_plain_windows(spark, monkeypatch):
+    seconds = [-7200, -1, 0, 299, 300, 3300, 3599, 3600, 7200, 7500, 86100, 90000, 200000]
+    rows = [(e, s, "crm", "1", None, q) for k, e in enumerate(("a", "b", None)) for s, q in zip(seconds[k:], [5, None, 1, 2, None, None, 7, 3, None, 4, 1, 6, None], strict=False)]
+    events = table(spark, rows).unionByName(table(spark, [("a", 0, "crm", "1", None, 9)]).withColumn("event_time", F.lit(None).cast("timestamp")))
+    partials = windows.ring_buckets(events, "entity_id", "event_time", [Measure("x", F.col("quantity"))])
+    base = int(START.timestamp())
+    plain = {"s": sum, "n": len, "m": lambda v: sum(v) / len(v), "h": max, "l": min}
+    for size, slide, block in ((3600, 300, 3600), (3600, 900, 7200), (86400, 300, windows.BLOCK_SECONDS)):
+        monkeypatch.setattr(windows, "BLOCK_SECONDS", block)
+        ticks = windows.sliding_ticks(partials, "entity_id", size, {"s": ("x", "SUM"), "n": ("x", "COUNT"), "m": ("x", "AVG"), "h": ("x", "MAX"), "l": ("x", "MIN")}, slide).collect()
+        inside = {}
+        for e, s, _, _, _, q in rows:
+            for tick in range(s // slide * slide, s // slide * slide + size, slide):
+                inside.setdefault((e, tick), []).extend([] if q is None else [q])
+        assert len(ticks) == len(inside)
+        assert {(r.entity_id, r.tick - base): (r.s, r.n, r.m, r.h, r.l) for r in ticks} == {k: tuple(f(v) if v or f is len else None for f in plain.values()) for k, v in inside.items()}
+
+
+def test_ticks_are_made_after_all_that_holds_rows(spark):
+    partials = windows.ring_buckets(table(spark, [("a", 0, "crm", "1", None, 1)]), "entity_id", "event_time", [Measure("x", F.col("quantity"))])
+    plan = windows.sliding_ticks(partials, "entity_id", 86400, {"n": ("x", "COUNT")})._jdf.queryExecution().executedPlan().toString()
+    assert "explode(sequence(" in plan
+    later = plan.split("explode(sequence(")[0]  # the plan's root is written first
+    assert not [step for step in ("Exchange", "Aggregate", "Sort", "Window") if step in later]
+    assert re.search(r"Exchange hashpartitioning\(entity_id#\d+, block#\d+L", plan)  # a long history is not one task's
+
+
 def test_window_sizes_are_checked(spark):
     partials = windows.ring_buckets(table(spark, [("a", 0, "crm", "1", None, 1)]), "entity_id", "event_time", [Measure("x", F.lit(1))])
     for size in (0, 400, 86700):

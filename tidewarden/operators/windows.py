@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ..model.rules import BUCKET_SECONDS, LONGEST_SECONDS
 
+#: An entity's ticks are dealt in blocks of about a week.
+BLOCK_SECONDS = 7 * LONGEST_SECONDS
+
 
 def bucket_of(ts: Column, size: int = BUCKET_SECONDS) -> Column:
     """Start of the epoch-aligned bucket, in seconds."""
@@ -72,14 +75,35 @@ def sliding(partials: DataFrame, entity: str, size: int, outputs: dict[str, tupl
 def sliding_ticks(partials: DataFrame, entity: str, size: int, outputs: dict[str, tuple[str, str]], slide: int = BUCKET_SECONDS) -> DataFrame:
     """One row for each tick whose window has an event; a tick is the window's last bucket.
 
-    Each bucket is sent to the size/slide ticks that cover it and summed again, which is
-    several times faster than windows over events and needs no order.
+    A window changes only at a tick where a bucket enters or leaves it. Those two rows of each
+    bucket are ordered and merged; the ticks up to the next change repeat the outcome and are
+    made last, one at a time, so that no hash table, sort or shuffle holds them. An entity's
+    ticks are dealt in blocks; a bucket whose ticks lie in two blocks enters both.
     """
     if slide % BUCKET_SECONDS or _checked(size) % slide:
         raise ValueError("the slide divides the size")
-    first = F.col("bucket") - F.pmod(F.col("bucket"), F.lit(slide))
-    ticks = F.explode(F.sequence(first, first + size - slide, F.lit(slide)))
-    return partials.withColumn("tick", ticks).groupBy(entity, "tick").agg(*(merged(m, f).alias(c) for c, (m, f) in outputs.items()))
+    span = size * (BLOCK_SECONDS // size)
+    enters = F.col("bucket") - F.pmod(F.col("bucket"), F.lit(slide))
+    leaves = enters + size
+
+    def block_of(tick: Column) -> Column:
+        return tick - F.pmod(tick, F.lit(span))
+
+    def change(block: Column, tick: Column, entering: bool) -> Column:
+        return F.struct(block.alias("block"), tick.alias("tick"), F.lit(entering).alias("entering"))
+
+    first, last = block_of(enters), block_of(leaves - slide)
+    rows = F.array(change(first, enters, True), F.when(first < last, change(last, enters, True)), change(block_of(leaves), leaves, False))
+    kept = [c for c in partials.columns if c not in (entity, "bucket")]
+    dealt = partials.select(entity, *kept, F.inline(rows)).where("tick IS NOT NULL")
+    changes = dealt.select(entity, "block", "tick", *(F.when(F.col("entering"), F.col(c)).alias(c) for c in kept))
+    ordered = Window.partitionBy(entity, "block").orderBy("tick")
+    over = ordered.rangeBetween(slide - size, 0)
+    buckets = F.count(f"{next(iter(outputs.values()))[0]}_count").over(over)  # those that left have no partials
+    since, until = F.greatest("tick", "block"), F.coalesce(F.lead("tick").over(ordered), F.col("block") + span)
+    made = changes.select(entity, since.alias("_since"), until.alias("_until"), buckets.alias("_buckets"), *(merged(m, f, over).alias(c) for c, (m, f) in outputs.items()))
+    ticks = F.explode(F.sequence("_since", F.col("_until") - slide, F.lit(slide)))
+    return made.where("_buckets > 0 AND _until > _since").select(entity, ticks.alias("tick"), *outputs)
 
 
 def with_empty(aggregated: DataFrame, universe: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
